@@ -9,11 +9,14 @@ ones are never posted, and a node with fewer than ``match`` shared tokens isn't
 (skip). Pairs that meet are counted over all coordinates, those with ``match`` or more agreements
 are confirmed on the full sets, and components are found by alternating large and small stars.
 
-Pairs are sought in two steps, so that a large group of near copies isn't paired with itself.
-First each posting list names a hub for each size class, its most central node, and nodes are
-tried against the hubs of their lists. Then the lists that still hold several components pair
-the nodes outside their largest component with the nodes of other components; pairs inside a
-component can't change the result. The second step has no caps, so no link is lost.
+Pairs are sought in steps, so that a large group of near copies isn't paired with itself. First
+each posting list names a hub for each size class, its most central node, and nodes are tried
+against the hubs of their lists. Then, twice, lists that still hold several components try the
+nodes outside their largest one against a few of its members, drawn by hash. At last such nodes
+are paired with all nodes of other components in the list; pairs inside a component can't change
+the result. That step has no caps, so no link is lost. Posted nodes carry 256 one-bit minima, and
+pairs that differ in more of them than a similarity of 0.8 makes likely (a chance of some 2e-5)
+are left out inside the joins.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truemark.llm.common import written
@@ -31,6 +34,8 @@ from truemark.llm.common import written
 COORDINATES, MATCH = 48, 27
 _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _CACHED = 500_000
+_BITS = 256
+_BIT_MULTIPLY = np.random.default_rng(21).integers(1 << 62, 1 << 63, _BITS, dtype="uint64") * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
@@ -75,6 +80,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low.astype("uint32")
 
 
+def bit_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The lowest bit of 256 further minima, as four longs."""
+    low = np.full(_BITS, 0xFFFFFFFF, "uint64")
+    for a in range(0, len(shingles), 1024):
+        low = np.minimum(low, ((shingles[a : a + 1024, None] * _BIT_MULTIPLY) >> np.uint64(32)).min(axis=0))
+    return np.packbits((low & np.uint64(1)).astype("uint8")).view("<i8")
+
+
+def most_differing(percent: int) -> int:
+    """Bits that may differ: the mean at the wanted similarity and 4.2 standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(_BITS * p + 4.2 * (_BITS * p * (1 - p)) ** 0.5)
+
+
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit fingerprint (f1, f2) and its signature."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -120,27 +139,45 @@ def post(nodes: DataFrame, percent: int) -> DataFrame:
     return own.select("node", "n", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class"), weight.alias("weight"), F.explode(prefix).alias("p")).select("p.token", "node", "n", "class", "weight")
 
 
-def _similar_size(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def _alike(left: str, right: str, percent: int) -> Column:
+    """Sizes and bit sketches (struct columns with n, b0 ... b3) allow the similarity."""
+    x, y = F.col(left), F.col(right)
+    differing = sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(4)), F.lit(0))
+    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (differing <= most_differing(percent))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b) with b a hub of a list of a, in a's size class or beside it."""
-    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", F.lit(0) - F.col("node"), "node", "n")).alias("h"))
-    near = hubs.select("token", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("h.node").alias("b"), F.col("h.n").alias("m"))
-    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("b")) & _similar_size("n", "m", percent))
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", F.lit(0) - F.col("node"), "node", "look")).alias("h"))
+    near = hubs.select("token", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("h.node").alias("hub"), F.col("h.look").alias("hub_look"))
+    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & _alike("look", "hub_look", percent))
+    return met.select(*_pair("node", "hub")).distinct()
 
 
-def open_pairs(postings: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list and of different components, but for pairs within a list's largest one."""
-    own = postings.join(components, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+def open_lists(postings: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, with ``component`` and the list's ``largest``."""
+    own = postings.join(components, "node", "left").select("token", "node", "look", F.coalesce("component", "node").alias("component"))
     parts = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest")).where("parts > 1").select("token", "largest")
-    rows = own.join(lists, "token")
-    few = rows.where("component != largest").select("token", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    met = few.join(rows, "token").where((F.col("component") != F.col("x_component")) & _similar_size("n", "x_n", percent) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("node"))))
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    return own.join(lists, "token")
+
+
+def drawn_pairs(rows: DataFrame, percent: int, turn: int, draws: int = 8) -> DataFrame:
+    """(a, b) with b one of ``draws`` members of the list's largest component, and a outside it."""
+    drawn = rows.where("component = largest").groupBy("token", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(draws)).alias("draw")).agg(F.max(F.struct(F.xxhash64("node", F.lit(-turn)), "node", "look")).alias("h"))
+    drawn = drawn.select("token", F.col("h.node").alias("member"), F.col("h.look").alias("member_look"))
+    return rows.where("component != largest").join(drawn, "token").where(_alike("look", "member_look", percent)).select(*_pair("node", "member")).distinct()
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list and of different components, but for pairs within a list's largest one."""
+    few = rows.where("component != largest").select("token", F.col("node").alias("x"), F.col("look").alias("x_look"), F.col("component").alias("x_component"))
+    met = few.join(rows, "token").where((F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("node"))) & _alike("look", "x_look", percent))
+    return met.select(*_pair("node", "x")).distinct()
 
 
 def _count_matches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -225,18 +262,33 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words).tobytes() for t in b.column(1)]
-            same = [int.from_bytes(xxhash.xxh3_128_digest(s)[:8], "little", signed=True) == f.as_py() for s, f in zip(sets, b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(same, pa.bool_())), pa.array([s for s, k in zip(sets, same) if k], pa.binary())], names=["node", "shingles"])
+            ids, held, bits = [], [], []
+            for doc, text, f in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                own = shingle_set(text.as_py(), words)
+                raw = own.tobytes()
+                if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == f:
+                    ids.append(doc)
+                    held.append(raw)
+                    bits.append(bit_sketch(own))
+            four = np.array(bits, "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(held, pa.binary()), *(pa.array(four[:, k].copy()) for k in range(4))], names=["node", "shingles", "b0", "b1", "b2", "b3"])
 
     kind = posted.schema["own"].dataType.simpleString()
-    sets = written(chosen.select("own", "text", "f1").mapInArrow(load, f"node {kind}, shingles binary"), "sets")
+    sets = written(chosen.select("own", "text", "f1").mapInArrow(load, f"node {kind}, shingles binary, b0 long, b1 long, b2 long, b3 long"), "sets")
+    looks = sets.select("node", "b0", "b1", "b2", "b3").distinct()
+    seen = written(postings.join(looks, "node").select("token", "node", "class", "weight", F.struct("n", "b0", "b1", "b2", "b3").alias("look")), "looks")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirm(_count_matches(pairs, signatures), sets, percent)
+
+    def starred(found: DataFrame, more: DataFrame) -> DataFrame:
+        return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
 
-    first = written(confirm(_count_matches(hub_pairs(postings, percent), signatures), sets, percent), "links")
-    found = written(components(first), "components")
-    second = confirm(_count_matches(open_pairs(postings, found, percent), signatures), sets, percent)
+    found = written(components(linked(hub_pairs(seen, percent))), "components")
+    for turn in (1, 2):
+        found = written(components(starred(found, linked(drawn_pairs(open_lists(seen, found), percent, turn)))), "components")
+    last = linked(open_pairs(open_lists(seen, found), percent))
     # the same set may stand under one id with another text: rows of one id are one document
     same_id = sketches.join(nodes.select("f1", "f2", F.col("n").alias("n_shingles"), "node"), ["f1", "f2", "n_shingles"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second).union(same_id)
-    label = components(links).withColumnRenamed("node", "_node")
+    label = components(starred(found, last.union(same_id))).withColumnRenamed("node", "_node")
     return sketches.join(label, F.col("doc_id") == F.col("_node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
