@@ -222,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ChainFie
     keep = F.lit(False)
     for q, n in sizes.items():
         keep = keep | ((F.col("toxic") == q) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, per_class / n) * (1 << 30))))
-    rows = docs.select("doc_id", "text").join(labels.where(keep).select("doc_id", "toxic"), "doc_id").select("doc_id", "toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(labels.where(keep).select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text")  # about 2 * per_class labels
     got = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()), key=lambda r: (str(r[0]), r[1]))
     return fit([r[1] for r in got], np.array([r[2] for r in got]))
 
