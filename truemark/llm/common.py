@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truemark.sources.shared import shared_dir, written
 
-__all__ = ["SPACE", "WORD", "id_bucket", "shared_dir", "spread", "table", "written"]
+__all__ = ["SPACE", "WORD", "id_bucket", "shared_dir", "spread", "table", "worker_cache", "written"]
 
 #: ASCII white space, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+_held: list = [None, None]
+
+
+def worker_cache(owner: object, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between batches. Workers outlive a stage, so only the last owner's is held."""
+    if _held[0] != owner:
+        _held[:] = [owner, make()]
+    return _held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

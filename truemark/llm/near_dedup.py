@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truemark.llm.common import written
+from truemark.llm.common import worker_cache, written
 
 COORDINATES, MATCH = 48, 27
 _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -46,8 +46,6 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
@@ -64,7 +62,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     split = (text or "").encode().lower().split()
     if not split:
         return np.zeros(0, "uint64")
-    h = np.fromiter(map(_words.__getitem__, split), "uint64", len(split))
+    h = np.fromiter(map(worker_cache("words", _Words).__getitem__, split), "uint64", len(split))
     size = min(words, len(split))
     rolled = np.full(len(h) - size + 1, size, "uint64")
     for k in range(size):

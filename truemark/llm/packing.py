@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from truemark.llm.common import spread, written
+from truemark.llm.common import spread, worker_cache, written
 
 #: Letters for which lower case and composed form are plain, so that a run of them is one
 #: pre-token of the vocabulary and can be given to its merge model directly.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 _CACHED = 900_000
-_workers: dict[str, "WordTokens"] = {}
 
 
 def _byte_letters() -> list[str]:
@@ -78,9 +77,7 @@ class WordTokens(dict):
 
 
 def _tokens(path: str) -> WordTokens:
-    if path not in _workers:
-        _workers[path] = WordTokens(path)
-    return _workers[path]
+    return worker_cache(("tokens", path), lambda: WordTokens(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truemark.llm.common import worker_cache
+
 _DIM, _WINDOW, _CACHED = 1 << 17, 15, 600_000
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 _CHUNK = re.compile(r"\S+")
@@ -102,7 +104,8 @@ def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float = 1e-4, seed: int = 5) -> ChainField:
     """Maximum likelihood by Adam over full batches of short sequences, then the document weights."""
-    rng, split = np.random.default_rng(seed), [t.split() for t in texts]
+    one: dict[str, str] = {}  # equal chunks share one string
+    rng, split = np.random.default_rng(seed), [[one.setdefault(c, c) for c in t.split()] for t in texts]
     field = ChainField(np.zeros(_DIM), -4.0, np.zeros((2, 2)), np.array([-3.0, 6.0, 0.0, 0.0, 0.0]))
     if not len(split) or toxic.min() == toxic.max():
         field.document = np.array([-6.0 if not len(split) or toxic.max() == 0 else 2.0, 0.0, 0.0, 0.0, 0.0])
@@ -175,19 +178,15 @@ class _Tokens(dict):
         return value
 
 
-_cache: list = [None, None]
-
-
 def tag(split: list[list[str]], field: ChainField, key: int | None = None) -> list[np.ndarray]:
     """Marginals of each text's chunks; texts of like length run side by side."""
-    if key is None or _cache[0] != key:
-        _cache[:] = [key, _Tokens(field)]
-    tokens, found = _cache[1], [np.zeros(0)] * len(split)
+    tokens = _Tokens(field) if key is None else worker_cache(("field", key), lambda: _Tokens(field))
+    found = [np.zeros(0)] * len(split)
     order = sorted((i for i, s in enumerate(split) if s), key=lambda i: len(split[i]))
     at = 0
     while at < len(order):
         longest = len(split[order[min(at + 255, len(order) - 1)]])
-        group = order[at : at + max(1, min(256, 2_000_000 // longest))]
+        group = order[at : at + max(1, min(256, 500_000 // longest))]
         width = len(split[group[-1]])
         unary, mask = np.zeros((len(group), width)), np.zeros((len(group), width), bool)
         for k, i in enumerate(group):
@@ -243,8 +242,8 @@ def score(docs: DataFrame, field: ChainField, text_col: str = "text") -> DataFra
         unary[used] = values
         own = ChainField(unary, rest.bias, rest.pair, rest.document)
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                b = whole.slice(a, 2000)
+            for a in range(0, whole.num_rows, 500):
+                b = whole.slice(a, 500)
                 texts = [t.as_py() or "" for t in b.column(at)]
                 found = tag([t.split() for t in texts], own, key)
                 z = np.clip(np.array([_document(p) for p in found]) @ own.document, -30, 30)
