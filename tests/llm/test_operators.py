@@ -84,6 +84,17 @@ def test_near_dedup_matches_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label))
 
 
+def test_parities_never_hide_a_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 30, 400, 5000):
+        base = rng.integers(0, 1 << 63, size, dtype="uint64")
+        for gone in (0, 1, size // 10, size // 3):
+            x, y = np.unique(base[gone:]), np.unique(np.concatenate([base, rng.integers(0, 1 << 63, gone, dtype="uint64")]))
+            apart = len(np.setxor1d(x, y))
+            seen = near_dedup.differing_parity(near_dedup.parity(x), near_dedup.parity(y)) if len(x) else 0
+            assert seen <= apart and (apart - seen) % 2 == 0 or not len(x)
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     u, pair = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))

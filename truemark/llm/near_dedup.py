@@ -16,7 +16,8 @@ nodes outside their largest one against a few of its members, drawn by hash. At
 are paired with all nodes of other components in the list; pairs inside a component can't change
 the result. That step has no caps, so no link is lost. Posted nodes carry 256 one-bit minima, and
 pairs that differ in more of them than a similarity of 0.8 makes likely (a chance of some 2e-5)
-are left out inside the joins.
+are left out inside the joins. Before full sets are loaded, their parities (an odd sketch) are
+compared: these differ in no more buckets than the sets do in shingles, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truemark.llm.common import worker_cache, written
+from truemark.llm.common import bucketed, worker_cache, written
 
 COORDINATES, MATCH = 48, 27
 _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -86,6 +87,23 @@ def bit_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((low & np.uint64(1)).astype("uint8")).view("<i8")
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """For each of 2**k buckets (3 to 6 a shingle, 64 at least) whether it holds an odd number of them."""
+    buckets = 1 << max(6, int(3 * len(shingles) - 1).bit_length())
+    held = np.bincount((shingles & np.uint64(buckets - 1)).astype("int64"), minlength=buckets)
+    return np.packbits((held & 1).astype("uint8")).tobytes()
+
+
+def differing_parity(x: bytes, y: bytes) -> int:
+    """Buckets whose parities differ, of which there are never more than shingles that one set lacks."""
+    s, r = np.frombuffer(x, "uint8"), np.frombuffer(y, "uint8")
+    while len(s) > len(r):
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    while len(r) > len(s):
+        r = r[: len(r) // 2] ^ r[len(r) // 2 :]
+    return int(np.bitwise_count(s ^ r).sum())
+
+
 def most_differing(percent: int) -> int:
     """Bits that may differ: the mean at the wanted similarity and 4.2 standard deviations."""
     p = (1 - percent / 100) / 2
@@ -145,7 +163,8 @@ def _alike(left: str, right: str, percent: int) -> Column:
 
 
 def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    """x as a, and y, which may be in many pairs, as b."""
+    return [F.col(x).alias("a"), F.col(y).alias("b")]
 
 
 def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -178,36 +197,55 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select(*_pair("node", "x")).distinct()
 
 
-def _count_matches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in at least MATCH coordinates."""
-    left = nodes.select(F.col("node").alias("a"), F.col("signature").alias("s"))
-    right = nodes.select(F.col("node").alias("b"), F.col("signature").alias("r"))
+def facing(pairs: DataFrame, sets: DataFrame, columns: list[str], each: int = 256) -> DataFrame:
+    """a, b and ``columns`` of both nodes as structs x and y.
+
+    ``sets`` is bucketed by node, so only pairs move to meet the columns of a. What a pair then
+    carries moves once more, to b, whose columns are sent only to the tasks that need them; a
+    node in more than ``each`` pairs, such as the hub of a large group, is dealt over several.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    held = F.struct(*columns)
+    left = dealt.hint("shuffle_hash").join(sets.select(F.col("node").alias("a"), held.alias("x")), "a")
+    right = parts.hint("shuffle_hash").join(sets.select(F.col("node").alias("b"), held.alias("y")), "b")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["b", "part"]).select("a", "b", "x", "y")
+
+
+def _count_matches(faced: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree in at least MATCH coordinates and whose parities allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, r = (np.frombuffer(b"".join(x.as_py() for x in b.column(k)), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
-            same = pa.array((s == r).sum(axis=1) >= MATCH)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(same) for k in (0, 1)], names=["a", "b"])
+            x, y = b.column("x"), b.column("y")
+            s, r = (np.frombuffer(b"".join(v.as_py() for v in c.field("signature")), "<u4").reshape(-1, COORDINATES) for c in (x, y))
+            same = (s == r).sum(axis=1) >= MATCH
+            most = (100 - percent) * (x.field("n").to_numpy() + y.field("n").to_numpy())
+            for k in np.flatnonzero(same):
+                same[k] = (100 + percent) * differing_parity(x.field("parity")[int(k)].as_py(), y.field("parity")[int(k)].as_py()) <= most[k]
+            kept = pa.array(same)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in ("a", "b")], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "r").mapInArrow(run, f"a {kind}, b {kind}")
+    kind = faced.schema["a"].dataType.simpleString()
+    return faced.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(faced: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on the full sets."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
-            for x, y in zip(b.column(2), b.column(3)):
+            for x, y in zip(b.column("x").field("shingles"), b.column("y").field("shingles")):
                 s, r = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
                 both = len(np.intersect1d(s, r, assume_unique=True))
                 linked.append(100 * both >= percent * (len(s) + len(r) - both))
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(linked, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+            kept = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in ("a", "b")], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "r").mapInArrow(run, f"a {kind}, b {kind}")
+    kind = faced.schema["a"].dataType.simpleString()
+    return faced.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,32 +290,39 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     # `signature` is a function of the set, so any of the equal ones will do
     nodes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
     postings = written(post(nodes, percent), "postings")
-    posted = postings.select("node").distinct().join(nodes, "node").select(F.col("node").alias("own"), "f1", "signature")
-    posted = written(posted, "posted")
-    signatures = posted.select(F.col("own").alias("node"), "signature")
+    posted = written(postings.select("node").distinct().join(nodes, "node").select(F.col("node").alias("own"), "f1", "signature"), "posted")
 
-    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.select("own", "f1").hint("shuffle_hash"), "own")
+    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.hint("shuffle_hash"), "own").select("own", "text", "f1", "signature")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = set()  # rows that repeat an id come to one task
         for b in batches:
-            ids, held, bits = [], [], []
-            for doc, text, f in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            rows, sizes, held, parities, bits = [], [], [], [], []
+            for k, (doc, text, f) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())):
+                if doc in loaded:
+                    continue
                 own = shingle_set(text.as_py(), words)
                 raw = own.tobytes()
                 if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == f:
-                    ids.append(doc)
+                    loaded.add(doc)
+                    rows.append(k)
+                    sizes.append(len(own))
                     held.append(raw)
+                    parities.append(parity(own))
                     bits.append(bit_sketch(own))
-            four = np.array(bits, "<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(held, pa.binary()), *(pa.array(four[:, k].copy()) for k in range(4))], names=["node", "shingles", "b0", "b1", "b2", "b3"])
+            at, four = pa.array(rows, pa.int64()), np.array(bits, "<i8").reshape(-1, 4)
+            columns = [b.column(0).take(at), pa.array(sizes, pa.int64()), b.column(3).take(at), pa.array(parities, pa.binary()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(four[:, k].copy()) for k in range(4))], names=["node", "n", "signature", "parity", "shingles", "b0", "b1", "b2", "b3"])
 
     kind = posted.schema["own"].dataType.simpleString()
-    sets = written(chosen.select("own", "text", "f1").mapInArrow(load, f"node {kind}, shingles binary, b0 long, b1 long, b2 long, b3 long"), "sets")
+    sets = bucketed(chosen.mapInArrow(load, f"node {kind}, n long, signature binary, parity binary, shingles binary, b0 long, b1 long, b2 long, b3 long"), "sets", "node")
     looks = sets.select("node", "b0", "b1", "b2", "b3").distinct()
     seen = written(postings.join(looks, "node").select("token", "node", "class", "weight", F.struct("n", "b0", "b1", "b2", "b3").alias("look")), "looks")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return confirm(_count_matches(pairs, signatures), sets, percent)
+        met = written(pairs, "met")
+        alike = written(_count_matches(facing(met, sets, ["n", "signature", "parity"]), percent), "alike")
+        return confirm(facing(alike, sets, ["shingles"]), percent)
 
     def starred(found: DataFrame, more: DataFrame) -> DataFrame:
         return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
