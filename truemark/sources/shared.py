@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,13 @@ def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
     return spark.table(unique)
+
+
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of jobs that have ended.
+
+    Spark does so only when the driver happens to collect its garbage, which a driver with much
+    free memory may not do for hours, while a long chain of jobs fills the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
