@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truemark.llm.common import bucketed, worker_cache, written
+from truemark.llm.common import bucketed, release, worker_cache, written
 
 COORDINATES, MATCH = 48, 27
 _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -291,6 +291,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     nodes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
     postings = written(post(nodes, percent), "postings")
     posted = written(postings.select("node").distinct().join(nodes, "node").select(F.col("node").alias("own"), "f1", "signature"), "posted")
+    release(docs.sparkSession)
 
     chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.hint("shuffle_hash"), "own").select("own", "text", "f1", "signature")
 
@@ -316,6 +317,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
 
     kind = posted.schema["own"].dataType.simpleString()
     sets = bucketed(chosen.mapInArrow(load, f"node {kind}, n long, signature binary, parity binary, shingles binary, b0 long, b1 long, b2 long, b3 long"), "sets", "node")
+    release(docs.sparkSession)
     looks = sets.select("node", "b0", "b1", "b2", "b3").distinct()
     seen = written(postings.join(looks, "node").select("token", "node", "class", "weight", F.struct("n", "b0", "b1", "b2", "b3").alias("look")), "looks")
 
@@ -328,8 +330,10 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
 
     found = written(components(linked(hub_pairs(seen, percent))), "components")
+    release(docs.sparkSession)
     for turn in (1, 2):
         found = written(components(starred(found, linked(drawn_pairs(open_lists(seen, found), percent, turn)))), "components")
+        release(docs.sparkSession)
     last = linked(open_pairs(open_lists(seen, found), percent))
     # the same set may stand under one id with another text: rows of one id are one document
     same_id = sketches.join(nodes.select("f1", "f2", F.col("n").alias("n_shingles"), "node"), ["f1", "f2", "n_shingles"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
