@@ -210,6 +210,19 @@ def test_preferences_rank_held_out(docs, empty):
     assert quality.fit_pairs(np.zeros((0, quality.FEATURES)), np.zeros(0)).score(x[:1]).shape == (1,)
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["word", "|#", "other", "Big!"], 40, p=[0.4, s, 0.4, 0.2 - s])), int(i >= 60)) for i in range(600) for s in [rng.uniform(0.05, 0.15) if i < 60 else rng.uniform(0, 0.1)]]
+    known = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for per_class in (30, 4000):  # the cap moves the weights, not the share that is predicted bad
+        got = quality.score(known, quality.learn(known.drop("quality"), known.drop("text"), per_class)).agg(F.sum(1 - F.col("predicted"))).first()[0]
+        assert 50 <= got <= 60
+    values = rng.normal(size=997).round(2)
+    frame = spark.createDataFrame([(float(x),) for x in values], "value double")
+    for below in (1, 100, 500, 996):
+        assert np.isclose(quality.share_quantile(frame, below), np.quantile(values, below / 997), rtol=0, atol=1e-12)
+
+
 def test_quality_counts_match_plain_python(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(["a", "b|", "c%", "dd\n", "\tee"], rng.integers(0, 60))) for _ in range(80)] + [None, "", "a b", "a b c a b c", "x\nx\n \nx"]

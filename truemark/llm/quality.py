@@ -2,14 +2,15 @@
 
 A good document is preferred to a bad one with probability sigmoid(s_good - s_bad), where s is
 linear in text features; the weights minimise the logistic loss on feature differences of pairs.
-The decision threshold is the quantile of the training scores at the share of bad documents.
+The decision threshold is the quantile of the scores at the share of bad documents, over all
+labelled documents that may be learned from; only the weights come from a bounded sample of them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truemark.llm.common import written
+
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _SPACE, _OTHER = range(7)
 _CLASS = np.full(256, _OTHER, "uint8")
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = _UPPER, _LOWER, _DIGIT
@@ -73,29 +76,63 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 20_000, penalty: float
         lost = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
         weights += 0.5 * (difference.T @ lost / pairs - penalty * weights)
     scores = z @ weights
-    # the quantile at the share of bad documents, between the scores on its two sides
+    # the quantile at these rows' share of bad documents, between the scores on its two sides
     return PreferenceModel(weights, mean, scale, float(np.quantile(scores, len(bad) / len(x))))
 
 
+def share_quantile(values: DataFrame, below: int, column: str = "value") -> float:
+    """``numpy.quantile(values, below / n)`` of the n rows of ``values``, for 0 < below < n.
+
+    Exact and distributed: each pass counts 4,096 ranges and goes on in the one that holds the
+    ``below``-th smallest value, until that range is one value.
+    """
+    v = F.col(column)
+    n, low, high = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    left = below
+    while low < high:
+        part = F.floor((v - F.lit(low)) / F.lit(high - low) * F.lit(4095.0)).alias("part")
+        parts = values.where(v.between(low, high)).groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).collect()  # at most 4,096 rows
+        for r in sorted(parts, key=lambda r: r["part"]):
+            if left <= r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            left -= r["n"]
+    after, least = values.agg(F.count(F.when(v <= low, 1)), F.min(F.when(v > low, v))).first()
+    return low if after > below else low + (least - low) * (1 - below / n)
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> PreferenceModel:
-    """Fit on at most about ``per_class`` labelled documents of each class (doc_id, text; doc_id, quality).
+    """Fit on labelled documents (doc_id, text; doc_id, quality).
 
-    Rows are kept by a hash of their id at a rate that gives that many; only features leave the executors.
+    The weights come from at most about ``per_class`` documents of each class, kept by a hash of
+    their id at a rate that gives that many; the threshold comes from the scores of all of them.
+    Only features leave the executors.
     """
-    sizes = {r["quality"]: r["n"] for r in labels.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py()).tolist() for t in b.column(1)], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    source = docs.select("doc_id", "text")
+    measured = source.mapInArrow(measure, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    # features are small, so that this join needs no bound on the number of labels
+    known = written(measured.join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id"), "features")
+    sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for q, n in sizes.items():
         keep = keep | ((F.col("quality") == q) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, per_class / n) * (1 << 30))))
-    chosen = labels.where(keep).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")  # about 2 * per_class labels
+    got = sorted(known.where(keep).collect(), key=lambda r: (str(r["doc_id"]), r["x"]))  # about 2 * per_class rows
+    model = fit_pairs(np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["quality"] for r in got]))
+    if not model.weights.any():
+        return model
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py()).tolist() for t in b.column(2)], pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+            x = np.array(b.column(0).to_pylist()).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x), pa.float64())], names=["value"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(measure, f"doc_id {kind}, quality {rows.schema['quality'].dataType.simpleString()}, x array<double>").collect(), key=lambda r: (str(r["doc_id"]), r["x"]))
-    return fit_pairs(np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([r["quality"] for r in got]))
+    scores = written(known.select("x").mapInArrow(rank, "value double"), "scores")
+    return replace(model, threshold=share_quantile(scores, sizes[0]))
 
 
 def score(docs: DataFrame, model: PreferenceModel, text_col: str = "text") -> DataFrame:
