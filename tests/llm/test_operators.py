@@ -120,6 +120,17 @@ def test_toxicity_spans_and_edges(docs, empty):
     assert 0 <= toxicity.score(docs, toxicity.fit([], np.array([]))).first()["score"] < 0.3
 
 
+def test_toxicity_scores_do_not_follow_the_cap(spark):
+    rng = np.random.default_rng(8)
+    calm = [" ".join(rng.choice(WORDS, 30)) for _ in range(2100)]
+    rows = [(i, t + " rotten pest" if i < 50 else t, int(i < 100)) for i, t in enumerate(calm)]  # half of the toxic ones look calm
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    field = toxicity.learn(known.drop("toxic"), known.drop("text"), per_class=100)
+    got = toxicity.score(known, field).groupBy((F.col("doc_id") < 50).alias("marked")).agg(F.avg("score").alias("s"), F.sum("predicted").alias("n")).collect()
+    by = {r["marked"]: r for r in got}
+    assert by[False]["s"] < 0.1 and by[False]["n"] < 60 and by[True]["n"] >= 45
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 3000])
 def test_media_round_trip(size):
     rng = np.random.default_rng(size)

@@ -88,10 +88,10 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3,
     return found
 
 
-def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], list[np.ndarray]]:
-    """Training sequences: around labelled tokens, and random places of clean documents."""
-    chunks, tags = [], []
-    for text, y, is_toxic in zip(texts, labels, toxic):
+def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], list[np.ndarray], list[int]]:
+    """Training sequences: around labelled tokens, and random places of clean documents; their tags and documents."""
+    chunks, tags, owners = [], [], []
+    for k, (text, y, is_toxic) in enumerate(zip(texts, labels, toxic)):
         if not text:
             continue
         places = np.flatnonzero(y)[:12] if is_toxic else rng.integers(0, len(text), min(6, len(text)))
@@ -99,18 +99,23 @@ def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray
             a = max(0, int(p) - _WINDOW // 2)
             chunks.append(text[a : a + _WINDOW])
             tags.append(y[a : a + _WINDOW])
-    return chunks, tags
+            owners.append(k)
+    return chunks, tags, owners
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float = 1e-4, seed: int = 5) -> ChainField:
-    """Maximum likelihood by Adam over full batches of short sequences, then the document weights."""
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float = 1e-4, seed: int = 5, weight: np.ndarray | None = None) -> ChainField:
+    """Maximum likelihood by Adam over full batches of short sequences, then the document weights.
+
+    ``weight`` says how many documents each one stands for; only their ratios matter.
+    """
     one: dict[str, str] = {}  # equal chunks share one string
     rng, split = np.random.default_rng(seed), [[one.setdefault(c, c) for c in t.split()] for t in texts]
     field = ChainField(np.zeros(_DIM), -4.0, np.zeros((2, 2)), np.array([-3.0, 6.0, 0.0, 0.0, 0.0]))
     if not len(split) or toxic.min() == toxic.max():
         field.document = np.array([-6.0 if not len(split) or toxic.max() == 0 else 2.0, 0.0, 0.0, 0.0, 0.0])
         return field
-    chunks, tags = _windows(split, label_tokens(split, toxic), toxic, rng)
+    weight = np.ones(len(split)) if weight is None else weight / weight.mean()
+    chunks, tags, owners = _windows(split, label_tokens(split, toxic), toxic, rng)
     if chunks:
         mask = np.array([[i < len(c) for i in range(_WINDOW)] for c in chunks])
         y = np.array([np.pad(t, (0, _WINDOW - len(t))) for t in tags]).astype(float)
@@ -123,11 +128,12 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float =
         m, v = np.zeros_like(w), np.zeros_like(w)
         w[_DIM + 1] = -4.0
         pairs = mask[:, 1:] & mask[:, :-1]
+        stands = weight[owners][:, None]
         for step in range(1, rounds + 1):
             pair = np.array([[0.0, 0.0], [0.0, w[_DIM + 2]]])
             unary = w[index].sum(axis=2) + w[_DIM + 1]
             p = marginals(unary, mask, pair) * mask
-            gap = (y - p) * mask
+            gap = (y - p) * mask * stands
             g = np.bincount(index.ravel(), weights=np.repeat(gap.ravel(), 4), minlength=_DIM + 4)
             g[_DIM] = 0
             g[_DIM + 1] = gap.sum()
@@ -135,14 +141,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float =
             follow = np.exp(w[_DIM + 2])
             odds = p[:, 1:] / (1 - p[:, 1:] + 1e-9)
             joint = p[:, :-1] * odds * follow / (odds * follow + 1)
-            g[_DIM + 2] = ((y[:, 1:] * y[:, :-1] - np.minimum(joint, np.minimum(p[:, 1:], p[:, :-1]))) * pairs).sum()
-            g = g / len(chunks) - penalty * w
+            g[_DIM + 2] = ((y[:, 1:] * y[:, :-1] - np.minimum(joint, np.minimum(p[:, 1:], p[:, :-1]))) * pairs * stands).sum()
+            g = g / stands.sum() - penalty * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w += 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             w[_DIM], w[_DIM + 2] = 0.0, np.clip(w[_DIM + 2], -3, 3)
         field = ChainField(w[:_DIM].copy(), float(w[_DIM + 1]), np.array([[0.0, 0.0], [0.0, float(w[_DIM + 2])]]), field.document)
     x = np.array([_document(p) for p in tag(split, field)])
-    field.document = _logistic(x, toxic)
+    field.document = _logistic(x, toxic, weight)
     return field
 
 
@@ -154,12 +160,12 @@ def _document(p: np.ndarray) -> list[float]:
     return [1.0, float(top[0]) if len(top) else 0.0, float(top[1]) if len(top) > 1 else 0.0, np.log1p(total), np.log1p(100 * total / max(1, len(p)))]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        move = np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        move = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-2 * w)
         w = w + move
         if np.abs(move).max() < 1e-6:
             break
@@ -216,14 +222,20 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ChainField:
-    """Fit on at most about ``per_class`` labelled documents of each class (doc_id, text; doc_id, toxic)."""
-    sizes = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Fit on at most about ``per_class`` labelled documents of each class (doc_id, text; doc_id, toxic).
+
+    Each one stands for as many as its class has in all for one that was taken, so that scores
+    don't depend on how many were left out.
+    """
+    known = docs.select("doc_id").join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for q, n in sizes.items():
         keep = keep | ((F.col("toxic") == q) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, per_class / n) * (1 << 30))))
     rows = docs.select("doc_id", "text").join(F.broadcast(labels.where(keep).select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text")  # about 2 * per_class labels
     got = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()), key=lambda r: (str(r[0]), r[1]))
-    return fit([r[1] for r in got], np.array([r[2] for r in got]))
+    toxic, taken = np.array([r[2] for r in got]), Counter(r[2] for r in got)
+    return fit([r[1] for r in got], toxic, weight=np.array([sizes[q] / taken[q] for q in toxic.tolist()]))
 
 
 def score(docs: DataFrame, field: ChainField, text_col: str = "text") -> DataFrame:
