@@ -18,11 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 30 or more code points that 10 or more documents hold stay in the first of these only.
+    """Lines that 10 or more documents hold stay in the first of these only, however short they are.
 
     Documents with nothing left go; n_chars follows the text.
     """
-    left = line_dedup.dedup_lines(docs, min_docs=10, min_chars=30, keep_first=True)
+    left = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 

@@ -273,3 +273,11 @@ def test_pipeline_stages_take_effect(spark):
         docs = after
     packed = corpus_pipeline.pack_windows(spark, docs, SF)
     assert packed.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == docs.count()
+
+
+def test_pipeline_drops_short_repeated_lines(spark):
+    rows = [(i, f"Menu\nown text {i}\n- \nown text {i}", "en", "a", 0) for i in range(12)] + [(12, "menu", "en", "a", 0)]
+    got = {r["doc_id"]: r for r in corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    assert set(got) == set(range(12)) and got[0]["text"] == rows[0][1]
+    for i in range(1, 12):
+        assert got[i]["text"] == f"own text {i}\nown text {i}" and got[i]["n_chars"] == len(got[i]["text"])
