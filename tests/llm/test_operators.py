@@ -131,6 +131,12 @@ def test_toxicity_scores_do_not_follow_the_cap(spark):
     assert by[False]["s"] < 0.1 and by[False]["n"] < 60 and by[True]["n"] >= 45
 
 
+def test_toxic_places_cover_the_whole_text():
+    text, y = [[f"t{i}" for i in range(2000)]], [np.ones(2000, "int8")]
+    chunks, tags, _ = toxicity._windows(text, y, np.array([1]), np.random.default_rng(5))
+    assert len(chunks) == len(tags) == 12 and max(int(c[0][1:]) for c in chunks) > 1000
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 3000])
 def test_media_round_trip(size):
     rng = np.random.default_rng(size)

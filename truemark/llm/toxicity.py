@@ -88,13 +88,15 @@ def label_tokens(texts: list[list[str]], toxic: np.ndarray, least_docs: int = 3,
     return found
 
 
-def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], list[np.ndarray], list[int]]:
-    """Training sequences: around labelled tokens, and random places of clean documents; their tags and documents."""
+def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray, rng: np.random.Generator, per_toxic: int = 12, per_clean: int = 6) -> tuple[list[list[str]], list[np.ndarray], list[int]]:
+    """Training sequences, their tags and documents: around at most ``per_toxic`` labelled tokens of a
+    toxic document and ``per_clean`` tokens of a clean one, drawn over the whole text."""
     chunks, tags, owners = [], [], []
     for k, (text, y, is_toxic) in enumerate(zip(texts, labels, toxic)):
         if not text:
             continue
-        places = np.flatnonzero(y)[:12] if is_toxic else rng.integers(0, len(text), min(6, len(text)))
+        found = np.flatnonzero(y) if is_toxic else np.arange(len(text))
+        places = rng.choice(found, min(len(found), per_toxic if is_toxic else per_clean), replace=False)
         for p in places:
             a = max(0, int(p) - _WINDOW // 2)
             chunks.append(text[a : a + _WINDOW])
@@ -103,10 +105,11 @@ def _windows(texts: list[list[str]], labels: list[np.ndarray], toxic: np.ndarray
     return chunks, tags, owners
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float = 1e-4, seed: int = 5, weight: np.ndarray | None = None) -> ChainField:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float = 1e-4, seed: int = 5, weight: np.ndarray | None = None, per_toxic: int = 12, per_clean: int = 6) -> ChainField:
     """Maximum likelihood by Adam over full batches of short sequences, then the document weights.
 
-    ``weight`` says how many documents each one stands for; only their ratios matter.
+    ``weight`` says how many documents each one stands for; only their ratios matter. A toxic
+    document gives at most ``per_toxic`` sequences, and a clean one ``per_clean``.
     """
     one: dict[str, str] = {}  # equal chunks share one string
     rng, split = np.random.default_rng(seed), [[one.setdefault(c, c) for c in t.split()] for t in texts]
@@ -115,7 +118,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, penalty: float =
         field.document = np.array([-6.0 if not len(split) or toxic.max() == 0 else 2.0, 0.0, 0.0, 0.0, 0.0])
         return field
     weight = np.ones(len(split)) if weight is None else weight / weight.mean()
-    chunks, tags, owners = _windows(split, label_tokens(split, toxic), toxic, rng)
+    chunks, tags, owners = _windows(split, label_tokens(split, toxic), toxic, rng, per_toxic, per_clean)
     if chunks:
         mask = np.array([[i < len(c) for i in range(_WINDOW)] for c in chunks])
         y = np.array([np.pad(t, (0, _WINDOW - len(t))) for t in tags]).astype(float)
@@ -221,11 +224,12 @@ def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ChainField:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_toxic: int = 12, per_clean: int = 6) -> ChainField:
     """Fit on at most about ``per_class`` labelled documents of each class (doc_id, text; doc_id, toxic).
 
     Each one stands for as many as its class has in all for one that was taken, so that scores
-    don't depend on how many were left out.
+    don't depend on how many were left out. The sequences of one document that train the chain
+    are bounded too: ``per_toxic`` and ``per_clean`` places of a text, drawn over its whole length.
     """
     known = docs.select("doc_id").join(labels.where("toxic in (0, 1)").select("doc_id", "toxic"), "doc_id")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -235,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> ChainFie
     rows = docs.select("doc_id", "text").join(F.broadcast(labels.where(keep).select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", "text")  # about 2 * per_class labels
     got = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect()), key=lambda r: (str(r[0]), r[1]))
     toxic, taken = np.array([r[2] for r in got]), Counter(r[2] for r in got)
-    return fit([r[1] for r in got], toxic, weight=np.array([sizes[q] / taken[q] for q in toxic.tolist()]))
+    return fit([r[1] for r in got], toxic, weight=np.array([sizes[q] / taken[q] for q in toxic.tolist()]), per_toxic=per_toxic, per_clean=per_clean)
 
 
 def score(docs: DataFrame, field: ChainField, text_col: str = "text") -> DataFrame:
