@@ -84,15 +84,45 @@ def test_near_dedup_matches_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(label))
 
 
-def test_parities_never_hide_a_link():
+def test_odd_sketches_never_hide_a_link(spark):
     rng = np.random.default_rng(3)
+    rows = []
     for size in (1, 2, 30, 400, 5000):
         base = rng.integers(0, 1 << 63, size, dtype="uint64")
-        for gone in (0, 1, size // 10, size // 3):
-            x, y = np.unique(base[gone:]), np.unique(np.concatenate([base, rng.integers(0, 1 << 63, gone, dtype="uint64")]))
-            apart = len(np.setxor1d(x, y))
-            seen = near_dedup.differing_parity(near_dedup.parity(x), near_dedup.parity(y)) if len(x) else 0
-            assert seen <= apart and (apart - seen) % 2 == 0 or not len(x)
+        for gone in {0, 1, size // 18, size // 9, size // 3}:
+            x, y = np.unique(base[gone:]), np.unique(np.concatenate([base[: size - gone], rng.integers(0, 1 << 63, gone // 9, dtype="uint64")]))
+            both = len(np.intersect1d(x, y))
+            linked = len(x) and 100 * both >= 80 * (len(x) + len(y) - both)
+            apart = int(np.bitwise_count((near_dedup.parity(x) ^ near_dedup.parity(y)).view("uint64")).sum())
+            assert apart <= len(np.setxor1d(x, y))
+            rows.append((bool(linked), len(x), *near_dedup.parity(x).tolist(), len(y), *near_dedup.parity(y).tolist()))
+    names = near_dedup._LOOK
+    table = spark.createDataFrame(rows, ["linked", *names, *(f"x_{n}" for n in names)])
+    assert table.where("linked").count() >= 8 and table.where(F.col("linked") & ~near_dedup._alike(80)).count() == 0
+
+
+def test_near_dedup_joins_texts_of_one_id(spark):
+    other = " ".join(f"o{i}" for i in range(300))
+    rows = [(8, LONG, 1), (3, other, 2), (8, other + " x", 3), (5, "", 4), (8, LONG, 5)]
+    got = near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string, node int"), 5, 80).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 5, True), (8, 3, False), (8, 3, False), (8, 3, False)]
+
+
+def test_near_dedup_meets_over_blocks(spark):
+    """The open step alone, with lists dealt over blocks, finds the pairs of all lists once."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"z{rng.integers(1e6)}" for w in base) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_dedup.written(near_dedup.sketch(docs, 2, "doc_id", "text"), "nodes")
+    posted = near_dedup.written(near_dedup.post(nodes, 80), "posted")
+    alone = spark.createDataFrame([], "node binary, component binary")
+    pairs = near_dedup.open_pairs(near_dedup.open_rows(posted, alone), 80, few=3, many=5).collect()
+    names = {bytes(r["node"]): r["doc_id"] for r in nodes.collect()}
+    met = [tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in pairs]
+    sets = [set(near_dedup.shingle_set(t, 2).tolist()) for t in texts]
+    linked = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert len(met) == len(set(met)) and linked and linked <= set(met)
 
 
 def test_marginals_match_enumeration():

@@ -1,28 +1,32 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A document is a set of hashed word shingles; equal sets are one node. A node's signature has one
-minimum per coordinate, and (coordinate, minimum) is a token under which the node is posted. Two
-nodes whose sets have the wanted similarity agree in at least ``match`` of the coordinates but
-for a chance of some 4e-5 a pair. So with a node's tokens in the order of their frequency, rarest
-first, such a pair meets in the first ``coordinates - match + 1`` (prefix); the most frequent
-ones are never posted, and a node with fewer than ``match`` shared tokens isn't posted at all
-(skip). Pairs that meet are counted over all coordinates, those with ``match`` or more agreements
-are confirmed on the full sets, and components are found by alternating large and small stars.
-
-Pairs are sought in steps, so that a large group of near copies isn't paired with itself. First
-each posting list names a hub for each size class, its most central node, and nodes are tried
-against the hubs of their lists. Then, twice, lists that still hold several components try the
-nodes outside their largest one against a few of its members, drawn by hash. At last such nodes
-are paired with all nodes of other components in the list; pairs inside a component can't change
-the result. That step has no caps, so no link is lost. Posted nodes carry 256 one-bit minima, and
-pairs that differ in more of them than a similarity of 0.8 makes likely (a chance of some 2e-5)
-are left out inside the joins. Before full sets are loaded, their parities (an odd sketch) are
-compared: these differ in no more buckets than the sets do in shingles, so that no link is lost.
+A document is a set of hashed word shingles; equal sets are one node, named by the set's 128-bit
+fingerprint. A node's signature has one minimum per coordinate, and (coordinate, minimum) is a
+token under which the node is posted. Two nodes whose sets have the wanted similarity agree in at
+least ``MATCH`` of the coordinates but for a chance of some 4e-5 a pair. So with a node's tokens
+in the order of their frequency, rarest first, such a pair meets in one of the first
+``COORDINATES - MATCH + 1`` (prefix). Longer lists are skipped, not merged: a pair that met in a
+short one is counted by probing its tokens in all coordinates, at the first list the two share, so
+that a pair comes out once. A node with fewer than ``MATCH`` shared tokens isn't posted at all.
+
+Pairs are sought in two steps, so that a large group of near copies isn't paired with itself.
+First each posting list names a hub for each size class, its most central node, and nodes are
+tried against the hubs of their lists. Then, in lists that still hold several components, the
+nodes outside the largest one meet the nodes of other components; pairs inside a component can't
+change the result. That step has no caps; long lists are dealt over blocks. Components are found
+by alternating large and small stars.
+
+Posted nodes carry an odd sketch: whether each of 1,024 buckets holds an odd number of the set's
+shingles. Two sketches differ in no more buckets than the sets do in shingles, so that this bound
+loses no link; sets of some thousand shingles fill the buckets, and there the expected number of
+differing buckets and five standard deviations (a chance of some 3e-7) bounds it too. What passes
+is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truemark.llm.common import bucketed, release, worker_cache, written
+from truemark.llm.common import bucketed, worker_cache, written
 
 COORDINATES, MATCH = 48, 27
 _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dtype="uint64") * np.uint64(2) + np.uint64(1)
 _CACHED = 500_000
-_BITS = 256
-_BIT_MULTIPLY = np.random.default_rng(21).integers(1 << 62, 1 << 63, _BITS, dtype="uint64") * np.uint64(2) + np.uint64(1)
+_BUCKETS = 1024
+_LONGS = _BUCKETS // 64
+_SKETCH = "doc_id {}, n long, node binary, tokens array<long>, parity array<long>"
 
 
 class _Words(dict):
@@ -47,7 +52,6 @@ class _Words(dict):
         return value
 
 
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,6 +75,10 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(rolled)
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The 32-bit minimum of each coordinate's hash."""
     low = np.full(COORDINATES, 0xFFFFFFFF, "uint64")
@@ -79,173 +87,152 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return low.astype("uint32")
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """The lowest bit of 256 further minima, as four longs."""
-    low = np.full(_BITS, 0xFFFFFFFF, "uint64")
-    for a in range(0, len(shingles), 1024):
-        low = np.minimum(low, ((shingles[a : a + 1024, None] * _BIT_MULTIPLY) >> np.uint64(32)).min(axis=0))
-    return np.packbits((low & np.uint64(1)).astype("uint8")).view("<i8")
-
-
-def parity(shingles: np.ndarray) -> bytes:
-    """For each of 2**k buckets (3 to 6 a shingle, 64 at least) whether it holds an odd number of them."""
-    buckets = 1 << max(6, int(3 * len(shingles) - 1).bit_length())
-    held = np.bincount((shingles & np.uint64(buckets - 1)).astype("int64"), minlength=buckets)
-    return np.packbits((held & 1).astype("uint8")).tobytes()
-
-
-def differing_parity(x: bytes, y: bytes) -> int:
-    """Buckets whose parities differ, of which there are never more than shingles that one set lacks."""
-    s, r = np.frombuffer(x, "uint8"), np.frombuffer(y, "uint8")
-    while len(s) > len(r):
-        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
-    while len(r) > len(s):
-        r = r[: len(r) // 2] ^ r[len(r) // 2 :]
-    return int(np.bitwise_count(s ^ r).sum())
-
-
-def most_differing(percent: int) -> int:
-    """Bits that may differ: the mean at the wanted similarity and 4.2 standard deviations."""
-    p = (1 - percent / 100) / 2
-    return int(_BITS * p + 4.2 * (_BITS * p * (1 - p)) ** 0.5)
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """An odd sketch as longs: for each bucket of the hash's low bits whether it holds an odd number of shingles."""
+    held = np.bincount((shingles & np.uint64(_BUCKETS - 1)).astype("int64"), minlength=_BUCKETS)
+    return np.packbits((held & 1).astype("uint8")).view("<i8")
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit fingerprint (f1, f2) and its signature."""
+    """doc_id, n (set size), node (the set's fingerprint), tokens (coordinate and minimum) and parity."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    coordinate = np.arange(COORDINATES) << 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, prints, signatures = [], [], []
+            sizes, nodes, tokens, parities = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
                 sizes.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                signatures.append(signature(s).tobytes())
-            halves = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "signature"])
+                nodes.append(fingerprint(s))
+                tokens.append(signature(s) + coordinate)
+                parities.append(parity(s))
+            lists = [pa.ListArray.from_arrays(np.arange(0, len(x) * k + 1, k, "int32"), np.concatenate([np.zeros(0, "int64"), *x])) for x, k in ((tokens, COORDINATES), (parities, _LONGS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "n", "node", "tokens", "parity"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, f1 long, f2 long, signature binary")
-
-
-def _tokens(nodes: DataFrame) -> DataFrame:
-    """node, n, token: one row a coordinate; the token holds coordinate and minimum."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = np.frombuffer(b"".join(x.as_py() for x in b.column(2)), "<u4").reshape(-1, COORDINATES).astype("int64")
-            token = (low + (np.arange(COORDINATES) << 32)).ravel()
-            rows = pa.array(np.repeat(np.arange(b.num_rows), COORDINATES))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(token)], names=["node", "n", "token"])
-
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "n", "signature").mapInArrow(run, f"node {kind}, n long, token long")
+    return source.mapInArrow(run, _SKETCH.format(source.schema["doc_id"].dataType.simpleString()))
 
 
 def post(nodes: DataFrame, percent: int) -> DataFrame:
-    """The posting lists: token, node, n, class (of size) and weight (how central the node is)."""
-    tokens = _tokens(nodes)
+    """A row per node that is posted: its columns, prefix (the tokens it is posted under), class (of size) and weight (how central it is)."""
+    tokens = nodes.select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    own = tokens.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
+    own = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))  # at most COORDINATES
     own = own.where(F.size("t") >= MATCH)
     unshared = F.lit(COORDINATES) - F.size("t")
     prefix = F.slice("t", F.lit(1), F.greatest(F.lit(COORDINATES - MATCH + 1) - unshared, F.lit(0)))
     weight = F.aggregate("t", F.lit(0.0), lambda a, x: a + F.log(x["freq"].cast("double")))
+    own = own.select(F.col("node").alias("_own"), F.transform(prefix, lambda x: x["token"]).alias("prefix"), weight.alias("weight"))
     step = float(np.log(100 / percent))
-    return own.select("node", "n", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class"), weight.alias("weight"), F.explode(prefix).alias("p")).select("p.token", "node", "n", "class", "weight")
+    parities = [F.get("parity", F.lit(k)).alias(f"b{k}") for k in range(_LONGS)]
+    return nodes.join(own, F.col("node") == F.col("_own")).select("node", "doc_id", "n", "tokens", "prefix", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class"), "weight", *parities)
+
 
+#: What two nodes are compared by before their full sets: columns, so that the join compiles to few instructions.
+_LOOK = ["n", *(f"b{k}" for k in range(_LONGS))]
 
-def _alike(left: str, right: str, percent: int) -> Column:
-    """Sizes and bit sketches (struct columns with n, b0 ... b3) allow the similarity."""
-    x, y = F.col(left), F.col(right)
-    differing = sum((F.bit_count(x[f"b{k}"].bitwiseXOR(y[f"b{k}"])) for k in range(4)), F.lit(0))
-    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (differing <= most_differing(percent))
 
+def _named(prefix: str, columns: list[str], source: str = "") -> list[Column]:
+    return [F.col(source + c).alias(prefix + c) for c in columns]
 
-def _pair(x: str, y: str) -> list[Column]:
-    """x as a, and y, which may be in many pairs, as b."""
-    return [F.col(x).alias("a"), F.col(y).alias("b")]
 
+def _alike(percent: int) -> Column:
+    """Sizes and odd sketches (columns n, b0 ... of one side, x_n, x_b0 ... of the other) allow the similarity."""
+    differing = reduce(lambda a, k: a + F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"x_b{k}"))), range(1, _LONGS), F.bit_count(F.col("b0").bitwiseXOR(F.col("x_b0"))))
+    most = F.expr(f"({100 - percent} * (n + x_n)) div {100 + percent}")  # shingles that only one of them has
+    share = (1 - F.pow(F.lit(1 - 2 / _BUCKETS), most)) / 2
+    likely = _BUCKETS * share + 5 * F.sqrt(_BUCKETS * share * (1 - share)) + 1
+    return (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (differing <= F.least(most, likely))
 
-def hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+
+def hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b) with b a hub of a list of a, in a's size class or beside it."""
-    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", F.lit(0) - F.col("node"), "node", "look")).alias("h"))
-    near = hubs.select("token", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("h.node").alias("hub"), F.col("h.look").alias("hub_look"))
-    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & _alike("look", "hub_look", percent))
-    return met.select(*_pair("node", "hub")).distinct()
+    postings = posted.select(F.explode("prefix").alias("token"), "class", "weight", "node", *_LOOK)
+    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", "node", *_LOOK)).alias("h"))
+    near = hubs.select("token", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("h.node").alias("hub"), *_named("x_", _LOOK, "h."))
+    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & _alike(percent))
+    return met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def open_lists(postings: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of the lists that hold several components, with ``component`` and the list's ``largest``."""
-    own = postings.join(components, "node", "left").select("token", "node", "look", F.coalesce("component", "node").alias("component"))
-    parts = own.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component"))["component"].alias("largest")).where("parts > 1").select("token", "largest")
-    return own.join(lists, "token")
+def open_rows(posted: DataFrame, components: DataFrame) -> DataFrame:
+    """Postings of the lists that hold several components, with ``component``, the list's ``largest``
+    and its numbers of rows outside that one (``few``) and in all (``rows``)."""
+    labels = components.select(F.col("node").alias("_own"), "component")
+    own = posted.join(labels, F.col("node") == F.col("_own"), "left").select("node", *_LOOK, "tokens", "prefix", F.coalesce("component", "node").alias("component"))
+    parts = own.select(F.explode("prefix").alias("token"), "component").groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
+    lists = lists.select("token", "rows", (F.col("rows") - F.col("m.size")).alias("few"), F.col("m.component").alias("largest"))
+    return own.select(F.explode("prefix").alias("token"), "node", *_LOOK, "tokens", "prefix", "component").join(lists, "token")
 
 
-def drawn_pairs(rows: DataFrame, percent: int, turn: int, draws: int = 8) -> DataFrame:
-    """(a, b) with b one of ``draws`` members of the list's largest component, and a outside it."""
-    drawn = rows.where("component = largest").groupBy("token", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(draws)).alias("draw")).agg(F.max(F.struct(F.xxhash64("node", F.lit(-turn)), "node", "look")).alias("h"))
-    drawn = drawn.select("token", F.col("h.node").alias("member"), F.col("h.look").alias("member_look"))
-    return rows.where("component != largest").join(drawn, "token").where(_alike("look", "member_look", percent)).select(*_pair("node", "member")).distinct()
+def open_pairs(rows: DataFrame, percent: int, few: int = 1024, many: int = 8192) -> DataFrame:
+    """(a, b) of one list and of different components, but for pairs within a list's largest one.
 
+    A list is dealt over blocks: ``few`` of the nodes outside its largest component meet ``many``
+    nodes in one. A pair comes out of the first list only that both are posted in.
+    """
+    x_blocks, y_blocks = F.ceil(F.col("few") / few).cast("int"), F.ceil(F.col("rows") / many).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = rows.where("component != largest").withColumn("x_block", place(x_blocks)).withColumn("y_block", blocks(y_blocks))
+    x = x.select("token", "x_block", "y_block", *_named("x_", [*_LOOK, "node", "tokens", "prefix", "component"]))
+    y = rows.withColumn("y_block", place(y_blocks)).withColumn("x_block", blocks(x_blocks)).select("token", "x_block", "y_block", *_LOOK, "node", "tokens", "prefix", "component", "largest")
+    apart = (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x_node") < F.col("node")))
+    first = F.array_min(F.array_intersect("prefix", "x_prefix")) == F.col("token")
+    enough = F.size(F.array_intersect("tokens", "x_tokens")) >= MATCH
+    return x.join(y, ["token", "x_block", "y_block"]).where(apart & _alike(percent) & first & enough).select(F.col("node").alias("a"), F.col("x_node").alias("b"))
+
+
+def load_sets(docs: DataFrame, posted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """node and shingles of the posted nodes, from their texts, in buckets of the node.
+
+    Each node is read from the document that it names; a row with that id and another text is
+    told by its fingerprint, and rows that repeat the text count once.
+    """
+    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.select(F.col("doc_id").alias("own"), "node").hint("shuffle_hash"), "own")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = set()  # rows that repeat an id come to one task
+        for b in batches:
+            rows, held = [], []
+            for k, (text, node) in enumerate(zip(b.column(0), b.column(1).to_pylist())):
+                if node in loaded:
+                    continue
+                own = shingle_set(text.as_py(), words)
+                if fingerprint(own) == node:
+                    loaded.add(node)
+                    rows.append(k)
+                    held.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows, pa.int64())), pa.array(held, pa.binary())], names=["node", "shingles"])
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of one list and of different components, but for pairs within a list's largest one."""
-    few = rows.where("component != largest").select("token", F.col("node").alias("x"), F.col("look").alias("x_look"), F.col("component").alias("x_component"))
-    met = few.join(rows, "token").where((F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x") < F.col("node"))) & _alike("look", "x_look", percent))
-    return met.select(*_pair("node", "x")).distinct()
+    return bucketed(chosen.select("text", "node").mapInArrow(load, "node binary, shingles binary"), "sets", "node")
 
 
-def facing(pairs: DataFrame, sets: DataFrame, columns: list[str], each: int = 256) -> DataFrame:
-    """a, b and ``columns`` of both nodes as structs x and y.
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 256) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on the full sets.
 
-    ``sets`` is bucketed by node, so only pairs move to meet the columns of a. What a pair then
-    carries moves once more, to b, whose columns are sent only to the tasks that need them; a
-    node in more than ``each`` pairs, such as the hub of a large group, is dealt over several.
+    ``sets`` is bucketed by node, so only pairs move to meet the set of a. What a pair then
+    carries moves once more, to b, whose set is sent only to the tasks that need it; a node in
+    more than ``each`` pairs, such as the hub of a large group, is dealt over several.
     """
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias("parts"))
     dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    held = F.struct(*columns)
-    left = dealt.hint("shuffle_hash").join(sets.select(F.col("node").alias("a"), held.alias("x")), "a")
-    right = parts.hint("shuffle_hash").join(sets.select(F.col("node").alias("b"), held.alias("y")), "b")
+    left = dealt.hint("shuffle_hash").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    right = parts.hint("shuffle_hash").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right, ["b", "part"]).select("a", "b", "x", "y")
-
-
-def _count_matches(faced: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in at least MATCH coordinates and whose parities allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column("x"), b.column("y")
-            s, r = (np.frombuffer(b"".join(v.as_py() for v in c.field("signature")), "<u4").reshape(-1, COORDINATES) for c in (x, y))
-            same = (s == r).sum(axis=1) >= MATCH
-            most = (100 - percent) * (x.field("n").to_numpy() + y.field("n").to_numpy())
-            for k in np.flatnonzero(same):
-                same[k] = (100 + percent) * differing_parity(x.field("parity")[int(k)].as_py(), y.field("parity")[int(k)].as_py()) <= most[k]
-            kept = pa.array(same)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in ("a", "b")], names=["a", "b"])
-
-    kind = faced.schema["a"].dataType.simpleString()
-    return faced.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def confirm(faced: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets."""
+    faced = left.join(right, ["b", "part"]).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             linked = []
-            for x, y in zip(b.column("x").field("shingles"), b.column("y").field("shingles")):
+            for x, y in zip(b.column(2), b.column(3)):
                 s, r = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
                 both = len(np.intersect1d(s, r, assume_unique=True))
                 linked.append(100 * both >= percent * (len(s) + len(r) - both))
             kept = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in ("a", "b")], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
 
-    kind = faced.schema["a"].dataType.simpleString()
-    return faced.mapInArrow(run, f"a {kind}, b {kind}")
+    return faced.mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,59 +270,27 @@ def components(edges: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept per row.
 
-    Rows with one id are one document. A row without words has an empty set and is linked with
-    nothing. A null id is linked with nothing: its component_id is null and it is kept.
+    Rows with one id are one document: it is linked with what any of them is. A row without words
+    has an empty set and is linked with nothing. A null id is linked with nothing: its component_id
+    is null and it is kept. Other columns are ignored, whatever their names.
     """
     sketches = written(sketch(docs, words, id_col, text_col), "sketches")
-    # `signature` is a function of the set, so any of the equal ones will do
-    nodes = written(sketches.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
-    postings = written(post(nodes, percent), "postings")
-    posted = written(postings.select("node").distinct().join(nodes, "node").select(F.col("node").alias("own"), "f1", "signature"), "posted")
-    release(docs.sparkSession)
-
-    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.hint("shuffle_hash"), "own").select("own", "text", "f1", "signature")
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = set()  # rows that repeat an id come to one task
-        for b in batches:
-            rows, sizes, held, parities, bits = [], [], [], [], []
-            for k, (doc, text, f) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())):
-                if doc in loaded:
-                    continue
-                own = shingle_set(text.as_py(), words)
-                raw = own.tobytes()
-                if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == f:
-                    loaded.add(doc)
-                    rows.append(k)
-                    sizes.append(len(own))
-                    held.append(raw)
-                    parities.append(parity(own))
-                    bits.append(bit_sketch(own))
-            at, four = pa.array(rows, pa.int64()), np.array(bits, "<i8").reshape(-1, 4)
-            columns = [b.column(0).take(at), pa.array(sizes, pa.int64()), b.column(3).take(at), pa.array(parities, pa.binary()), pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(four[:, k].copy()) for k in range(4))], names=["node", "n", "signature", "parity", "shingles", "b0", "b1", "b2", "b3"])
-
-    kind = posted.schema["own"].dataType.simpleString()
-    sets = bucketed(chosen.mapInArrow(load, f"node {kind}, n long, signature binary, parity binary, shingles binary, b0 long, b1 long, b2 long, b3 long"), "sets", "node")
-    release(docs.sparkSession)
-    looks = sets.select("node", "b0", "b1", "b2", "b3").distinct()
-    seen = written(postings.join(looks, "node").select("token", "node", "class", "weight", F.struct("n", "b0", "b1", "b2", "b3").alias("look")), "looks")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        met = written(pairs, "met")
-        alike = written(_count_matches(facing(met, sets, ["n", "signature", "parity"]), percent), "alike")
-        return confirm(facing(alike, sets, ["shingles"]), percent)
-
-    def starred(found: DataFrame, more: DataFrame) -> DataFrame:
-        return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
-
-    found = written(components(linked(hub_pairs(seen, percent))), "components")
-    release(docs.sparkSession)
-    for turn in (1, 2):
-        found = written(components(starred(found, linked(drawn_pairs(open_lists(seen, found), percent, turn)))), "components")
-        release(docs.sparkSession)
-    last = linked(open_pairs(open_lists(seen, found), percent))
-    # the same set may stand under one id with another text: rows of one id are one document
-    same_id = sketches.join(nodes.select("f1", "f2", F.col("n").alias("n_shingles"), "node"), ["f1", "f2", "n_shingles"]).where("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    label = components(starred(found, last.union(same_id))).withColumnRenamed("node", "_node")
-    return sketches.join(label, F.col("doc_id") == F.col("_node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    named = sketches.where("n > 0 and doc_id is not null")
+    # what is taken of a node's rows is a function of the set, but for the smallest id
+    nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "tokens", "parity"))), "nodes")
+    posted = written(post(nodes, percent), "posted")
+    sets = load_sets(docs, posted, words, id_col, text_col)
+
+    found = written(components(confirm(written(hub_pairs(posted, percent), "met"), sets, percent)), "components")
+    last = confirm(written(open_pairs(written(open_rows(posted, found), "open"), percent), "met"), sets, percent)
+    # different texts under one id are one document
+    same_id = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select(F.col("doc_id").alias("_id"), "a")
+    same_id = named.join(same_id, F.col("doc_id") == F.col("_id")).select("a", F.col("node").alias("b"))
+    label = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(last).union(same_id))
+
+    inside = nodes.select("node", "doc_id").join(label.withColumnRenamed("node", "_own"), F.col("node") == F.col("_own"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = inside.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = inside.join(least, "component").select(F.col("node").alias("_own"), "component_id")
+    by_id = named.join(placed, F.col("node") == F.col("_own")).groupBy("doc_id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("doc_id", "_id")
+    rows = sketches.select("doc_id", F.col("n").alias("n_shingles"), "node").join(by_id, F.col("doc_id") == F.col("_id"), "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
