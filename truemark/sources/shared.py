@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,36 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is set here, to a local folder, only where the session names none (tests on one machine).
+    Where the session names none, a local master gets a temporary folder of its own, and a cluster
+    an error: a folder of the driver's machine is of no use to executors elsewhere.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="truemark-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    With ``partition_by`` (a column of whole numbers), a filter on it reads its folders alone.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Like ``written``, with the rows in buckets of ``column``: joins on it read them without a shuffle."""
+    """Like ``written``, with the rows in buckets of ``column``: joins on it read them without a shuffle.
+
+    Spark writes buckets only through its catalogue; the entry goes as soon as the frame knows the
+    buckets, and the files, which are outside the warehouse, stay.
+    """
     spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
-    return spark.table(unique)
-
-
-def release(spark: SparkSession) -> None:
-    """Let executors delete the shuffle files of jobs that have ended.
-
-    Spark does so only when the driver happens to collect its garbage, which a driver with much
-    free memory may not do for hours, while a long chain of jobs fills the executors' disks.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    found = spark.table(unique)
+    found.schema  # noqa: B018  resolves the frame
+    spark.sql(f"DROP TABLE {unique}")
+    return found
