@@ -112,7 +112,7 @@ def test_near_dedup_meets_over_blocks(spark):
     """The open step alone, with lists dealt over blocks, finds the pairs of all lists once."""
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(60)]
-    texts = [" ".join(w if rng.random() > 0.03 else f"z{rng.integers(1e6)}" for w in base) for _ in range(40)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"z{rng.integers(1e6)}" for w in [*base, f"own{i}"]) for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     nodes = near_dedup.written(near_dedup.sketch(docs, 2, "doc_id", "text"), "nodes")
     posted = near_dedup.written(near_dedup.post(nodes, 80), "posted")

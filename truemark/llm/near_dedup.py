@@ -41,7 +41,7 @@ _MULTIPLY = np.random.default_rng(20).integers(1 << 62, 1 << 63, COORDINATES, dt
 _CACHED = 500_000
 _BUCKETS = 1024
 _LONGS = _BUCKETS // 64
-_SKETCH = "doc_id {}, n long, node binary, tokens array<long>, parity array<long>"
+_SKETCH = "doc_id {}, n long, node binary, signature array<int>, parity array<long>"
 
 
 class _Words(dict):
@@ -84,7 +84,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     low = np.full(COORDINATES, 0xFFFFFFFF, "uint64")
     for a in range(0, len(shingles), 4096):
         low = np.minimum(low, ((shingles[a : a + 4096, None] * _MULTIPLY) >> np.uint64(32)).min(axis=0))
-    return low.astype("uint32")
+    return low.astype("uint32").view("int32")
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -94,38 +94,53 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), node (the set's fingerprint), tokens (coordinate and minimum) and parity."""
+    """doc_id, n (set size), node (the set's fingerprint), signature and parity."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    coordinate = np.arange(COORDINATES) << 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, nodes, tokens, parities = [], [], [], []
+            sizes, nodes, minima, parities = [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), words)
                 sizes.append(len(s))
                 nodes.append(fingerprint(s))
-                tokens.append(signature(s) + coordinate)
+                minima.append(signature(s))
                 parities.append(parity(s))
-            lists = [pa.ListArray.from_arrays(np.arange(0, len(x) * k + 1, k, "int32"), np.concatenate([np.zeros(0, "int64"), *x])) for x, k in ((tokens, COORDINATES), (parities, _LONGS))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "n", "node", "tokens", "parity"])
+            lists = [pa.ListArray.from_arrays(np.arange(0, len(x) * k + 1, k, "int32"), np.concatenate([np.zeros(0, kind), *x])) for x, k, kind in ((minima, COORDINATES, "int32"), (parities, _LONGS, "int64"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *lists], names=["doc_id", "n", "node", "signature", "parity"])
 
     return source.mapInArrow(run, _SKETCH.format(source.schema["doc_id"].dataType.simpleString()))
 
 
+def _token(at: Column, minimum: Column) -> Column:
+    """Coordinate and minimum as one long."""
+    return F.shiftleft(at.cast("long"), 32) + minimum
+
+
 def post(nodes: DataFrame, percent: int) -> DataFrame:
-    """A row per node that is posted: its columns, prefix (the tokens it is posted under), class (of size) and weight (how central it is)."""
-    tokens = nodes.select("node", F.explode("tokens").alias("token"))
+    """A row per node that is posted: its columns, prefix (the coordinates it is posted under; mask as
+    bits), class (of size) and weight (how central it is)."""
+    tokens = nodes.select("node", F.posexplode("signature").alias("at", "minimum")).select("node", _token(F.col("at"), F.col("minimum")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    own = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))  # at most COORDINATES
+    # frequency and coordinate in one long: what a node's row says of its tokens but for the minima, which it knows
+    told = F.col("freq") * 64 + F.shiftright(F.col("token") + (1 << 31), 32)
+    own = tokens.join(shared, "token").select("node", told.alias("t")).groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("t"))  # at most COORDINATES
     own = own.where(F.size("t") >= MATCH)
     unshared = F.lit(COORDINATES) - F.size("t")
-    prefix = F.slice("t", F.lit(1), F.greatest(F.lit(COORDINATES - MATCH + 1) - unshared, F.lit(0)))
-    weight = F.aggregate("t", F.lit(0.0), lambda a, x: a + F.log(x["freq"].cast("double")))
-    own = own.select(F.col("node").alias("_own"), F.transform(prefix, lambda x: x["token"]).alias("prefix"), weight.alias("weight"))
+    prefix = F.transform(F.slice("t", F.lit(1), F.greatest(F.lit(COORDINATES - MATCH + 1) - unshared, F.lit(0))), lambda x: (x % 64).cast("int"))
+    weight = F.aggregate("t", F.lit(0.0), lambda a, x: a + F.log(F.floor(x / 64).cast("double")))
+    own = own.select(F.col("node").alias("_own"), prefix.alias("prefix"), weight.alias("weight"))
     step = float(np.log(100 / percent))
+    mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
     parities = [F.get("parity", F.lit(k)).alias(f"b{k}") for k in range(_LONGS)]
-    return nodes.join(own, F.col("node") == F.col("_own")).select("node", "doc_id", "n", "tokens", "prefix", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("class"), "weight", *parities)
+    posted = nodes.join(own, F.col("node") == F.col("_own")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    return posted.select("node", "doc_id", "n", "signature", "prefix", mask.alias("mask"), "class", "weight", *parities)
+
+
+def _postings(posted: DataFrame, *columns: str) -> DataFrame:
+    """token and ``columns``: a row for each coordinate that a node is posted under."""
+    rows = posted.select("signature", F.explode("prefix").alias("at"), *columns)
+    return rows.select(_token(F.col("at"), F.get("signature", F.col("at"))).alias("token"), *columns)
 
 
 #: What two nodes are compared by before their full sets: columns, so that the join compiles to few instructions.
@@ -146,41 +161,47 @@ def _alike(percent: int) -> Column:
 
 
 def hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with b a hub of a list of a, in a's size class or beside it."""
-    postings = posted.select(F.explode("prefix").alias("token"), "class", "weight", "node", *_LOOK)
-    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", "node", *_LOOK)).alias("h"))
-    near = hubs.select("token", F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class"), F.col("h.node").alias("hub"), *_named("x_", _LOOK, "h."))
-    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & _alike(percent))
-    return met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    """(a, b) with b a hub of a list of a, in a's size class or the one below; only keys move, until pairs are few."""
+    postings = _postings(posted, "class", "weight", "node", "n")
+    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", "node", "n")).alias("h"))
+    near = hubs.select("token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    left = posted.select(F.col("node").alias("a"), *_named("", _LOOK))
+    right = posted.select(F.col("node").alias("b"), *_named("x_", _LOOK))
+    return met.join(left, "a").join(right, "b").where(_alike(percent)).select("a", "b")
 
 
 def open_rows(posted: DataFrame, components: DataFrame) -> DataFrame:
     """Postings of the lists that hold several components, with ``component``, the list's ``largest``
     and its numbers of rows outside that one (``few``) and in all (``rows``)."""
     labels = components.select(F.col("node").alias("_own"), "component")
-    own = posted.join(labels, F.col("node") == F.col("_own"), "left").select("node", *_LOOK, "tokens", "prefix", F.coalesce("component", "node").alias("component"))
-    parts = own.select(F.explode("prefix").alias("token"), "component").groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    own = posted.join(labels, F.col("node") == F.col("_own"), "left").select("node", "signature", "prefix", F.coalesce("component", "node").alias("component"))
+    postings = _postings(own, "node", "component")
+    parts = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
     lists = lists.select("token", "rows", (F.col("rows") - F.col("m.size")).alias("few"), F.col("m.component").alias("largest"))
-    return own.select(F.explode("prefix").alias("token"), "node", *_LOOK, "tokens", "prefix", "component").join(lists, "token")
+    return postings.join(lists, "token").join(posted.select("node", "signature", "mask", *_LOOK), "node")
 
 
 def open_pairs(rows: DataFrame, percent: int, few: int = 1024, many: int = 8192) -> DataFrame:
     """(a, b) of one list and of different components, but for pairs within a list's largest one.
 
     A list is dealt over blocks: ``few`` of the nodes outside its largest component meet ``many``
-    nodes in one. A pair comes out of the first list only that both are posted in.
+    nodes in one. A pair that the sketches allow is counted at the first coordinate only that both
+    are posted under, by probing the others.
     """
     x_blocks, y_blocks = F.ceil(F.col("few") / few).cast("int"), F.ceil(F.col("rows") / many).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    x = rows.where("component != largest").withColumn("x_block", place(x_blocks)).withColumn("y_block", blocks(y_blocks))
-    x = x.select("token", "x_block", "y_block", *_named("x_", [*_LOOK, "node", "tokens", "prefix", "component"]))
-    y = rows.withColumn("y_block", place(y_blocks)).withColumn("x_block", blocks(x_blocks)).select("token", "x_block", "y_block", *_LOOK, "node", "tokens", "prefix", "component", "largest")
+    held = [*_LOOK, "node", "signature", "mask", "component"]
+    x = rows.where("component != largest").withColumn("x_block", place(x_blocks)).withColumn("y_block", blocks(y_blocks)).select("token", "x_block", "y_block", *_named("x_", held))
+    y = rows.withColumn("y_block", place(y_blocks)).withColumn("x_block", blocks(x_blocks)).select("token", "x_block", "y_block", *held, "largest")
     apart = (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x_node") < F.col("node")))
-    first = F.array_min(F.array_intersect("prefix", "x_prefix")) == F.col("token")
-    enough = F.size(F.array_intersect("tokens", "x_tokens")) >= MATCH
-    return x.join(y, ["token", "x_block", "y_block"]).where(apart & _alike(percent) & first & enough).select(F.col("node").alias("a"), F.col("x_node").alias("b"))
+    same = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.get("signature", k) == F.get("x_signature", k))
+    both = F.col("mask").bitwiseAND(F.col("x_mask"))
+    first = F.array_min(F.filter(same, lambda k: F.call_function("shiftright", both, k) % 2 != 0)) == F.shiftright(F.col("token") + (1 << 31), 32)
+    return x.join(y, ["token", "x_block", "y_block"]).where(apart & _alike(percent) & (F.size(same) >= MATCH) & first).select(F.col("node").alias("a"), F.col("x_node").alias("b"))
 
 
 def load_sets(docs: DataFrame, posted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -277,7 +298,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     sketches = written(sketch(docs, words, id_col, text_col), "sketches")
     named = sketches.where("n > 0 and doc_id is not null")
     # what is taken of a node's rows is a function of the set, but for the smallest id
-    nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "tokens", "parity"))), "nodes")
+    nodes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "signature", "parity"))), "nodes")
     posted = written(post(nodes, percent), "posted")
     sets = load_sets(docs, posted, words, id_col, text_col)
 
