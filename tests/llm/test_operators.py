@@ -1,10 +1,13 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -136,18 +139,61 @@ def test_marginals_match_enumeration():
     assert np.allclose(toxicity.marginals(u, np.ones((1, 5), bool), pair)[0], hit / total)
 
 
-def test_toxicity_spans_and_edges(docs, empty):
+def test_likelihood_and_its_gradient():
+    """log P(y) against enumeration, and both gradients against finite differences."""
+    rng = np.random.default_rng(1)
+    u, pair, mask = rng.normal(size=(3, 4)), rng.normal(size=(2, 2)), np.array([[1, 1, 1, 1], [1, 1, 1, 0], [1, 0, 0, 0]], bool)
+    y = (rng.random((3, 4)) < 0.5) * mask.astype(float)
+
+    def enumerated(u, pair):
+        found = []
+        for row, m, t in zip(u, mask.sum(axis=1), y):
+            weigh = lambda z: sum(row[i] * z[i] for i in range(m)) + sum(pair[z[i], z[i + 1]] for i in range(m - 1))
+            every = [weigh([n >> i & 1 for i in range(m)]) for n in range(1 << m)]
+            found.append(weigh(t.astype(int).tolist()) - np.log(np.exp(every).sum()))
+        return np.array(found)
+
+    value, by_unary, by_pair = toxicity.likelihood(u, mask, pair, y)
+    assert np.allclose(value, enumerated(u, pair))
+    for i, j in np.argwhere(mask):
+        d = np.zeros_like(u)
+        d[i, j] = 1e-6
+        assert abs((enumerated(u + d, pair) - enumerated(u - d, pair))[i] / 2e-6 - by_unary[i, j]) < 1e-6
+    for i, j in np.ndindex(2, 2):
+        d = np.zeros((2, 2))
+        d[i, j] = 1e-6
+        assert np.allclose((enumerated(u, pair + d) - enumerated(u, pair - d)) / 2e-6, by_pair[:, i, j], atol=1e-6)
+
+
+def test_toxicity_spans_and_edges(spark, docs, empty):
     texts = [f"calm words {i} here and there you rotten idiot pest" for i in range(30)] + [f"calm words {i} here and there all is fine today" for i in range(60)]
-    field = toxicity.fit(texts, np.array([1] * 30 + [0] * 60))
+    known = spark.createDataFrame([(i, t, int(i < 30)) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    field = toxicity.learn(known.drop("toxic"), known.drop("text"))
     p = toxicity.tag([texts[0].split()], field)[0]
     assert any(texts[0][s["start"] : s["end"]].find("idiot") >= 0 for s in toxicity.spans(texts[0], p))
     got = toxicity.score(docs, field).collect()
     assert len(got) == len(ROWS) and all(0 <= r["score"] <= 1 for r in got)
     assert all(r["predicted"] == 0 and not r["spans"] for r in got if r["doc_id"] in (4, 5, 6))
-    own = docs.sparkSession.createDataFrame([(texts[0],), (texts[-1],)], "text string")
+    own = spark.createDataFrame([(texts[0],), (texts[-1],)], "text string")
     assert [r["predicted"] for r in toxicity.score(own, field).collect()] == [1, 0]
     assert toxicity.score(empty, field).count() == 0
-    assert 0 <= toxicity.score(docs, toxicity.fit([], np.array([]))).first()["score"] < 0.3
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert 0 <= toxicity.score(docs, toxicity.learn(docs, none)).first()["score"] < 0.3
+    twice = toxicity.score(docs, field).where("doc_id = 7").collect()
+    assert twice[0]["score"] == twice[1]["score"]
+    # scores against enumeration of all taggings of short texts
+    short = ["you idiot pest", "calm idiot words here pest", "fine today"]
+    scored = toxicity.score(spark.createDataFrame([(t,) for t in short], "text string"), field).collect()
+    for t, r in zip(short, scored):
+        u = [field.token(c) for c in t.split()]
+        m, total, hit = len(u), 0.0, np.zeros(len(u))
+        for n in range(1 << m):
+            z = [n >> i & 1 for i in range(m)]
+            w = np.exp(sum(a * b for a, b in zip(u, z)) + sum(field.pair[z[i], z[i + 1]] for i in range(m - 1)))
+            total, hit = total + w, hit + w * np.array(z)
+        p = sorted((x for x in hit / total if x >= 0.2), reverse=True)
+        x = [1, p[0] if p else 0, p[1] if len(p) > 1 else 0, np.log1p(sum(p)), np.log1p(100 * sum(p) / m)]
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.dot(x, field.document)))) < 1e-9
 
 
 def test_toxicity_scores_do_not_follow_the_cap(spark):
@@ -162,9 +208,10 @@ def test_toxicity_scores_do_not_follow_the_cap(spark):
 
 
 def test_toxic_places_cover_the_whole_text():
-    text, y = [[f"t{i}" for i in range(2000)]], [np.ones(2000, "int8")]
-    chunks, tags, _ = toxicity._windows(text, y, np.array([1]), np.random.default_rng(5))
-    assert len(chunks) == len(tags) == 12 and max(int(c[0][1:]) for c in chunks) > 1000
+    text = " ".join(f"tttt{i}" for i in range(2000))
+    cut = toxicity.windows(text, 1, {"4tttt"}, 12, 6)
+    assert len(cut) == 12 and max(int(c[0][4:]) for c, _ in cut) > 1000 and all(all(t) for _, t in cut)
+    assert len(toxicity.windows("one two", 0, set(), 12, 6)) == 2 and toxicity.windows("", 1, set(), 12, 6) == []
 
 
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 3000])
@@ -299,16 +346,206 @@ def test_judge_edges(docs, empty, spark):
     got = quality_rules.judge(docs, labels).collect()
     assert len(got) == len(ROWS) and {r["doc_id"] for r in got if r["kept"]} == {1, 2, 3}
     assert quality_rules.judge(empty, labels).count() == 0
+    assert quality_rules.judge(docs, labels.limit(0)).where("kept").count() == 3
+
+
+def test_judge_finds_safe_cutoffs(spark):
+    """Enough good labels for cutoffs in one stratum; every decision against a plain loop."""
+    rng = np.random.default_rng(12)
+    rows, labels = [], []
+    for i in range(2600):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        noisy = i % 13 == 0
+        for k in rng.choice(60, 20, replace=False) if noisy else ():
+            words[k] = "#|#"
+        rows.append((i, " ".join(words)))
+        if i % 2:
+            labels.append((i, int(not noisy)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.judge(table, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    rate = {i: 1000 * r["n_symbols"] // r["word_chars"] for i, r in got.items()}  # the other rates are 0
+    known, n, best = dict(labels), 0, None
+    free = [rate[i] for i in rate if i not in known]
+    good = [rate[i] for i in rate if known.get(i) == 1]
+    from math import comb
+
+    for level in quality_rules.LEVELS:
+        cut = min(c for c in free if 1000 * sum(x > c for x in free) <= level * len(free))
+        k, n = sum(x > cut for x in good), len(good)
+        if k < n * 0.01 and sum(comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)) <= 0.05 / 24:
+            best = cut
+    assert best is not None and {i for i, r in got.items() if not r["kept"]} == {i for i, x in rate.items() if x > best}
+    assert sum(not r["kept"] for r in got.values()) > 100
+
+
+def test_repeats_that_interleave(spark):
+    text = "a b c a b c x y z q x y z " * 3
+    r = quality_rules.base_counts(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    assert r["n_repeat_words"] == r["n_words"] == 39
+
 
+ADDED = "size source_size target taken positions position n_lines n_dropped score predicted spans lang_pred margin rejected _id _hits _hit_id _row _kept _mix_hash".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """The documents with a column, 100 + doc_id, for each name that some operator adds or uses, one of them in capitals."""
+    return docs.select("*", *((F.lit(100) + F.col("doc_id")).alias(c.upper() if c == "score" else c) for c in ADDED))
+
+
+def test_clashing_names(spark, clashing):
+    field = toxicity.learn(clashing.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
+    model = quality.fit_pairs(np.zeros((0, quality.FEATURES)), np.zeros(0))
+    made = {
+        "size source_size target taken positions _mix_hash": mixing.mix(clashing),
+        "n_lines n_dropped": line_dedup.dedup_lines(clashing, 2, 1),
+        "score predicted spans": toxicity.score(clashing, field),
+        "lang_pred score margin rejected": language.identify(clashing, {}),
+        "score predicted": quality.score(clashing, model),
+    }
+    for names, got in made.items():
+        lower = [c.lower() for c in got.columns]
+        assert len(lower) == len(set(lower))
+        for r in got.collect():
+            assert all(r[c.upper() if c == "score" else c] == (r["doc_id"] and 100 + r["doc_id"]) for c in ADDED if c not in names.split())
+    assert mixing.by_position(mixing.mix(clashing)).count() == len(ROWS)
+    with pytest.raises(ValueError, match="rename score"):
+        quality.score(clashing.withColumnRenamed("text", "score2").withColumn("score", F.col("score2")), model, text_col="score")
+    for f in (near_dedup.link_documents, media.encode_media, lambda d: quality_rules.judge(d, spark.createDataFrame([], "doc_id long, quality int")), lambda d: packing.pack_documents(d, word_tokenizer())):
+        assert f(clashing).count() == len(ROWS) + (f(clashing).columns[1] == "start")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, clashing, SF).columns == clashing.columns
+
+
+def test_media_matches_plain_bytes(spark, docs):
+    got = media.decode_media(media.encode_media(docs)).collect()
+    files = {(r["doc_id"], r["n_bytes"]): r["media"] for r in media.encode_media(docs).collect()}
+    want = sorted(((r[0], (r[1] or "").encode()) for r in ROWS), key=str)
+    for r, (doc, raw) in zip(sorted(got, key=lambda r: str((r["doc_id"], next(x for d, x in want if d == r["doc_id"])))), want):
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r["doc_id"], r["n_bytes"], r["payload_bytes"]) == (doc, len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        file = bytes(files[doc, len(raw)])
+        assert file[:4] == b"RIFF" and (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        frames = -(-len(payload) // (media.WIDTH * media.HEIGHT))
+        histogram = np.bincount(np.frombuffer(payload, "uint8") >> 4, minlength=16)
+        assert r["feature"].startswith(f"frames={frames};") and r["feature"].endswith("hist=" + ",".join(map(str, histogram)))
+        assert r["clips"][0]["start_frame"] == 0 and r["clips"][-1]["end_frame"] == frames and f"shots={len(r['clips'])};" in r["feature"]
+
+
+def test_language_matches_a_plain_loop(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    known = language.learn_dictionaries(table)
+    for r in language.identify(table.where("doc_id % 4 = 0"), known).collect():
+        text = r["text"] or ""
+        if not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == "und"
+            continue
+        raw, sizes = language.letters_only(text).encode(), {}
+        for lang, content in known.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=6)
+            c = zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(raw[i : i + 1500])) for i in range(0, len(raw), 1500))
+        first, second = sorted(sizes.values())[:2]
+        assert r["lang_pred"] == min(k for k, v in sizes.items() if v == first) and abs(r["margin"] - (second - first) / first) < 1e-12
+        assert r["rejected"] == (r["margin"] < 0.02)
+
+
+def test_packing_matches_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(13)
+    signs = list("abcXYZäÖßéñ .,'-_#0189\n\t\u00a0\u200b漢字ﬁ½…—\u0301😀") + ["don't", "Hello", "A.B.C", " the"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 300))) for _ in range(400)] + [None, "", " "]
+    rows = list(enumerate(texts)) + [(1000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    plain, text = Tokenizer.from_file(word_tokenizer()), dict(rows)
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), word_tokenizer()).collect()
+    pieces: dict = {}
+    for r in got:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert set(pieces) == set(text)
+    for doc, own in pieces.items():
+        ids = np.array([*plain.encode(text[doc] or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_quality_matches_a_plain_loop(spark, docs):
+    rng = np.random.default_rng(14)
+    model = quality.PreferenceModel(rng.normal(size=quality.FEATURES), rng.normal(size=quality.FEATURES), np.ones(quality.FEATURES), 0.2)
+    for r in quality.score(docs, model).collect():
+        text = r["text"] or ""
+        raw, words, lines = text.encode(), text.encode().split(), [x for x in text.encode().split(b"\n") if x.strip()]
+        share = lambda signs: sum(b in signs for b in raw) / max(1, len(raw))
+        upper, symbols = share(bytes(range(65, 91))), share(b"#*$%&|<>@^~_=+\\/{}[]")
+        x = [
+            np.log1p(len(words)), len(raw) / max(1, len(words)) / 10, upper, share(b"0123456789"), symbols, share(b".,;:!?'\"()-"), np.log1p(1000 * symbols), np.log1p(1000 * upper),
+            np.log1p(1000 * raw.count(b"!") / max(1, len(raw))), len(set(words)) / max(1, len(words)), max((words.count(w) for w in set(words)), default=0) / max(1, len(words)),
+            sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(raw.count(b"|")), np.log1p(len(lines)), float(len(words) < 20),
+        ]
+        z = sum(w * (a - m) for w, a, m in zip(model.weights, x, model.mean)) - model.threshold
+        want = 1 / (1 + 0.7 / 0.3 * np.exp(-z))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= 0.3)
+
+
+def test_pipeline_stages_match_plain_python(spark):
+    """Each stage on what its predecessor kept, against a plain version of it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    docs = corpus_pipeline.written(docs.unionByName(docs.where("doc_id < 12").withColumn("doc_id", F.col("doc_id") + 900_000)), "test-documents")
+    names = docs.columns
+
+    def after(name):
+        kept = corpus_pipeline.written(dict(corpus_pipeline.STAGES)[name](spark, docs, SF), f"test-{name}")
+        assert kept.columns == names
+        return kept, {r["doc_id"]: r for r in docs.collect()}, {r["doc_id"]: r for r in kept.collect()}
+
+    field = toxicity.learn(docs.where(corpus_pipeline.id_bucket(F.col("doc_id"), 4) != 2), spark.read.parquet(f"{SF}/labels.parquet"))
+    docs, before, kept = after("toxicity")
+    for doc, r in before.items():
+        p = toxicity.tag([(r["text"] or "").split()], field)[0]
+        z = np.dot(toxicity._document(p), field.document)
+        assert (doc in kept) == (1 / (1 + np.exp(-z)) < 0.3) and (doc not in kept or kept[doc] == r)
+
+    docs, before, kept = after("line_dedup")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders: dict = {}
+    for doc, r in before.items():
+        for k in {key(x) for x in (r["text"] or "").split("\n")} - {""}:
+            holders.setdefault(k, set()).add(doc)
+    left = {k: set() for k, v in holders.items() if len(v) >= 10}
+    for doc, r in before.items():
+        parts, own = (r["text"] or "").split("\n"), kept[doc]["text"].split("\n") if doc in kept else []
+        for k in {key(x) for x in parts} & set(left):
+            if any(key(x) == k for x in own):
+                left[k].add(doc)
+        want = "\n".join(x for x in parts if key(x) not in left or doc in left[key(x)])
+        assert (kept[doc]["text"] if doc in kept else "") == want or doc not in kept and not want.strip()
+    assert all(len(v) == 1 for v in left.values())
+
+    docs, before, kept = after("near_dedup")
+    sets = {d: set(near_dedup.shingle_set(r["text"], 5).tolist()) for d, r in before.items()}
+    label = {d: d for d in sets}
+    for _ in sets:
+        moved = False
+        for x in sets:
+            for y in sets:
+                if x < y and sets[x] and sets[y] and label[x] != label[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    label[x] = label[y] = min(label[x], label[y])
+                    moved = True
+        if not moved:
+            break
+    assert set(kept) == {d for d in label if label[d] == d} and all(kept[d] == before[d] for d in kept)
 
-def test_pipeline_stages_take_effect(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.written(stage(spark, docs, SF), f"test-{name}")
-        assert after.columns == docs.columns and after.count() > 0
-        docs = after
+    mixed = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    docs = corpus_pipeline.written(corpus_pipeline.mix_sources(spark, docs, SF), "test-mixing")
+    copies = Counter(r["doc_id"] for r in docs.collect())
+    assert docs.columns == names and copies == Counter({d: -(-r["taken"] // r["size"]) for d, r in mixed.items() if r["taken"]})
     packed = corpus_pipeline.pack_windows(spark, docs, SF)
-    assert packed.agg(F.sum(F.when(F.col("start") == 0, 1))).first()[0] == docs.count()
+    assert Counter(r["doc_id"] for r in packed.where("start = 0").collect()) == copies
 
 
 def test_pipeline_drops_short_repeated_lines(spark):

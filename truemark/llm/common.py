@@ -10,13 +10,37 @@ from pyspark.sql import functions as F
 
 from truemark.sources.shared import bucketed, shared_dir, written
 
-__all__ = ["SPACE", "WORD", "bucketed", "id_bucket", "shared_dir", "spread", "table", "worker_cache", "written"]
+__all__ = ["SPACE", "WORD", "bucketed", "columns", "fresh", "id_bucket", "room_for", "shared_dir", "spread", "table", "worker_cache", "written"]
 
 #: ASCII white space, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def room_for(df: DataFrame, added: list[str], *used: str) -> DataFrame:
+    """``df`` without the columns whose names (in any case) the operator adds: its own replace them.
+
+    A column that the operator reads can't give way; that is an error before any job.
+    """
+    names = {a.lower() for a in added}
+    if clash := [c for c in used if c.lower() in names]:
+        raise ValueError(f"rename {', '.join(clash)}: the operator both reads and adds it")
+    return df.select(*[c for c, name in zip(columns(df), df.columns) if name.lower() not in names])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it a name that no column of ``df`` has."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 _held: list = [None, None]
 
 

@@ -17,6 +17,9 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from truemark.llm.common import room_for
 
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}]+")
@@ -68,8 +71,10 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """``docs`` with lang_pred, score (0 to 1), margin and rejected (the margin is narrow).
 
     Null texts and texts without a letter are 'und' with score 0 and are rejected. Ties go to the
-    language first by name. Without any dictionary every text is 'und'.
+    language first by name. Without any dictionary every text is 'und'. Repeated rows give equal
+    results; columns of ``docs`` that have a name of the added ones are replaced.
     """
+    docs = room_for(docs, ["lang_pred", "score", "margin", "rejected"], text_col)
     names, n, at = list(dictionaries), len(docs.columns), docs.columns.index(text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,5 +99,5 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
                 scores.append(1.0 - 0.5 * math.exp(-20.0 * margin))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array([m < min_margin for m in margins])], names=[*batch.schema.names, "lang_pred", "score", "margin", "rejected"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(label, kinds + ", lang_pred string, score double, margin double, rejected boolean")
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return docs.mapInArrow(label, T.StructType(docs.schema.fields + more))

@@ -3,8 +3,8 @@
 A run is a Parquet table of (h1, h2, docs, first): the 128-bit hash of a line's key, the number of
 documents that hold it and the first of their ids (as text), dealt and sorted by hash. Runs live in levels. When a level holds
 ``fanout`` runs they are merged into one run of the next level, so a key is rewritten once a
-level and a lookup reads few runs. A batch of documents merges with the runs by hash, which
-tells the keys already there, and then adds its own run.
+level and a lookup reads few runs. A batch of documents merges with the runs by hash: an anti-join
+leaves out the keys that the runs already condemn, and what is left is added as the batch's own run.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased.
 """
@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from truemark.llm.common import shared_dir, written
+from truemark.llm.common import columns, fresh, room_for, shared_dir, written
 
 _HASHES = "h1 long, h2 long"
 _RUN = f"{_HASHES}, docs long, first string"
@@ -83,14 +84,6 @@ class LineRuns:
         self.levels.setdefault(0, []).append(name)
         self._compact()
 
-    def bulk_load(self, counts: DataFrame, batches: int) -> None:
-        """Add the runs of several batches, told apart by the column ``batch``, in one job."""
-        name = self._name(0)
-        counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(name)
-        present = {r["batch"] for r in self.spark.read.parquet(name).select("batch").distinct().collect()} if not counts.isEmpty() else set()  # at most `batches`
-        self.levels.setdefault(0, []).extend(f"{name}/batch={b}" for b in range(batches) if b in present)
-        self._compact()
-
     def _compact(self) -> None:
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
@@ -107,31 +100,50 @@ class LineRuns:
         return found if len(runs) <= 1 else found.groupBy("h1", "h2").agg(*_summed())
 
 
-def count_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, batches: int = 4, fanout: int = 4) -> LineRuns:
-    """Runs that hold, for each line key of ``docs``, in how many documents (rows) it occurs."""
+def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
+
+
+def ingest_counts(runs: LineRuns, counts: DataFrame, min_docs: int) -> None:
+    """One batch's (h1, h2, docs, first): those that ``min_docs`` documents of earlier batches hold
+    already are known to go and need no more counting; the others are added as a run."""
+    known = runs.totals().where(F.col("docs") >= min_docs).select("h1", "h2")
+    runs.add(counts.join(known, ["h1", "h2"], "left_anti"))
+
+
+def count_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, min_docs: int = 10, batches: int = 4, fanout: int = 3) -> LineRuns:
+    """Runs that tell which line keys of ``docs`` occur in ``min_docs`` documents (rows) or more.
+
+    The documents are dealt to ``batches`` by a hash of their ids. All batches' keys are counted in
+    one job; then batch after batch meets the runs, as new documents would.
+    """
     spark = docs.sparkSession
     runs = LineRuns(spark, f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}", fanout)
-    tagged = docs.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("batch"), F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
+    tagged = _thin(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("_id", F.length("_body")), F.lit(batches)).cast("int"))
     keys = document_keys(tagged, "_body", min_chars, "batch", "_id")
-    runs.bulk_load(keys.groupBy("batch", "h1", "h2").agg(*_counted("_id")), batches)
+    counts = written(keys.groupBy("batch", "h1", "h2").agg(*_counted("_id")), "line-counts", "batch")
+    for b in range(batches):
+        ingest_counts(runs, counts.where(F.col("batch") == b).select("h1", "h2", "docs", "first"), min_docs)
     return runs
 
 
 def strip_lines(docs: DataFrame, dropped: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """``docs`` with n_lines, n_dropped and the text left after lines with a key in ``dropped`` went.
 
-    The merge anti-join runs on hashes: each document's keys meet ``dropped`` (distinct h1, h2),
+    The merge join runs on hashes: each document's keys meet ``dropped`` (distinct h1, h2, first),
     and only the matches go back to the document, as a list no longer than its own lines. With
-    ``keep_first`` the document with a key's first id keeps its lines.
+    ``keep_first`` the document with a key's first id keeps its lines. Rows of one id and text are
+    alike; rows of one id and different texts share their matches, which other texts don't hold.
     """
-    keys = document_keys(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_body", min_chars, "_id")
+    docs = room_for(docs, ["n_lines", "n_dropped"], text_col, id_col)
+    keys = document_keys(_thin(docs, id_col, text_col), "_body", min_chars, "_id")
     hits = keys.alias("k").join(dropped.select("h1", "h2", "first").alias("d"), (F.col("k.h1") == F.col("d.h1")) & (F.col("k.h2") == F.col("d.h2")))
     if keep_first:
         hits = hits.where(~F.col("_id").cast("string").eqNullSafe(F.col("first")))
-    hits = hits.select("_id", "k.h1", "k.h2")
-    lists = hits.groupBy(F.col("_id").alias("_hit_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
-    joined = docs.withColumn("_id", F.col(id_col)).join(lists.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_hit_id")), "left")
-    source = joined.select(*docs.columns, "_hits")
+    hit_id, found = fresh(docs, "_hit_id"), fresh(docs, "_hits")
+    lists = hits.select("_id", "k.h1", "k.h2").groupBy(F.col("_id").alias(hit_id)).agg(F.collect_set(F.struct("h1", "h2")).alias(found))
+    joined = docs.join(lists.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(hit_id)), "left")
+    source = joined.select(*columns(docs), found)
     names, at, n = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,23 +160,23 @@ def strip_lines(docs: DataFrame, dropped: DataFrame, text_col: str = "text", id_
                 texts.append(own)
                 lines.append(len(parts))
                 gone.append(lost)
-            columns = list(batch.columns[:n])
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            out = list(batch.columns[:n])
+            out[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return source.mapInArrow(strip, kinds + ", n_lines long, n_dropped long")
+    return source.mapInArrow(strip, T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", id_col: str = "doc_id", keep_first: bool = False) -> DataFrame:
     """Drop, in every document (but a key's first, with ``keep_first``), all lines whose key at least ``min_docs`` documents hold.
 
-    Returns the columns of ``docs`` (they may not be called n_lines or n_dropped; select first)
-    with the remaining text, n_lines and n_dropped. A null or empty text is one empty line, whose
-    key is too short to drop; it comes back as ''. Repeated rows count as documents of their own.
-    A null id is an id like any other. An empty table gives an empty result.
+    Returns the columns of ``docs`` with the remaining text, n_lines and n_dropped; columns of
+    these names are replaced. A null or empty text is one empty line, whose key is too short to
+    drop; it comes back as ''. Repeated rows count as documents of their own. A null id is an id
+    like any other. An empty table gives an empty result. A key's first document is the one with
+    the smallest id (as text) of those that were counted before the key was known to go.
     """
-    often = count_lines(docs, text_col, id_col, min_chars).totals().where(F.col("docs") >= min_docs)
+    often = count_lines(docs, text_col, id_col, min_chars, min_docs).totals().where(F.col("docs") >= min_docs)
     return strip_lines(docs, written(often, "frequent-lines"), text_col, id_col, min_chars, keep_first)
 
 
@@ -173,7 +185,6 @@ def ingest(runs: LineRuns, batch: DataFrame, text_col: str = "text", id_col: str
 
     The result is written before the runs change, so that it doesn't depend on later batches.
     """
-    earlier = runs.totals()
-    left = written(strip_lines(batch, earlier, text_col, id_col, min_chars), "ingested")
-    runs.add(document_keys(batch.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")), "_body", min_chars, "_id").groupBy("h1", "h2").agg(*_counted("_id")))
+    left = written(strip_lines(batch, runs.totals(), text_col, id_col, min_chars), "ingested")
+    runs.add(document_keys(_thin(batch, id_col, text_col), "_body", min_chars, "_id").groupBy("h1", "h2").agg(*_counted("_id")))
     return left

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from truemark.llm.common import WORD, written
+from truemark.llm.common import WORD, columns, room_for, written
 
 _HASH_BITS = 60
 
@@ -36,19 +36,26 @@ def _hash(doc_id: Column) -> Column:
 
 def cycle_schedules(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tilt: float = 0.5) -> DataFrame:
     """``sources`` (source, ...) with knots: weights repeat over the sources in code-point order, null
-    last; schedules fall and rise in turn by ``tilt`` around their weight, which is their integral."""
+    last; schedules fall and rise in turn by ``tilt`` around their weight."""
     at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (at % len(weights) + 1).cast("int"))
     slope = F.when(at % 2 == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
-    return sources.withColumn("weight", weight).withColumn("knots", F.array(weight * (1 + slope), weight, weight * (1 - slope)))
+    return sources.withColumn("knots", F.array(weight * (1 + slope), weight, weight * (1 - slope)))
+
+
+def integral(knots: Column) -> Column:
+    """Of a schedule over training time 0 to 1."""
+    pieces = F.transform(F.sequence(F.lit(1), F.size(knots) - 1), lambda i: (F.get(knots, i - 1) + F.get(knots, i)) / 2)
+    return F.aggregate(pieces, F.lit(0.0), lambda a, x: a + x) / (F.size(knots) - 1)
 
 
 def fill_targets(sources: DataFrame, budget: float, max_repeat: float) -> DataFrame:
-    """``sources`` (source, source_size, weight) with target, no target above its cap.
+    """``sources`` (source, source_size, knots) with weight, the integral of the schedule, and target, no target above its cap.
 
     With sources in the order of cap over weight, those before some point are at their caps and the
     rest share what is left by weight; the point is the first where no share passes its cap.
     """
+    sources = sources.withColumn("weight", integral(F.col("knots")))
     cap = F.col("source_size") * F.lit(float(max_repeat))
     order = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())  # one row a source
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -82,9 +89,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     """``docs`` with size, source_size, target, taken and positions, one per copy that the mix takes.
 
     Null texts have size 0 and are never taken; a null source is a source of its own; repeated
-    rows are documents of their own; ids may be null. ``docs`` may not have columns of the added
-    names or that begin with ``_mix``. An empty table gives an empty result.
+    rows are documents of their own; ids may be null. Columns of ``docs`` that have a name of the
+    added ones, or one that begins with ``_mix``, are replaced. An empty table gives an empty result.
     """
+    own = [c for c in docs.columns if c.lower().startswith("_mix")]
+    docs = room_for(docs, ["size", "source_size", "target", "taken", "positions", *own], id_col, text_col, source_col)
     buckets = max(1, math.isqrt(docs.count()))
     sized = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_mix_hash", _hash(F.col(id_col))).withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**_HASH_BITS) * buckets).cast("int"))
     sums = written(sized.groupBy(F.col(source_col).alias("source"), F.col("_mix_bucket").alias("bucket")).agg(F.sum("size").alias("bucket_size")), "source-buckets")
@@ -102,11 +111,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     taken = F.transform(copies, lambda c: F.struct(c["copy"].alias("copy"), c["at"].alias("at"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mix_stop") - c["at"])).cast("long").alias("words")))
     found = placed.withColumn("_mix_start", start).withColumn("_mix_stop", stop).withColumn("_mix_copies", F.filter(taken, lambda c: c["words"] > 0))
     positions = F.transform("_mix_copies", lambda c: training_time(F.col("_mix_knots"), c["at"] / F.col("target")))
-    return found.withColumn("taken", F.aggregate("_mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("positions", positions).select(*docs.columns, "size", "source_size", "target", "taken", "positions")
+    return found.withColumn("taken", F.aggregate("_mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("positions", positions).select(*columns(docs), "size", "source_size", "target", "taken", "positions")
 
 
 def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents range-sorted by first training position; those not taken follow in hash order."""
+    mixed = room_for(mixed, ["position"], id_col)
     key = F.coalesce(F.get("positions", F.lit(0)), 1.0 + _hash(F.col(id_col)) / F.lit(2.0**_HASH_BITS))
     return mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy(key, id_col)
 

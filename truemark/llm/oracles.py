@@ -9,17 +9,21 @@ ORACLES["op1_mix_sources"] = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
-c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
+k AS (SELECT *, weight * (CASE WHEN row_number() OVER (ORDER BY source NULLS LAST) % 2 = 1 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END) AS k0 FROM s),
+c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM k),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM c),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
 f AS (SELECT (SELECT level FROM l WHERE level * weight <= cap ORDER BY k LIMIT 1) AS level),
-t AS (SELECT source, source_size, least(cap, coalesce(f.level * weight, cap))::DOUBLE AS target FROM l, f),
-p AS (SELECT doc_id, size, source_size, target,
+t AS (SELECT source, source_size, weight, k0, least(cap, coalesce(f.level * weight, cap))::DOUBLE AS target FROM l, f),
+p AS (SELECT doc_id, size, source_size, target, weight, k0, 2 * weight - k0 AS k2,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken FROM p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
+             start / target * 2 * weight AS wanted, (k0 + weight) / 2 AS half FROM p),
+v AS (SELECT *, least(wanted, half) AS a, greatest(wanted - half, 0) AS b FROM u)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN round((2 * a / (k0 + sqrt(greatest(k0 * k0 + 2 * (weight - k0) * a, 0))) + 2 * b / (weight + sqrt(greatest(weight * weight + 2 * (k2 - weight) * b, 0)))) / 2, 9) END AS position FROM v
 """
 
 ORACLES["op2_near_dedup"] = rf"""
@@ -53,9 +57,9 @@ SELECT conv_id, len(turns)::BIGINT AS n_turns, copies,
 """
 
 _RATES = {"symbols": "(1000 * n_symbols) // greatest(word_chars, 1)", "dup_lines": "(1000 * n_dup_lines) // greatest(n_words, 1)", "repeats": "(1000 * n_repeat_words) // greatest(n_words, 1)"}
-_TESTS = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {c} AS cutoff, count(*)::BIGINT AS n, count_if({e} > {c})::BIGINT AS k FROM good GROUP BY stratum" for r, e in _RATES.items() for c in (5, 10, 20, 40, 80, 160, 320, 480))
-_CUTS = ", ".join(f"min(cutoff) FILTER (WHERE rule = '{r}') AS max_{r}" for r in _RATES)
-_PASS = " AND ".join(f"coalesce({e} <= max_{r}, true)" for r, e in _RATES.items())
+_TOLD = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {r} AS rate FROM rated WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)" for r in _RATES)
+_CUTS = ", ".join(f"min(rate) FILTER (WHERE rule = '{r}') AS max_{r}" for r in _RATES)
+_OVER = " OR ".join(f"{r} > max_{r}" for r in _RATES)
 
 ORACLES["op10_quality_rules"] = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -69,11 +73,14 @@ counted AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(te
                    coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                   CASE WHEN n_words < 200 THEN 0 WHEN n_words < 1000 THEN 1 ELSE 2 END AS stratum FROM counted),
-good AS (SELECT j.* FROM judged j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-tests AS ({_TESTS}),
-safe AS (SELECT * FROM tests WHERE k < n * 0.01::DOUBLE AND 0.05::DOUBLE / 72 >=
+rated AS (SELECT *, {', '.join(f'{e} AS {r}' for r, e in _RATES.items())} FROM judged WHERE NOT base_failed),
+hist AS (SELECT stratum, rule, rate, count(*) AS n FROM ({_TOLD}) GROUP BY ALL),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY stratum, rule ORDER BY rate DESC) - n AS above, sum(n) OVER (PARTITION BY stratum, rule) AS total FROM hist),
+levels AS (SELECT stratum, level, {_CUTS} FROM placed, (SELECT unnest([1, 2, 5, 10, 20, 50, 100, 200]) AS level) WHERE above * 1000 <= level * total GROUP BY ALL),
+seen AS (SELECT l.*, count(*)::BIGINT AS n, count_if({_OVER})::BIGINT AS k FROM rated r JOIN levels l USING (stratum) WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+safe AS (SELECT * FROM seen WHERE k < n * 0.01::DOUBLE AND 0.05::DOUBLE / 24 >=
          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE))))),
-cuts AS (SELECT stratum, {_CUTS} FROM safe GROUP BY stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASS} AS kept
-FROM judged LEFT JOIN cuts USING (stratum)
+cuts AS (SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY level DESC) = 1)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed, NOT j.base_failed AND NOT coalesce({_OVER}, false) AS kept
+FROM (SELECT *, {', '.join(f'{e} AS {r}' for r, e in _RATES.items())} FROM judged) j LEFT JOIN cuts USING (stratum)
 """

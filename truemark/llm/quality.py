@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from truemark.llm.common import written
+from truemark.llm.common import room_for, written
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _STOP, _SPACE, _OTHER = range(7)
 _CLASS = np.full(256, _OTHER, "uint8")
@@ -136,7 +137,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Preferen
 
 
 def score(docs: DataFrame, model: PreferenceModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with score and predicted (score >= 0.3). Null texts are scored as empty ones."""
+    """``docs`` with score and predicted (score >= 0.3). Null texts are scored as empty ones.
+
+    Repeated rows give equal results; columns of ``docs`` called score or predicted are replaced.
+    """
+    docs = room_for(docs, ["score", "predicted"], text_col)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,5 +150,4 @@ def score(docs: DataFrame, model: PreferenceModel, text_col: str = "text") -> Da
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.3).astype("int32"))], names=[*names, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, kinds + ", score double, predicted int")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

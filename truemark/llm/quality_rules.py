@@ -1,24 +1,27 @@
 """Quality rules with risk-controlled cutoffs. DataFrame functions only.
 
-Base counts are taken inside each row: arrays of words and of hashed word triples, sorted as
-plain longs. On labelled good documents, each candidate cutoff of each rule in each stratum is
-tested: if the true rate of false rejections were ``risk`` or more, seeing as few as were seen
-has a binomial probability, and the cutoff is safe where that is at most ``error`` over the
-number of tests (Bonferroni). The strictest safe cutoff is used; a stratum without one has no rule.
+Base counts are taken inside each row: arrays of words and of hashed word triples. In each stratum
+the rules have nested levels of strictness: at a level, each rule's cutoff is the least that at
+most so many per thousand of the stratum's documents without a label exceed. On labelled good
+documents, which had no part in the cutoffs, each level is tested with all its rules together: if
+the true rate of false rejections in the stratum were ``risk`` or more, seeing as few as were seen
+has a binomial probability, and the level is safe where that is at most ``error`` over the number
+of tests (Bonferroni). The strictest safe level is used; a stratum without one has no rule.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from truemark.llm.common import SPACE, written
+from truemark.llm.common import SPACE, columns, written
 
 #: Rules: a count and what it is per thousand of; a document is rejected above the cutoff.
 RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_words"), "repeats": ("n_repeat_words", "n_words")}
-CANDIDATES = (5, 10, 20, 40, 80, 160, 320, 480)
+#: Documents per thousand that a level's cutoff of one rule rejects at most.
+LEVELS = (1, 2, 5, 10, 20, 50, 100, 200)
 STRATA = 3
 
 
@@ -32,8 +35,7 @@ def _covered(windows: Column) -> Column:
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long).
 
-    Repeated triples are found in a sorted array of (hash, position) packed into longs: the hash is
-    cut to what the position leaves of 62 bits and neighbours are compared by their whole hashes.
+    Repeated triples are neighbours in the sorted array of (hash, position), by their whole 64-bit hashes.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     at = lambda a, i: F.get(F.col(a), i.cast("int"))
@@ -43,19 +45,17 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     triples = F.transform(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, at("_words", i + 1), at("_words", i + 2)))
     step = step.withColumn("_triples", triples)
     step = step.withColumn("_repeats", F.size("_triples") > F.size(F.array_distinct("_triples")))
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    packed = F.transform("_triples", lambda h, i: F.coalesce(F.pmod(h, F.expr(f"{1 << 62}L div greatest(n_words, 1L)")) * n + i, F.lit(0).cast("long")))
-    step = step.withColumn("_packed", F.when(F.col("_repeats"), F.sort_array(packed)))
+    placed = F.transform("_triples", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))
+    step = step.withColumn("_placed", F.when(F.col("_repeats"), F.sort_array(placed)))
 
     def repeated(v: Column, j: Column) -> Column:
-        own = at("_triples", v % n)
-        near = lambda k: F.coalesce(at("_triples", at("_packed", k) % n) == own, F.lit(False))
+        near = lambda k: F.coalesce(at("_placed", k)["h"] == v["h"], F.lit(False))
         return near(j + 1) | F.when(j > 0, near(F.greatest(j - 1, F.lit(0)))).otherwise(F.lit(False))
 
-    windows = F.sort_array(F.transform(F.filter("_packed", repeated), lambda v: F.coalesce(v % n, F.lit(0).cast("long"))))
+    windows = F.sort_array(F.transform(F.filter("_placed", repeated), lambda v: v["i"]))
     step = step.withColumn("n_repeat_words", F.when(F.col("_repeats"), _covered(windows)).otherwise(F.lit(0).cast("long")))
     return step.select(
-        *docs.columns,
+        *columns(docs),
         "n_words",
         F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -102,31 +102,47 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * p, summed).otherwise(F.lit(1.0))
 
 
+def level_cutoffs(rates: DataFrame) -> DataFrame:
+    """stratum, level and each rule's cutoff. ``rates``: stratum and each rule's rate (0 to 1000) of documents."""
+    told = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate")) for r in RULES)))
+    counts = rates.select("stratum", told.alias("t")).groupBy("stratum", "t.rule", "t.rate").agg(F.count(F.lit(1)).alias("n"))  # at most 1001 a stratum and rule
+    own = Window.partitionBy("stratum", "rule")
+    above = F.coalesce(F.sum("n").over(own.orderBy(F.col("rate").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("stratum", "rule", "rate", above.alias("above"), F.sum("n").over(own).alias("total"))
+    levels = placed.select("*", F.explode(F.array(*map(F.lit, LEVELS))).alias("level")).where("above * 1000 <= level * total")
+    return levels.groupBy("stratum", "level").agg(*(F.min(F.when(F.col("rule") == r, F.col("rate"))).alias(f"max_{r}") for r in RULES))
+
+
+def exceeds() -> Column:
+    return reduce(lambda a, b: a | b, (F.col(r) > F.col(f"max_{r}") for r in RULES))
+
+
 def safe_cutoffs(counted: DataFrame, labels: DataFrame, risk: float, error: float) -> DataFrame:
-    """At most one row per stratum: the strictest safe cutoff of each rule, null where there is none.
+    """At most one row per stratum: the cutoffs of its strictest safe level.
 
     ``counted`` has doc_id and the base counts; ``labels`` doc_id and quality, 1 for good. Documents
-    that fail the base rules, unlabelled ones and null labels don't count.
+    that fail the base rules don't count; those with any label row have no part in the cutoffs.
     """
-    good = counted.where(~base_failed()).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    rates = good.select(stratum().alias("stratum"), *(_rate(r).alias(r) for r in RULES))
-    over = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in CANDIDATES]
-    seen = rates.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *over)
-    tests = [F.struct(F.lit(r).alias("rule"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r in RULES for c in CANDIDATES]
-    tried = seen.select("stratum", "n", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "t.*")
-    safe = tried.withColumn("p", binomial_tail(F.col("n"), F.col("k"), risk)).where(F.col("p") <= error / (STRATA * len(tests)))
-    return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES))
+    passed = counted.where(~base_failed()).select("doc_id", stratum().alias("stratum"), *(_rate(r).alias(r) for r in RULES))
+    known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"))
+    told = passed.join(known.withColumnRenamed("doc_id", "_known"), F.col("doc_id") == F.col("_known"), "left")
+    cutoffs = level_cutoffs(told.where("_known is null"))
+    tried = told.where("good").join(F.broadcast(cutoffs), "stratum")  # at most three strata and eight levels
+    maxima = [f"max_{r}" for r in RULES]
+    seen = tried.groupBy("stratum", "level", *maxima).agg(F.count(F.lit(1)).alias("n"), F.count_if(exceeds()).alias("k"))
+    safe = seen.where(binomial_tail(F.col("n"), F.col("k"), risk) <= error / (STRATA * len(LEVELS)))
+    return safe.groupBy("stratum").agg(F.max_by(F.struct(*maxima), "level").alias("m")).select("stratum", "m.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed and kept.
 
-    ``risk`` bounds false rejections per rule and stratum, all bounds together failing with a
-    probability of at most ``error``. A null text has no words and fails the base rules. Repeated
+    ``risk`` bounds the share of a stratum's good documents that the rules together reject, the
+    bounds of all strata together failing with a probability of at most ``error``. A null text has no words and fails the base rules. Repeated
     rows are judged alike; ids may be null; other columns are ignored.
     """
     counted = written(base_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text").drop("_text"), "quality-counts")
     cutoffs = safe_cutoffs(counted, labels, risk, error).withColumnRenamed("stratum", "_stratum")
-    ruled = counted.withColumn("_own", stratum()).join(F.broadcast(cutoffs), F.col("_own") == F.col("_stratum"), "left")  # at most three rows
-    passes = reduce(lambda a, b: a & b, (F.coalesce(_rate(r) <= F.col(f"max_{r}"), F.lit(True)) for r in RULES))
-    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & passes).alias("kept"))
+    ruled = counted.withColumns({"_own": stratum(), **{r: _rate(r) for r in RULES}}).join(F.broadcast(cutoffs), F.col("_own") == F.col("_stratum"), "left")  # at most three rows
+    kept = ~base_failed() & ~F.coalesce(exceeds(), F.lit(False))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"))

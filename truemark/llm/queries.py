@@ -20,7 +20,7 @@ def word_tokenizer() -> str:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode_media(media.encode_media(table(spark, sf_dir, "documents"))).drop("clips")
+    return media.decode_media(media.encode_media(table(spark, sf_dir, "documents")))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
