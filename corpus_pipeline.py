@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from truemark.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from truemark.llm.common import id_bucket, table, written
+from truemark.llm.common import columns, fresh, id_bucket, table, written
 from truemark.llm.queries import word_tokenizer
 
 
@@ -14,7 +14,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts toxic go."""
     known = docs.where(id_bucket(F.col("doc_id"), 4) != 2)
     field = toxicity.learn(known, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, field).where("predicted = 0").select(*docs.columns)
+    judged = docs.select(F.struct(*columns(docs)).alias("row"), "text")
+    return toxicity.score(judged, field).where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +23,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents with nothing left go; n_chars follows the text.
     """
-    left = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, keep_first=True)
+    judged = docs.select("doc_id", "text", F.struct(*columns(docs)).alias("row"))
+    left = line_dedup.dedup_lines(judged, min_docs=10, min_chars=1, keep_first=True)
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(row.alias("row")).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 or more of its five-word shingles stays: the smallest id."""
-    kept = near_dedup.link_documents(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    own, row = fresh(docs, "_kept"), fresh(docs, "_row")
+    kept = near_dedup.link_documents(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left_semi")
     # rows that repeat an id are one document
-    one = named.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_row = 1").select(*docs.columns)
+    one = named.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(row) == 1).select(*columns(docs))
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each copy that the mix takes is a row, in training order; documents that it doesn't take go."""
-    return mixing.training_stream(mixing.mix(docs), docs.columns)
+    judged = docs.select("doc_id", "text", "source", F.struct(*columns(docs)).alias("row"))
+    return mixing.training_stream(mixing.mix(judged), ["row"]).select("row.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

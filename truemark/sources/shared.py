@@ -31,7 +31,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    return found.select(*df.columns) if partition_by else found  # else the partition column would stand last
 
 
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
