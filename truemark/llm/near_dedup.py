@@ -1,17 +1,19 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 A document is a set of hashed word shingles; equal sets are one node, named by the set's 128-bit
-fingerprint. A node's signature has one minimum per coordinate, and (coordinate, minimum) is a
-token under which the node is posted. Two nodes whose sets have the wanted similarity agree in at
+fingerprint. A node's signature has one minimum per coordinate, and a token (coordinate, minimum)
+is what the node is posted under. Sizes fall into classes, each a quarter wider than the last, so
+that nodes of the wanted similarity are in one class or in neighbouring ones; a family of lists
+holds the nodes of two neighbouring classes, and each node is in two families. Two nodes whose sets have the wanted similarity agree in at
 least ``MATCH`` of the coordinates but for a chance of some 4e-5 a pair. So with a node's tokens
 in the order of their frequency, rarest first, such a pair meets in one of the first
-``COORDINATES - MATCH + 1`` (prefix). Longer lists are skipped, not merged: a pair that met in a
+``COORDINATES - MATCH + 1`` of a family (prefix). Longer lists are skipped, not merged: a pair that met in a
 short one is counted by probing its tokens in all coordinates, at the first list the two share, so
-that a pair comes out once. A node with fewer than ``MATCH`` shared tokens isn't posted at all.
+that a pair comes out once. A node with fewer than ``MATCH`` shared tokens in a family isn't posted there at all.
 
 Pairs are sought in two steps, so that a large group of near copies isn't paired with itself.
-First each posting list names a hub for each size class, its most central node, and nodes are
-tried against the hubs of their lists. Then, in lists that still hold several components, the
+First each posting list names a hub, its most central node, and nodes are tried against the hubs
+of their lists. Then, in lists that still hold several components, the
 nodes outside the largest one meet the nodes of other components; pairs inside a component can't
 change the result. That step has no caps; long lists are dealt over blocks. Components are found
 by alternating large and small stars.
@@ -112,35 +114,40 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     return source.mapInArrow(run, _SKETCH.format(source.schema["doc_id"].dataType.simpleString()))
 
 
-def _token(at: Column, minimum: Column) -> Column:
-    """Coordinate and minimum as one long."""
-    return F.shiftleft(at.cast("long"), 32) + minimum
+def _token(family: Column, at: Column, minimum: Column) -> Column:
+    """Family, coordinate and minimum as one long."""
+    return F.shiftleft((family * 64 + at).cast("long"), 32) + minimum
+
+
+def _coordinate(token: Column) -> Column:
+    return F.shiftright(token + (1 << 31), 32) % 64
 
 
 def post(nodes: DataFrame, percent: int) -> DataFrame:
-    """A row per node that is posted: its columns, prefix (the coordinates it is posted under; mask as
-    bits), class (of size) and weight (how central it is)."""
-    tokens = nodes.select("node", F.posexplode("signature").alias("at", "minimum")).select("node", _token(F.col("at"), F.col("minimum")).alias("token"))
+    """A row per node and family that it is posted in: the node's columns, class (of size), prefix (the
+    coordinates it is posted under; mask as bits) and weight (how central it is)."""
+    step = float(np.log(100 / percent))
+    classed = nodes.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int") + 1)
+    families = classed.select("node", "signature", F.explode(F.array(F.col("class") - 1, F.col("class"))).alias("family"))
+    tokens = families.select("node", "family", F.posexplode("signature").alias("at", "minimum")).select("node", _token(F.col("family"), F.col("at"), F.col("minimum")).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    # frequency and coordinate in one long: what a node's row says of its tokens but for the minima, which it knows
-    told = F.col("freq") * 64 + F.shiftright(F.col("token") + (1 << 31), 32)
-    own = tokens.join(shared, "token").select("node", told.alias("t")).groupBy("node").agg(F.sort_array(F.collect_list("t")).alias("t"))  # at most COORDINATES
-    own = own.where(F.size("t") >= MATCH)
+    # what a node's row says of its tokens, but for the minima, which it knows: frequency and coordinate in one long
+    told = tokens.join(shared, "token").select("node", F.shiftright(F.col("token") + (1 << 31), 38).cast("int").alias("family"), (F.col("freq") * 64 + _coordinate(F.col("token"))).alias("t"))
+    own = told.groupBy("node", "family").agg(F.sort_array(F.collect_list("t")).alias("t")).where(F.size("t") >= MATCH)  # at most COORDINATES
     unshared = F.lit(COORDINATES) - F.size("t")
     prefix = F.transform(F.slice("t", F.lit(1), F.greatest(F.lit(COORDINATES - MATCH + 1) - unshared, F.lit(0))), lambda x: (x % 64).cast("int"))
     weight = F.aggregate("t", F.lit(0.0), lambda a, x: a + F.log(F.floor(x / 64).cast("double")))
-    own = own.select(F.col("node").alias("_own"), prefix.alias("prefix"), weight.alias("weight"))
-    step = float(np.log(100 / percent))
+    own = own.select(F.col("node").alias("_own"), "family", prefix.alias("prefix"), weight.alias("weight"))
     mask = F.aggregate("prefix", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x)))
     parities = [F.get("parity", F.lit(k)).alias(f"b{k}") for k in range(_LONGS)]
-    posted = nodes.join(own, F.col("node") == F.col("_own")).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    return posted.select("node", "doc_id", "n", "signature", "prefix", mask.alias("mask"), "class", "weight", *parities)
+    posted = classed.join(own, F.col("node") == F.col("_own"))
+    return posted.select("node", "doc_id", "n", "signature", "class", "family", "prefix", mask.alias("mask"), "weight", *parities)
 
 
 def _postings(posted: DataFrame, *columns: str) -> DataFrame:
     """token and ``columns``: a row for each coordinate that a node is posted under."""
-    rows = posted.select("signature", F.explode("prefix").alias("at"), *columns)
-    return rows.select(_token(F.col("at"), F.get("signature", F.col("at"))).alias("token"), *columns)
+    rows = posted.select("family", "signature", F.explode("prefix").alias("at"), *columns)
+    return rows.select(_token(F.col("family"), F.col("at"), F.get("signature", F.col("at"))).alias("token"), *columns)
 
 
 #: What two nodes are compared by before their full sets: columns, so that the join compiles to few instructions.
@@ -161,47 +168,50 @@ def _alike(percent: int) -> Column:
 
 
 def hub_pairs(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with b a hub of a list of a, in a's size class or the one below; only keys move, until pairs are few."""
-    postings = _postings(posted, "class", "weight", "node", "n")
-    hubs = postings.groupBy("token", "class").agg(F.max(F.struct("weight", "node", "n")).alias("h"))
-    near = hubs.select("token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
+    """(a, b) with b the hub of a list of a; only keys move, until pairs are few."""
+    postings = _postings(posted, "weight", "node", "n")
+    hubs = postings.groupBy("token").agg(F.max(F.struct("weight", "node", "n")).alias("h")).select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
     sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    met = postings.join(near, ["token", "class"]).where((F.col("node") != F.col("hub")) & sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    left = posted.select(F.col("node").alias("a"), *_named("", _LOOK))
-    right = posted.select(F.col("node").alias("b"), *_named("x_", _LOOK))
+    met = postings.join(hubs, "token").where((F.col("node") != F.col("hub")) & sized).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    looks = posted.select("node", *_LOOK).distinct()
+    left = looks.select(F.col("node").alias("a"), *_named("", _LOOK))
+    right = looks.select(F.col("node").alias("b"), *_named("x_", _LOOK))
     return met.join(left, "a").join(right, "b").where(_alike(percent)).select("a", "b")
 
 
 def open_rows(posted: DataFrame, components: DataFrame) -> DataFrame:
     """Postings of the lists that hold several components, with ``component``, the list's ``largest``
-    and its numbers of rows outside that one (``few``) and in all (``rows``)."""
+    and its numbers of rows outside that one (``few``) and in all (``rows``).
+
+    A family's pairs have a node of its lower class, so lists without one have none."""
     labels = components.select(F.col("node").alias("_own"), "component")
-    own = posted.join(labels, F.col("node") == F.col("_own"), "left").select("node", "signature", "prefix", F.coalesce("component", "node").alias("component"))
-    postings = _postings(own, "node", "component")
-    parts = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("m")).where("parts > 1")
+    own = posted.join(labels, F.col("node") == F.col("_own"), "left").select("node", "signature", "family", "prefix", (F.col("class") == F.col("family")).alias("low"), F.coalesce("component", "node").alias("component"))
+    postings = _postings(own, "node", "low", "component")
+    parts = postings.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"), F.max("low").alias("low"))
+    lists = parts.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "component")).alias("m"), F.max("low").alias("low")).where("parts > 1 and low")
     lists = lists.select("token", "rows", (F.col("rows") - F.col("m.size")).alias("few"), F.col("m.component").alias("largest"))
-    return postings.join(lists, "token").join(posted.select("node", "signature", "mask", *_LOOK), "node")
+    found = postings.drop("low").join(lists, "token").withColumn("family", F.shiftright(F.col("token") + (1 << 31), 38).cast("int"))
+    return found.join(posted.select("node", "family", "class", "signature", "mask", *_LOOK), ["node", "family"])
 
 
 def open_pairs(rows: DataFrame, percent: int, few: int = 1024, many: int = 8192) -> DataFrame:
     """(a, b) of one list and of different components, but for pairs within a list's largest one.
 
     A list is dealt over blocks: ``few`` of the nodes outside its largest component meet ``many``
-    nodes in one. A pair that the sketches allow is counted at the first coordinate only that both
-    are posted under, by probing the others.
+    nodes in one. A pair that the sketches allow is counted in the family of its lower class, at the
+    first coordinate only that both are posted under there, by probing the others.
     """
     x_blocks, y_blocks = F.ceil(F.col("few") / few).cast("int"), F.ceil(F.col("rows") / many).cast("int")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    held = [*_LOOK, "node", "signature", "mask", "component"]
+    held = [*_LOOK, "node", "class", "signature", "mask", "component"]
     x = rows.where("component != largest").withColumn("x_block", place(x_blocks)).withColumn("y_block", blocks(y_blocks)).select("token", "x_block", "y_block", *_named("x_", held))
-    y = rows.withColumn("y_block", place(y_blocks)).withColumn("x_block", blocks(x_blocks)).select("token", "x_block", "y_block", *held, "largest")
+    y = rows.withColumn("y_block", place(y_blocks)).withColumn("x_block", blocks(x_blocks)).select("token", "family", "x_block", "y_block", *held, "largest")
     apart = (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("largest")) | (F.col("x_node") < F.col("node")))
     same = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: F.get("signature", k) == F.get("x_signature", k))
     both = F.col("mask").bitwiseAND(F.col("x_mask"))
-    first = F.array_min(F.filter(same, lambda k: F.call_function("shiftright", both, k) % 2 != 0)) == F.shiftright(F.col("token") + (1 << 31), 32)
-    return x.join(y, ["token", "x_block", "y_block"]).where(apart & _alike(percent) & (F.size(same) >= MATCH) & first).select(F.col("node").alias("a"), F.col("x_node").alias("b"))
+    first = F.array_min(F.filter(same, lambda k: F.call_function("shiftright", both, k) % 2 != 0)) == _coordinate(F.col("token"))
+    return x.join(y, ["token", "x_block", "y_block"]).where(apart & (F.least("class", "x_class") == F.col("family")) & _alike(percent) & (F.size(same) >= MATCH) & first).select(F.col("node").alias("a"), F.col("x_node").alias("b"))
 
 
 def load_sets(docs: DataFrame, posted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -210,7 +220,7 @@ def load_sets(docs: DataFrame, posted: DataFrame, words: int, id_col: str, text_
     Each node is read from the document that it names; a row with that id and another text is
     told by its fingerprint, and rows that repeat the text count once.
     """
-    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.select(F.col("doc_id").alias("own"), "node").hint("shuffle_hash"), "own")
+    chosen = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(posted.select(F.col("doc_id").alias("own"), "node").distinct().hint("shuffle_hash"), "own")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = set()  # rows that repeat an id come to one task
