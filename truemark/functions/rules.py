@@ -53,8 +53,8 @@ def status(rule: str, value: Column) -> Column:
     return F.when(value if rule == "R13" else value == 0, "PASS").otherwise("FAIL")
 
 
-def rule_rows(wide: DataFrame, *more: Column) -> DataFrame:
-    """One row per rule from one row with columns R01 to R13."""
+def rule_rows(wide: DataFrame, *more: str) -> DataFrame:
+    """One row per rule from one row with columns R01 to R13; the columns ``more`` stay."""
     rows = []
     for r in RULES:
         kind = metric_type(r)
@@ -66,7 +66,7 @@ def rule_rows(wide: DataFrame, *more: Column) -> DataFrame:
             (F.col(r) if kind == "BOOLEAN" else F.lit(None)).cast("boolean").alias("boolean_value"),
             status(r, F.col(r)).alias("status"),
         ))
-    return wide.select(F.explode(F.array(*rows)).alias("r"), *more).select("r.*", *[c for c in wide.columns if c not in RULES and c in {str(m) for m in more}])
+    return wide.select(F.explode(F.array(*rows)).alias("r"), *more).select("r.*", *more)
 
 
 #: The driver tables' rule sets.

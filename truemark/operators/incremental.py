@@ -78,6 +78,11 @@ def duplicate_metrics(frequencies: DataFrame) -> DataFrame:
     )
 
 
+def frequency_histogram(frequencies: DataFrame) -> DataFrame:
+    """frequency and keys (how many have it): all that the duplicate metrics need, in a row a frequency."""
+    return frequencies.groupBy("frequency").agg(F.count(F.lit(1)).alias("keys"))
+
+
 def full_validation(rows: DataFrame, rules: RuleSet) -> DataFrame:
     """One row R01 to R13 from scratch: one scalar pass and one two-level key count."""
     extra = duplicate_metrics(rows.groupBy(*rules.key).agg(F.count(F.lit(1)).alias("frequency")))
@@ -105,26 +110,50 @@ def extrema_invalidation(images: DataFrame, state: DataFrame, rules: RuleSet) ->
     return removed.join(stored, "p").groupBy("p").agg(*hit)
 
 
+def _any(prefix: str = "") -> Column:
+    """Some extremum is flagged; as a comparison, which lets Spark prune the folders of a join's other side."""
+    return reduce(lambda a, b: a + b, (F.col(f"{prefix}{r}").cast("int") for r in EXTREMA)) > 0
+
+
 def recompute(rows: DataFrame, invalid: DataFrame, rules: RuleSet) -> DataFrame:
     """Extrema of the invalid partitions at the end version."""
-    flagged = invalid.where(reduce(lambda a, b: a | b, (F.col(r) for r in EXTREMA))).select(F.col("p").alias("_p"))
-    own = rows.withColumn("p", partition_id()).join(F.broadcast(flagged), F.col("p") == F.col("_p"), "left_semi")  # at most one row a logical partition
-    return own.groupBy("p").agg(*rules.extrema())
+    flagged = invalid.where(_any()).select(F.col("p").alias("_p"))
+    return in_partitions(rows, flagged).groupBy("p").agg(*rules.extrema())
+
+
+def in_partitions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with p, of the logical partitions in ``wanted`` (_p). Rows stored by p are read from those folders alone."""
+    own = rows if "p" in rows.columns else rows.withColumn("p", partition_id())
+    return own.join(F.broadcast(wanted), F.col("p") == F.col("_p"), "left_semi")  # at most one row a logical partition
+
+
+def state_changes(images: DataFrame, state: DataFrame, rules: RuleSet) -> DataFrame:
+    """What the images mean for each logical partition, in one pass: d_ (signed counts), c_ (extrema of
+    the added values) and i_ (whether a removed value equals the stored extremum)."""
+    held = state.select(F.col("p").alias("_p"), *[F.col(r).alias(f"old_{r}") for r in EXTREMA])
+    own = images.withColumn("p", partition_id()).join(F.broadcast(held), F.col("p") == F.col("_p"), "left")  # a row a logical partition
+    counts = [c.alias(f"d_{r}") for r, c in zip(COUNTS, rules.counts(F.col("sign")))]
+    added = [c.alias(f"c_{r}") for r, c in zip(EXTREMA, rules.extrema(F.col("sign") == 1))]
+    gone = [F.bool_or(F.coalesce((F.col("sign") == -1) & (F.col(rules.measures[m]).cast("double") == F.col(f"old_{r}")), F.lit(False))).alias(f"i_{r}") for r, (_, m) in EXTREMA.items()]
+    return own.groupBy("p").agg(*counts, *added, *gone)
 
 
 def maintained_state(state: DataFrame, images: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
     """The partition state at the end version. Partitions may appear and empty (then their extrema are NULL)."""
-    tagged = lambda df, tag: df.select(F.col("p").alias("p"), *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c != "p"])
-    invalid = extrema_invalidation(images, state, rules)
-    both = tagged(state, "s").join(tagged(additive_delta(images, rules), "d"), "p", "full")
-    for other, tag in ((positive_candidates(images, rules), "c"), (invalid, "i"), (recompute(end, invalid, rules), "n")):
-        both = both.join(tagged(other, tag), "p", "left")
+    return _maintained(state, state_changes(images, state, rules), end, rules).select("p", *SCALARS)
+
+
+def _maintained(state: DataFrame, changes: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
+    """The state at the end version, and i_ columns of what had to be computed again."""
+    flagged = changes.where(_any("i_")).select(F.col("p").alias("_p"))
+    fresh = in_partitions(end, flagged).groupBy(F.col("p").alias("n_p")).agg(*[c.alias(f"n_{r}") for r, c in zip(EXTREMA, rules.extrema())])
+    both = state.select("p", *[F.col(r).alias(f"s_{r}") for r in SCALARS]).join(changes, "p", "full").join(F.broadcast(fresh), F.col("p") == F.col("n_p"), "left")
     counts = [(F.coalesce(f"s_{r}", F.lit(0)) + F.coalesce(f"d_{r}", F.lit(0))).cast("long").alias(r) for r in COUNTS]
     extrema = []
     for r, (kind, _) in EXTREMA.items():
         pick = F.least if kind == "min" else F.greatest
         extrema.append(F.when(F.coalesce(f"i_{r}", F.lit(False)), F.col(f"n_{r}")).otherwise(pick(f"s_{r}", f"c_{r}")).alias(r))
-    return both.select("p", *counts, *extrema)
+    return both.select("p", *counts, *extrema, *[F.coalesce(f"i_{r}", F.lit(False)).alias(f"i_{r}") for r in EXTREMA])
 
 
 def _same_key(left: str, right: str, key: tuple[str, ...]) -> Column:
@@ -136,9 +165,16 @@ def key_delta(images: DataFrame, rules: RuleSet) -> DataFrame:
     return delta.select(bucket_id().alias("b"), *rules.key, "delta")
 
 
+def in_buckets(frequencies: DataFrame, delta: DataFrame) -> DataFrame:
+    """The frequencies in the buckets of changed keys: of a state stored by bucket, those folders alone."""
+    touched = delta.select(F.col("b").alias("_b")).distinct()  # at most one row a bucket
+    return frequencies.join(F.broadcast(touched), F.col("b") == F.col("_b"), "left_semi")
+
+
 def key_overlay(frequencies: DataFrame, delta: DataFrame, rules: RuleSet) -> DataFrame:
     """For each changed key: base, delta and final frequency, and UPSERT or TOMBSTONE (gone)."""
-    joined = delta.alias("d").join(frequencies.alias("f"), (F.col("d.b") == F.col("f.b")) & _same_key("d", "f", rules.key), "left")
+    near = in_buckets(frequencies, delta)
+    joined = delta.alias("d").join(near.alias("f"), (F.col("d.b") == F.col("f.b")) & _same_key("d", "f", rules.key), "left")
     base = F.coalesce("f.frequency", F.lit(0)).cast("long")
     final = base + F.col("delta")
     return joined.select("d.b", *[f"d.{k}" for k in rules.key], base.alias("base_frequency"), F.col("delta").alias("delta_frequency"), final.alias("final_frequency"), F.when(final == 0, "TOMBSTONE").otherwise("UPSERT").alias("overlay_action"))
@@ -156,28 +192,19 @@ def overlay_adjust(overlay: DataFrame) -> DataFrame:
     )
 
 
-def incremental_uniqueness(frequencies: DataFrame, overlay: DataFrame, rules: RuleSet) -> DataFrame:
-    """Duplicate metrics at the end version from the base key state and the overlay.
+def incremental_uniqueness(histogram: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Duplicate metrics at the end version from the base's frequency histogram and the overlay.
 
-    The largest multiplicity needs the unchanged keys only if a holder of the old one shrank and no
-    changed key reaches it; then they are found by an anti-join.
+    A changed key leaves its old frequency and joins its new one. The largest multiplicity is then
+    the largest frequency that still has keys, so that no unchanged key is ever read.
     """
-    old, change = duplicate_metrics(frequencies).first(), overlay_adjust(overlay)
-    moved = change.first()
-    if moved["max_shrunk"] == old["max_multiplicity"] and moved["max_final"] < old["max_multiplicity"]:
-        rest = frequencies.alias("f").join(overlay.alias("d"), (F.col("d.b") == F.col("f.b")) & _same_key("d", "f", rules.key), "left_anti")
-        most = rest.agg(F.coalesce(F.max("frequency"), F.lit(0)).alias("m"))
-    else:
-        most = change.select(F.lit(old["max_multiplicity"]).alias("m"))
-    extra = F.col("d_extra") + old["duplicate_extra"]
-    # one row each
-    return change.crossJoin(most).select(
-        extra.alias("R12"),
-        (extra == 0).alias("R13"),
-        (F.col("d_distinct") + old["distinct_keys"]).alias("distinct_keys"),
-        (F.col("d_groups") + old["duplicate_groups"]).alias("duplicate_groups"),
-        F.greatest("m", "max_final").cast("long").alias("max_multiplicity"),
-    )
+    moves = F.array(F.struct(F.col("base_frequency").alias("frequency"), F.lit(-1).cast("long").alias("keys")), F.struct(F.col("final_frequency").alias("frequency"), F.lit(1).cast("long").alias("keys")))
+    moved = overlay.select(F.explode(moves).alias("m")).select("m.*").where("frequency > 0")
+    f, n = F.col("frequency"), F.col("keys")
+    left = histogram.select("frequency", "keys").unionByName(moved).groupBy("frequency").agg(F.sum("keys").alias("keys")).where("keys > 0")
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    found = left.agg(total(n * (f - 1), "R12"), total(n, "distinct_keys"), total(F.when(f > 1, n), "duplicate_groups"), F.coalesce(F.max(f), F.lit(0)).cast("long").alias("max_multiplicity"))
+    return found.select("R12", (F.col("R12") == 0).alias("R13"), "distinct_keys", "duplicate_groups", "max_multiplicity")
 
 
 def compacted(frequencies: DataFrame, overlay: DataFrame, rules: RuleSet) -> DataFrame:
@@ -186,21 +213,20 @@ def compacted(frequencies: DataFrame, overlay: DataFrame, rules: RuleSet) -> Dat
     return rest.unionByName(overlay.where("final_frequency > 0").select("b", *rules.key, F.col("final_frequency").alias("frequency")))
 
 
-def all_rules(base: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet, row_key: str) -> DataFrame:
+def all_rules(state: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet, row_key: str) -> DataFrame:
     """One row R01 to R13 and the number of partitions whose extrema were computed again.
 
     R01 to R11 come from state and changes, R12 and R13 from the end snapshot.
     """
-    images, state = net_images(feed, row_key), partition_state(base, rules)
-    scalars = roll_up(maintained_state(state, images, end, rules))
+    kept = _maintained(state, state_changes(net_images(feed, row_key), state, rules), end, rules)
+    counts = [F.coalesce(F.sum(r), F.lit(0)).cast("long").alias(r) for r in COUNTS]
+    scalars = kept.agg(*counts, *[(F.min if kind == "min" else F.max)(r).alias(r) for r, (kind, _) in EXTREMA.items()], *[F.count_if(F.col(f"i_{r}")).alias(f"again_{r}") for r in EXTREMA])
     extra = duplicate_metrics(end.groupBy(*rules.key).agg(F.count(F.lit(1)).alias("frequency")))
-    again = extrema_invalidation(images, state, rules).agg(*[F.count_if(F.col(r)).alias(f"again_{r}") for r in EXTREMA])
-    return scalars.crossJoin(extra.select(F.col("duplicate_extra").alias("R12"), (F.col("duplicate_extra") == 0).alias("R13"))).crossJoin(again)  # one row each
+    return scalars.crossJoin(extra.select(F.col("duplicate_extra").alias("R12"), (F.col("duplicate_extra") == 0).alias("R13")))  # one row each
 
 
-def differential(base_state: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet, row_key: str) -> DataFrame:
+def differential(state: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
     """Partition state with the affected partitions computed again at the end version."""
-    touched = feed.select(partition_id().alias("_p")).distinct()  # at most one row a logical partition
-    fresh = end.withColumn("p", partition_id()).join(F.broadcast(touched), F.col("p") == F.col("_p"), "left_semi")
-    kept = base_state.join(F.broadcast(touched), F.col("p") == F.col("_p"), "left_anti")
-    return kept.unionByName(fresh.groupBy("p").agg(*rules.scalars()))
+    touched = feed.where("_commit_version > 0").select(partition_id().alias("_p")).distinct()  # at most one row a logical partition
+    kept = state.join(F.broadcast(touched), F.col("p") == F.col("_p"), "left_anti")
+    return kept.select("p", *SCALARS).unionByName(in_partitions(end, touched).groupBy("p").agg(*rules.scalars()))

@@ -13,6 +13,7 @@ from truemark.functions.rules import COUNTS, CUSTOMER, EVENTS, EXTREMA, LINEITEM
 from truemark.operators import analyzers as an
 from truemark.operators import incremental as inc
 from truemark.operators import selection as sel
+from truemark.sources.stored import Stored, stored
 from truemark.sources.versions import event_scenario
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,13 +93,12 @@ def _scenario(spark: SparkSession, d: str):
     return event_scenario(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"))
 
 
-def _base_feed_end(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    t = _scenario(spark, d)
-    return t.snapshot(0), t.changes(1, 4), t.snapshot(4)
+def _stored(spark: SparkSession, d: str) -> Stored:
+    return stored(spark, f"{d}/events", lambda: _scenario(spark, d), EVENTS)
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:
-    return inc.net_images(_scenario(spark, d).changes(1, 4), "event_id")
+    return inc.net_images(_stored(spark, d).feed, "event_id")
 
 
 # ---------------------------------------------------------------- scans, filters, profiles
@@ -236,6 +236,14 @@ def partition_state(spark, d):
     return inc.partition_state(table(spark, d, "events"), EVENTS)
 
 
+@query("stored_state", f"WITH {M1} SELECT (SELECT count(*) FROM cdf)::BIGINT AS feed_rows, (SELECT count(*) FROM v4)::BIGINT AS end_rows, (SELECT count(DISTINCT {_P}) FROM v0)::BIGINT AS partitions, (SELECT count(*) FROM (SELECT DISTINCT {_EKEY} FROM v0))::BIGINT AS keys")
+def stored_state(spark, d):
+    """Builds what the incremental queries read, once a session, and counts it."""
+    kept = _stored(spark, d)
+    sizes = {"feed_rows": kept.feed, "end_rows": kept.end, "partitions": kept.state, "keys": kept.keys}
+    return reduce(DataFrame.crossJoin, (t.agg(F.count(F.lit(1)).alias(n)) for n, t in sizes.items()))  # one row each
+
+
 @query("partition_state_rollup", f"SELECT {_counts_sql(EVENTS)}, {_extrema_sql(EVENTS)} FROM events")
 def partition_state_rollup(spark, d):
     return inc.roll_up(partition_state(spark, d))
@@ -393,14 +401,12 @@ def changed_final_images(spark, d):
 @query("cdf_guard", f"WITH {M1} SELECT (SELECT count(*) FROM (SELECT 1 FROM img GROUP BY event_id, sign HAVING count(*) > 1))::BIGINT AS duplicate_roles, 0::BIGINT AS negative_states, (SELECT count(*) FROM v4)::BIGINT AS frequency_sum")
 def cdf_guard(spark, d):
     """Invariants: one image per row and role, no negative count, frequencies sum to the rows."""
-    base, feed, end = _base_feed_end(spark, d)
-    images = inc.net_images(feed, "event_id")
-    state = inc.maintained_state(inc.partition_state(base, EVENTS), images, end, EVENTS)
+    kept, images = _stored(spark, d), _images(spark, d)
+    state = inc.maintained_state(kept.state, images, kept.end, EVENTS)
     twice = images.groupBy("event_id", "sign").count().where("count > 1").agg(F.count(F.lit(1)).alias("duplicate_roles"))
     negative = state.where(reduce(lambda a, b: a | b, (F.col(r) < 0 for r in COUNTS))).agg(F.count(F.lit(1)).alias("negative_states"))
-    frequencies = inc.key_frequency(base, EVENTS)
-    kept = inc.compacted(frequencies, inc.key_overlay(frequencies, inc.key_delta(images, EVENTS), EVENTS), EVENTS)
-    return twice.crossJoin(negative).crossJoin(kept.agg(F.sum("frequency").cast("long").alias("frequency_sum")))  # one row each
+    keys = inc.compacted(kept.keys, inc.key_overlay(kept.keys, inc.key_delta(images, EVENTS), EVENTS), EVENTS)
+    return twice.crossJoin(negative).crossJoin(keys.agg(F.sum("frequency").cast("long").alias("frequency_sum")))  # one row each
 
 
 for _n, _v, _o in (("dml_delete", 1, "delete"), ("dml_update", 2, "update"), ("dml_insert", 3, "insert")):
@@ -432,8 +438,7 @@ def dml_merge(spark, d):
 
 @query("incremental_additive", f"WITH {M1} SELECT {_counts_sql(EVENTS)} FROM v4")
 def incremental_additive(spark, d):
-    base, feed, end = _base_feed_end(spark, d)
-    delta, state = inc.additive_delta(inc.net_images(feed, "event_id"), EVENTS), inc.partition_state(base, EVENTS)
+    delta, state = inc.additive_delta(_images(spark, d), EVENTS), _stored(spark, d).state
     return state.select(*COUNTS).unionByName(delta.select(*COUNTS)).agg(*[F.sum(r).cast("long").alias(r) for r in COUNTS])
 
 
@@ -453,21 +458,19 @@ inv AS (SELECT gone.p, {', '.join(f'bool_or(coalesce(gone.{EVENTS.measures[m]} =
 
 @query("extrema_invalidation", f"WITH {M1}, {_INVALID} SELECT * FROM inv")
 def extrema_invalidation(spark, d):
-    base, feed, _ = _base_feed_end(spark, d)
-    return inc.extrema_invalidation(inc.net_images(feed, "event_id"), inc.partition_state(base, EVENTS), EVENTS)
+    return inc.extrema_invalidation(_images(spark, d), _stored(spark, d).state, EVENTS)
 
 
 @query("extrema_recompute", f"WITH {M1}, {_INVALID} SELECT {_P} AS p, {_extrema_sql(EVENTS)} FROM v4 WHERE {_P} IN (SELECT p FROM inv WHERE R08 OR R09 OR R10 OR R11) GROUP BY 1")
 def extrema_recompute(spark, d):
-    base, feed, end = _base_feed_end(spark, d)
-    return inc.recompute(end, inc.extrema_invalidation(inc.net_images(feed, "event_id"), inc.partition_state(base, EVENTS), EVENTS), EVENTS)
+    kept = _stored(spark, d)
+    return inc.recompute(kept.end, inc.extrema_invalidation(_images(spark, d), kept.state, EVENTS), EVENTS)
 
 
 @query("extrema_merge", f"WITH {M1}, b AS (SELECT * FROM v0 UNION ALL SELECT {_COLS} FROM img WHERE sign = 1) SELECT {_P} AS p, {_extrema_sql(EVENTS)} FROM b GROUP BY 1")
 def extrema_merge(spark, d):
     """Stored and candidate extrema merged; least and greatest pass over NULL."""
-    base, feed, _ = _base_feed_end(spark, d)
-    state, new = inc.partition_state(base, EVENTS), inc.positive_candidates(inc.net_images(feed, "event_id"), EVENTS)
+    state, new = _stored(spark, d).state, inc.positive_candidates(_images(spark, d), EVENTS)
     both = state.alias("s").join(new.alias("c"), F.col("s.p") == F.col("c.p"), "full")
     return both.select(F.coalesce("s.p", "c.p").alias("p"), *[(F.least if k == "min" else F.greatest)(F.col(f"s.{r}"), F.col(f"c.{r}")).alias(r) for r, (k, _) in EXTREMA.items()])
 
@@ -475,8 +478,8 @@ def extrema_merge(spark, d):
 @query("incremental_extrema", f"WITH {M1} SELECT {_STATE} FROM v4 GROUP BY 1")
 def incremental_extrema(spark, d):
     """The whole partition state at version 4, from state and changes."""
-    base, feed, end = _base_feed_end(spark, d)
-    return inc.maintained_state(inc.partition_state(base, EVENTS), inc.net_images(feed, "event_id"), end, EVENTS)
+    kept = _stored(spark, d)
+    return inc.maintained_state(kept.state, _images(spark, d), kept.end, EVENTS)
 
 
 @query("key_delta", f"WITH {M1} SELECT {_B} AS b, {_EKEY}, sum(sign)::BIGINT AS delta FROM img GROUP BY ALL HAVING sum(sign) <> 0")
@@ -491,9 +494,8 @@ _OVER = f"""{_F0}, ov AS (SELECT {', '.join(f'CASE WHEN f4.f IS NULL THEN f0.{k}
 
 
 def _overlay(spark, d) -> tuple[DataFrame, DataFrame]:
-    base, feed, _ = _base_feed_end(spark, d)
-    frequencies = inc.key_frequency(base, EVENTS)
-    return frequencies, inc.key_overlay(frequencies, inc.key_delta(inc.net_images(feed, "event_id"), EVENTS), EVENTS)
+    keys = _stored(spark, d).keys
+    return keys, inc.key_overlay(keys, inc.key_delta(_images(spark, d), EVENTS), EVENTS)
 
 
 @query("key_overlay", f"WITH {M1}, {_OVER} SELECT {_B} AS b, {_EKEY}, base_frequency, final_frequency - base_frequency AS delta_frequency, final_frequency, CASE WHEN final_frequency = 0 THEN 'TOMBSTONE' ELSE 'UPSERT' END AS overlay_action FROM ov")
@@ -513,9 +515,8 @@ def key_overlay_adjust(spark, d):
 @query("bucket_pruned_lookup", f"WITH {M1}, {_F0} SELECT b, count(*)::BIGINT AS keys, sum(f)::BIGINT AS n FROM (SELECT {_B} AS b, f FROM f0) WHERE b IN (SELECT DISTINCT {_B} FROM img) GROUP BY 1")
 def bucket_pruned_lookup(spark, d):
     """Only the buckets of changed keys are read from the key state."""
-    base, feed, _ = _base_feed_end(spark, d)
-    touched = inc.net_images(feed, "event_id").select(bucket_id().alias("b")).distinct()
-    own = inc.key_frequency(base, EVENTS).join(F.broadcast(touched), "b", "left_semi")  # at most 256 rows
+    changed = _images(spark, d).where("sign <> 0").select(bucket_id().alias("b"))
+    own = inc.in_buckets(_stored(spark, d).keys, changed)
     return own.groupBy("b").agg(F.count(F.lit(1)).alias("keys"), F.sum("frequency").cast("long").alias("n"))
 
 
@@ -524,8 +525,7 @@ _DUP4 = f"SELECT duplicate_extra AS R12, duplicate_extra = 0 AS R13, distinct_ke
 
 @query("incremental_uniqueness", f"WITH {M1} {_DUP4}")
 def incremental_uniqueness(spark, d):
-    frequencies, overlay = _overlay(spark, d)
-    return inc.incremental_uniqueness(frequencies, overlay, EVENTS)
+    return inc.incremental_uniqueness(_stored(spark, d).histogram, _overlay(spark, d)[1])
 
 
 @query("max_multiplicity_fallback", f"WITH {M1}, {_OVER} SELECT max(f)::BIGINT AS unchanged_max FROM f4 WHERE NOT EXISTS (SELECT 1 FROM ov WHERE {' AND '.join(f'ov.{k} IS NOT DISTINCT FROM f4.{k}' for k in EVENTS.key)})")
@@ -537,7 +537,7 @@ def max_multiplicity_fallback(spark, d):
 
 @query("uniqueness_fallback", f"WITH {M1} {_DUP4}")
 def uniqueness_fallback(spark, d):
-    m = inc.duplicate_metrics(_scenario(spark, d).snapshot(4).groupBy(*EVENTS.key).agg(F.count(F.lit(1)).alias("frequency")))
+    m = inc.duplicate_metrics(_stored(spark, d).end.groupBy(*EVENTS.key).agg(F.count(F.lit(1)).alias("frequency")))
     return m.select(F.col("duplicate_extra").alias("R12"), (F.col("duplicate_extra") == 0).alias("R13"), "distinct_keys", "duplicate_groups", "max_multiplicity")
 
 
@@ -552,21 +552,21 @@ _AGAIN = "again AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count_if({r})
 @query("incremental_all_rules", f"WITH {M1}, {_INVALID}, {_AGAIN}, {_wide_sql('v4', EVENTS)} {_rows_sql(_MODE_SQL)}")
 def incremental_all_rules(spark, d):
     """Flagship: every rule from state and changes, its planner mode, and whether it equals full validation."""
-    base, feed, end = _base_feed_end(spark, d)
-    wide = inc.all_rules(base, feed, end, EVENTS, "event_id")
+    kept = _stored(spark, d)
+    wide = inc.all_rules(kept.state, kept.feed, kept.end, EVENTS, "event_id")
     modes = [F.struct(F.lit(r).alias("rule_id"), F.when(F.lit(r in ("R12", "R13")), "EXACT_FULL_SCAN_FALLBACK").when(F.col(f"again_{r}") > 0 if r in EXTREMA else F.lit(False), "AFFECTED_PARTITION_RECOMPUTE").otherwise("STATE_ASSISTED").alias("planner_mode")) for r in RULES]
-    rows = rule_rows(wide.select(*RULES))
-    planned = wide.select(F.explode(F.array(*modes)).alias("m")).select("m.*")
-    full = _rules_at(end).select("rule_id", *[F.col(c).alias(f"full_{c}") for c in ("long_value", "double_value", "boolean_value", "status")])
+    planned = F.map_from_entries(F.array(*modes))
+    rows = rule_rows(wide.withColumn("modes", planned), "modes").withColumn("planner_mode", F.col("modes")[F.col("rule_id")]).drop("modes")
+    full = _rules_at(kept.end).select("rule_id", *[F.col(c).alias(f"full_{c}") for c in ("long_value", "double_value", "boolean_value", "status")])
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"full_{c}")) for c in ("long_value", "boolean_value", "status")))
     close = F.col("double_value").eqNullSafe(F.col("full_double_value")) | F.coalesce(F.abs(F.col("double_value") - F.col("full_double_value")) <= 1e-9, F.lit(False))
-    return rows.join(planned, "rule_id").join(full, "rule_id").select(*rows.columns, "planner_mode", (same & close).alias("exact_match"))
+    return rows.join(F.broadcast(full), "rule_id").select(*rows.columns, (same & close).alias("exact_match"))  # 13 rows
 
 
 @query("differential_partition", f"WITH {M1}, {_wide_sql('v4', EVENTS)} {_rows_sql()}")
 def differential_partition(spark, d):
-    base, feed, end = _base_feed_end(spark, d)
-    state = inc.differential(inc.partition_state(base, EVENTS), feed, end, EVENTS, "event_id")
+    kept = _stored(spark, d)
+    state = inc.differential(kept.state, kept.feed, kept.end, EVENTS)
     extra = uniqueness_fallback(spark, d).select("R12", "R13")
     return rule_rows(inc.roll_up(state).crossJoin(extra))  # one row each
 
@@ -574,18 +574,18 @@ def differential_partition(spark, d):
 @query("changed_rows_only", f"WITH {M1}, fin AS (SELECT * FROM img WHERE sign = 1), {_wide_sql('fin', EVENTS)} {_rows_sql()}")
 def changed_rows_only(spark, d):
     """Deliberately inexact: rules over the changed rows' final images alone."""
-    return _rules_at(inc.final_images(_scenario(spark, d).changes(1, 4), "event_id"))
+    return _rules_at(inc.final_images(_stored(spark, d).feed, "event_id"))
 
 
 @query("union_states", f"WITH {M1}, t AS (SELECT DISTINCT {_P} AS p FROM cdf) SELECT {_STATE} FROM v0 WHERE {_P} NOT IN (SELECT p FROM t) GROUP BY 1 UNION ALL SELECT {_STATE} FROM v4 WHERE {_P} IN (SELECT p FROM t) GROUP BY 1")
 def union_states(spark, d):
-    base, feed, end = _base_feed_end(spark, d)
-    return inc.differential(inc.partition_state(base, EVENTS), feed, end, EVENTS, "event_id")
+    kept = _stored(spark, d)
+    return inc.differential(kept.state, kept.feed, kept.end, EVENTS)
 
 
 def _agreement(spark, d) -> DataFrame:
     """(method, rule_id, exact_match, absolute_error) of three methods against full validation."""
-    _, _, end = _base_feed_end(spark, d)
+    end = _stored(spark, d).end
     value = F.coalesce(F.col("long_value").cast("double"), F.col("double_value"), F.col("boolean_value").cast("double"))
     full = _rules_at(end).select("rule_id", value.alias("want"))
     methods = {"incremental": incremental_all_rules, "differential": differential_partition, "changed_rows_only": changed_rows_only}
