@@ -111,6 +111,12 @@ def test_greedy_can_lose(spark):
     assert sel.oracle_gap(g, o).first()["max_gap_percent"] == 34.0
 
 
+def test_greedy_ties_go_to_the_last_name(spark):
+    gains = spark.createDataFrame([("P", s, 60, 6.0) for s in "ABC"] + [("P", "D", 30, 3.0)], "profile_id string, state_id string, size_bytes long, gain double")
+    budgets = spark.createDataFrame([(60,), (90,), (130,)], "budget_bytes long")
+    assert {r["budget_bytes"]: r["portfolio"] for r in sel.greedy(gains, budgets).collect()} == {60: "C", 90: "C,D", 130: "B,C"}
+
+
 def test_greedy_never_beats_oracle(spark):
     g = {(r["profile_id"], r["budget_bytes"]): r for r in catalogue.greedy_select(spark, SF).collect()}
     o = {(r["profile_id"], r["budget_bytes"]): r for r in catalogue.oracle_select(spark, SF).collect()}

@@ -60,19 +60,34 @@ def oracle(gains: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def greedy(gains: DataFrame, budgets: DataFrame) -> DataFrame:
-    """States by gain per byte (then gain, smaller size, name), each taken if it still fits."""
-    order = F.struct((F.lit(0) - F.col("gain") / F.col("size_bytes")).alias("d"), (F.lit(0) - F.col("gain")).alias("g"), F.col("size_bytes").alias("s"), F.col("state_id").alias("i"), F.col("gain").alias("gain"))
-    listed = gains.where("gain > 1e-12").groupBy("profile_id").agg(F.sort_array(F.collect_list(order)).alias("l"))  # 12 states a profile
+    """States by gain per byte (then gain, smaller size, last name), each taken if it still fits."""
+    order = F.struct((F.col("gain") / F.col("size_bytes")).alias("density"), F.col("gain").alias("gain"), (F.lit(0) - F.col("size_bytes")).alias("less"), F.col("state_id").alias("i"))
+    listed = gains.where("gain > 1e-12").groupBy("profile_id").agg(F.sort_array(F.collect_list(order), asc=False).alias("l"))  # 12 states a profile
     start = F.struct(F.lit(0).cast("long").alias("storage"), F.lit(0.0).alias("gain"), F.array().cast("array<string>").alias("ids"))
 
     def take(a: Column, x: Column) -> Column:
-        fits = a["storage"] + x["s"] <= F.col("budget_bytes")
-        return F.struct(F.when(fits, a["storage"] + x["s"]).otherwise(a["storage"]).alias("storage"), F.when(fits, a["gain"] + x["gain"]).otherwise(a["gain"]).alias("gain"), F.when(fits, F.concat(a["ids"], F.array(x["i"]))).otherwise(a["ids"]).alias("ids"))
+        fits = a["storage"] - x["less"] <= F.col("budget_bytes")
+        return F.struct(F.when(fits, a["storage"] - x["less"]).otherwise(a["storage"]).alias("storage"), F.when(fits, a["gain"] + x["gain"]).otherwise(a["gain"]).alias("gain"), F.when(fits, F.concat(a["ids"], F.array(x["i"]))).otherwise(a["ids"]).alias("ids"))
 
     filled = listed.crossJoin(F.broadcast(budgets)).withColumn("g", F.aggregate("l", start, take))  # 45 rows
     return filled.select("profile_id", "budget_bytes", F.array_join(F.sort_array("g.ids"), ",").alias("portfolio"), F.col("g.storage").alias("storage"), F.round("g.gain", 9).alias("gain"))
 
 
+def portfolio_costs(chosen: DataFrame, states: DataFrame, weights: DataFrame, recurring: Column) -> DataFrame:
+    """For each chosen portfolio the weighted seconds a validation that it avoids (gross), costs (build
+    spread over the horizon, recurring), saves in all (net), and leaves (remaining)."""
+    ruled = states.select("*", F.explode("rules").alias("rule_id")).join(F.broadcast(weights), "rule_id")  # 65 rows
+    share = F.sum("normalized_weight")
+    each = ruled.groupBy("profile_id", "state_id").agg((share * F.first("cost")).alias("gross"), (share * F.first(recurring)).alias("recurring"), (F.first("build_seconds") / HORIZON).alias("amortized"))
+    whole = each.groupBy("profile_id").agg(F.sum("gross").alias("whole"))
+    held = chosen.select("profile_id", "budget_bytes", F.explode(F.split("portfolio", ",")).alias("state_id")).join(each, ["profile_id", "state_id"], "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    sums = held.groupBy("profile_id", "budget_bytes").agg(total("gross").alias("gross"), total("recurring").alias("recurring"), total("amortized").alias("amortized")).join(whole, "profile_id")
+    net = F.col("gross") - F.col("recurring") - F.col("amortized")
+    remaining = F.greatest(F.lit(0.0), F.col("whole") - F.col("gross")) + F.col("recurring") + F.col("amortized")
+    return sums.select("profile_id", "budget_bytes", *(F.round(c, 6).alias(c) for c in ("gross", "recurring", "amortized")), F.round(net, 6).alias("net"), F.round(remaining, 6).alias("remaining"))
+
+
 def oracle_gap(greedy_rows: DataFrame, oracle_rows: DataFrame) -> DataFrame:
     both = greedy_rows.alias("g").join(oracle_rows.alias("o"), ["profile_id", "budget_bytes"])
     gap = F.when(F.abs("o.gain") < 1e-12, 0.0).otherwise(100 * F.greatest(F.col("o.gain") - F.col("g.gain"), F.lit(0.0)) / F.abs("o.gain"))

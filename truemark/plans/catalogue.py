@@ -134,6 +134,12 @@ def table_profile(spark, d):
     return reduce(DataFrame.unionByName, (an.profile(table(spark, d, t), t, m) for t, m in _PROFILED.items()))
 
 
+@query("column_profile", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count_if({c} IS NULL)::BIGINT AS null_count, count({c})::BIGINT AS value_count FROM {t}" for t, cs in _NULLS.items() for c in cs.split()))
+def column_profile(spark, d):
+    """NULLs and values of each column, a row a column, in one pass."""
+    return reduce(DataFrame.unionByName, (an.column_profile(table(spark, d, t), t) for t in _NULLS))
+
+
 @query("profile_summary", f"SELECT count(*)::BIGINT AS table_count, sum(row_count)::BIGINT AS total_rows, sum(negative_count)::BIGINT AS total_negative, sum(null_count)::BIGINT AS total_nulls FROM ({_PROFILE_SQL})")
 def profile_summary(spark, d):
     total = lambda c, n: F.sum(c).cast("long").alias(n)
@@ -310,18 +316,37 @@ def oracle_select(spark, d):
     return sel.oracle(_gains(spark, d), _budgets(spark)).withColumn("gain", F.round("gain", 6))
 
 
-#: No SQL: a greedy choice depends on what was taken before. Tests compare it with a plain loop.
-@query("greedy_select")
+_GREEDY_SQL = """ranked AS (SELECT profile_id, state_id, size_bytes, gain, row_number() OVER (PARTITION BY profile_id ORDER BY gain / size_bytes DESC, gain DESC, size_bytes, state_id DESC) AS k FROM gains WHERE gain > 1e-12),
+walk AS (SELECT profile_id, budget_bytes, 0::BIGINT AS k, 0::BIGINT AS storage, 0.0::DOUBLE AS gain, []::VARCHAR[] AS ids FROM (SELECT DISTINCT profile_id FROM ranked), b
+ UNION ALL SELECT w.profile_id, budget_bytes, r.k, CASE WHEN storage + size_bytes <= budget_bytes THEN storage + size_bytes ELSE storage END,
+  CASE WHEN storage + size_bytes <= budget_bytes THEN w.gain + r.gain ELSE w.gain END, CASE WHEN storage + size_bytes <= budget_bytes THEN list_append(ids, r.state_id) ELSE ids END
+ FROM walk w JOIN ranked r ON r.profile_id = w.profile_id AND r.k = w.k + 1),
+greedy AS (SELECT profile_id, budget_bytes, list_sort(ids) AS ids, storage, round(gain, 9) AS gain FROM walk QUALIFY row_number() OVER (PARTITION BY profile_id, budget_bytes ORDER BY k DESC) = 1)"""
+_CHOICES = f"WITH RECURSIVE {_GAINS_SQL}, {_BUDGETS_SQL}, {_GREEDY_SQL}"
+
+
+@query("greedy_select", f"{_CHOICES} SELECT profile_id, budget_bytes, array_to_string(ids, ',') AS portfolio, storage, gain FROM greedy")
 def greedy_select(spark, d):
     return sel.greedy(_gains(spark, d), _budgets(spark))
 
 
-@query("oracle_gap")
+@query("portfolio_costs", f"""{_CHOICES}, each AS (SELECT profile_id, state_id, sum(nw) * any_value(cost) AS gross, sum(nw) * any_value(CASE WHEN state_id = 'S12' THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END) AS recurring, any_value(build_seconds) / 1000 AS amortized
+ FROM states JOIN w ON w.rule = states.i OR (states.i = 12 AND w.rule = 13) GROUP BY ALL), whole AS (SELECT profile_id, sum(gross) AS whole FROM each GROUP BY 1),
+sums AS (SELECT g.profile_id, g.budget_bytes, coalesce(sum(gross), 0) AS gross, coalesce(sum(recurring), 0) AS recurring, coalesce(sum(amortized), 0) AS amortized FROM greedy g LEFT JOIN each e ON e.profile_id = g.profile_id AND list_contains(g.ids, e.state_id) GROUP BY 1, 2)
+SELECT s.profile_id, budget_bytes, round(gross, 6) AS gross, round(recurring, 6) AS recurring, round(amortized, 6) AS amortized, round(gross - recurring - amortized, 6) AS net, round(greatest(0, whole - gross) + recurring + amortized, 6) AS remaining FROM sums s JOIN whole ON whole.profile_id = s.profile_id""")
+def portfolio_costs(spark, d):
+    """Gross, net and remaining cost of the portfolios that greedy chooses."""
+    return sel.portfolio_costs(greedy_select(spark, d), _states(spark, d), sel.profile_weights(spark), F.when(F.col("state_id") == "S12", 20.0).otherwise(0.0))
+
+
+@query("oracle_gap", f"""{_CHOICES}, {_ORACLE_SQL} SELECT g.profile_id, count_if(abs(o.gain - g.gain) <= 1e-9)::BIGINT AS exact_matches, round(max(gap), 6) AS max_gap_percent, round(avg(gap), 6) AS mean_gap_percent
+ FROM greedy g JOIN best o USING (profile_id, budget_bytes), LATERAL (SELECT CASE WHEN abs(o.gain) < 1e-12 THEN 0.0::DOUBLE ELSE 100 * greatest(o.gain - g.gain, 0) / abs(o.gain) END AS gap) GROUP BY 1""")
 def oracle_gap(spark, d):
     return sel.oracle_gap(greedy_select(spark, d), sel.oracle(_gains(spark, d), _budgets(spark)))
 
 
-@query("portfolio_shift")
+@query("portfolio_shift", f"""{_CHOICES}, l AS (SELECT *, coalesce(lag(ids) OVER (PARTITION BY budget_bytes ORDER BY profile_id), []) AS before FROM greedy WHERE budget_bytes IN (65536, 262144))
+SELECT budget_bytes, profile_id, array_to_string(list_filter(ids, lambda x: NOT list_contains(before, x)), ',') AS added, array_to_string(list_filter(before, lambda x: NOT list_contains(ids, x)), ',') AS removed, array_to_string(list_filter(ids, lambda x: list_contains(before, x)), ',') AS retained FROM l""")
 def portfolio_shift(spark, d):
     return sel.portfolio_shift(greedy_select(spark, d).where("budget_bytes IN (65536, 262144)"))
 
@@ -373,6 +398,21 @@ def table_history(spark, d):
     return _scenario(spark, d).history()
 
 
+_AUDIT = "count_if(change_type = '{k}')::BIGINT"
+
+
+@query("commit_audit", f"""WITH {M1}, n AS ({' UNION ALL '.join(f'SELECT {v}::BIGINT AS version, (SELECT count(*) FROM v{v})::BIGINT - (SELECT count(*) FROM v{v - 1})::BIGINT AS row_delta' for v in range(1, 5))})
+SELECT n.version, any_value(row_delta) AS row_delta, {_AUDIT.format(k='insert')} AS inserts, {_AUDIT.format(k='update_preimage')} AS updates, {_AUDIT.format(k='delete')} AS deletes,
+ count_if(change_type = 'insert') - count_if(change_type = 'delete') = any_value(row_delta) AND count_if(change_type = 'update_preimage') = count_if(change_type = 'update_postimage') AS as_expected FROM n JOIN cdf ON commit_version = n.version GROUP BY 1""")
+def commit_audit(spark, d):
+    """Each commit's change rows against the change of its snapshot's row count; images of updates come in pairs."""
+    counts = time_travel_count(spark, d).withColumn("row_delta", F.col("row_count") - F.lag("row_count").over(Window.orderBy("version"))).where("version > 0")  # five rows
+    kinds = {"inserts": "insert", "updates": "update_preimage", "_post": "update_postimage", "deletes": "delete"}
+    seen = _stored(spark, d).feed.groupBy(F.col("_commit_version").alias("version")).agg(*(F.count_if(F.col("_change_type") == k).alias(n) for n, k in kinds.items()))
+    expected = (F.col("inserts") - F.col("deletes") == F.col("row_delta")) & (F.col("updates") == F.col("_post"))
+    return counts.join(seen, "version").select("version", "row_delta", "inserts", "updates", "deletes", expected.alias("as_expected"))
+
+
 @query("cdf_scan", f"WITH {M1} SELECT event_id, change_type, commit_version FROM cdf")
 def cdf_scan(spark, d):
     return _scenario(spark, d).changes(1, 4).select("event_id", F.col("_change_type").alias("change_type"), F.col("_commit_version").alias("commit_version"))
