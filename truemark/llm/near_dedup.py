@@ -270,7 +270,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for the nodes of ``edges`` (a, b).
 
     Each round hangs larger neighbours under a node's smallest neighbour (large star), then a node
-    and its smaller neighbours under the smallest (small star), until nothing moves. A node's
+    and its smaller neighbours under the smallest (small star), until only stars are left. A node's
     neighbours are only aggregated and joined, never gathered.
     """
 
@@ -286,15 +286,15 @@ def components(edges: DataFrame) -> DataFrame:
         moved = joined.where("v != m").select(F.col("m").alias("a"), F.col("v").alias("b"))
         return moved.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
-    state = written(edges.where("a != b").select("a", "b").distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    before = mark(state)
-    while before[0]:
+    def tangled(pairs: DataFrame) -> int:
+        """Nodes that stand on both sides, or under several others: none when all pairs are stars."""
+        sides = pairs.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        held = sides.groupBy("node").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
+        return held.where("below > 1 or above = 1 and below = 1").count()
+
+    state = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while tangled(state):
         state = written(star(star(state, True), False), "stars")
-        after = mark(state)
-        if after == before:
-            break
-        before = after
     return state.select(F.col("b").alias("node"), F.col("a").alias("component")).union(state.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
