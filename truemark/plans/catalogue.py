@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from truemark.functions.keys import EVENT_KEY, bucket_id, partition_id, portable_hash
 from truemark.functions.rules import COUNTS, CUSTOMER, EVENTS, EXTREMA, LINEITEM, RULES, SCALARS, RuleSet, metric_type, rule_rows
 from truemark.operators import analyzers as an
 from truemark.operators import incremental as inc
 from truemark.operators import selection as sel
+from truemark.sources import files
+from truemark.sources.shared import shared_dir
 from truemark.sources.stored import Stored, stored
 from truemark.sources.versions import event_scenario
 
@@ -164,8 +168,12 @@ def hash_sample(spark, d):
 @query("candidate_rank", _RANKED)
 def candidate_rank(spark, d):
     """Global ranks without one task: ranks within hash ranges plus the counts of the ranges before."""
+    return _ranked(hash_sample(spark, d))
+
+
+def _ranked(sample: DataFrame) -> DataFrame:
     h = portable_hash(F.col("event_id").cast("string"), 1_000_000)
-    rows = hash_sample(spark, d).withColumn("h", h).withColumn("part", F.floor(F.col("h") / 100).cast("int"))
+    rows = sample.withColumn("h", h).withColumn("part", F.floor(F.col("h") / 100).cast("int"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 200 parts
     parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("part").orderBy("h", "event_id"))
@@ -782,4 +790,124 @@ def method_comparison(spark, d):
     return a.join(b, (F.col("a.workload") == F.col("b.workload")) & (F.col("a.method") < F.col("b.method"))).select("a.workload", "a.method", F.col("b.method").alias("against"), F.round(F.col("b.exact_median") / F.col("a.exact_median"), 6).alias("speedup"))
 
 
+# ---------------------------------------------------------------- files, guards, candidate chains
+
+
+@query("multi_file_scan", """SELECT 'lineitem' AS table_name, count(*)::BIGINT AS row_count, count(l_extendedprice)::BIGINT AS line_prices, 0::BIGINT AS order_prices FROM lineitem
+UNION ALL SELECT 'orders', count(*), 0, count(o_totalprice) FROM orders""")
+def multi_file_scan(spark, d):
+    """Several files under one explicit schema, told apart by their names."""
+    schema = T.StructType([T.StructField("l_extendedprice", T.DoubleType()), T.StructField("o_totalprice", T.DoubleType())])
+    rows = files.scan_files(spark, [f"{d}/{t}.parquet" for t in ("orders", "lineitem")], schema)
+    named = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"(orders|lineitem)\.parquet", 1).alias("table_name"))
+    return named.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"), F.count("l_extendedprice").alias("line_prices"), F.count("o_totalprice").alias("order_prices"))
+
+
+@query("profile_with_sizes", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*)::BIGINT AS row_count, min({m})::DOUBLE AS min_value, max({m})::DOUBLE AS max_value, true AS sized, true AS same_rows FROM {t}" for t, m in _PROFILED.items()))
+def profile_with_sizes(spark, d):
+    """Profiles joined with the sizes of the files; SQL knows no file sizes, so these come as a check."""
+    sizes = [files.file_sizes(table(spark, d, t)).agg(F.sum("size_bytes").alias("size_bytes"), F.sum("row_count").alias("file_rows")).select(F.lit(t).alias("table_name"), "*") for t in _PROFILED]
+    both = table_profile(spark, d).join(reduce(DataFrame.unionByName, sizes), "table_name")
+    return both.select("table_name", "row_count", "min_value", "max_value", (F.col("size_bytes") > 0).alias("sized"), (F.col("file_rows") == F.col("row_count")).alias("same_rows"))
+
+
+_EVENT_NULLS = "event_id ts user_id event_type value props".split()
+
+
+@query("event_profile", "SELECT count(*)::BIGINT AS row_count, min(ts) AS min_ts, max(ts) AS max_ts, min(value) AS min_value, max(value) AS max_value, min(user_id) AS min_user, max(user_id) AS max_user, count_if(value < 0)::BIGINT AS negative_values, count_if(user_id < 0)::BIGINT AS negative_users, " + ", ".join(f"count_if({c} IS NULL)::BIGINT AS null_{c}" for c in _EVENT_NULLS) + " FROM events")
+def event_profile(spark, d):
+    """Times, ranges, negatives and NULLs of each column in one pass."""
+    ranges = [f(c).alias(f"{n}_{a}") for c, a in (("ts", "ts"), ("value", "value"), ("user_id", "user")) for n, f in (("min", F.min), ("max", F.max))]
+    negatives = [F.count_if(F.col(c) < 0).alias(a) for c, a in (("value", "negative_values"), ("user_id", "negative_users"))]
+    return table(spark, d, "events").agg(F.count(F.lit(1)).alias("row_count"), *ranges, *negatives, *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in _EVENT_NULLS))
+
+
+@query("csv_typed_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_typed_scan(spark, d):
+    """Customers written as CSV with a header, read back as text and cast."""
+    rows = table(spark, d, "customer").select(*_NULLS["customer"].split())
+    path = f"{shared_dir(spark)}/customer-csv-{uuid.uuid4().hex}"
+    rows.write.csv(path, header=True)
+    return files.typed_csv(spark, path, rows.schema)
+
+
+@query("single_row_summary", ORACLES["profile_summary"])
+def single_row_summary(spark, d):
+    return files.single_row(profile_summary(spark, d), "the summary")
+
+
+@query("any_null_rows", f"WITH {M1} SELECT event_id FROM v4 WHERE event_type IS NULL OR value IS NULL OR user_id IS NULL")
+def any_null_rows(spark, d):
+    return _stored(spark, d).end.where(files.any_null("event_type", "value", "user_id")).select("event_id")
+
+
+@query("prefix_filter", "SELECT o_orderkey, o_orderpriority FROM orders WHERE starts_with(o_orderpriority, '1')")
+def prefix_filter(spark, d):
+    return table(spark, d, "orders").where(F.col("o_orderpriority").startswith("1")).select("o_orderkey", "o_orderpriority")
+
+
+@query("existence_probe", f"WITH {M1} " + " UNION ALL ".join(f"SELECT 'R{i:02d}' AS rule_id, EXISTS (SELECT 1 FROM v4 WHERE {p}) AS found FROM (SELECT 1)" for i, p in enumerate(EVENTS.violations, 2)))
+def existence_probe(spark, d):
+    """Whether any row breaks a rule; each probe stops at its first hit."""
+    end = _stored(spark, d).end
+    return reduce(DataFrame.unionByName, (files.exists(end.where(p)).select(F.lit(f"R{i:02d}").alias("rule_id"), "found") for i, p in enumerate(EVENTS.violations, 2)))
+
+
+@query("first_duplicate_by_hex", "SELECT l_orderkey, l_linenumber, hex(concat_ws('|', l_orderkey, l_linenumber)) AS key_hex, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY key_hex LIMIT 1")
+def first_duplicate_by_hex(spark, d):
+    """The duplicate key that comes first by the hex of its bytes; the limit is the feature."""
+    keys = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keys.select("l_orderkey", "l_linenumber", F.hex(F.concat_ws("|", "l_orderkey", "l_linenumber")).alias("key_hex"), "n").orderBy("key_hex").limit(1)
+
+
+@query("ranked_merge_source", f"""WITH c AS (SELECT event_id, {_RANK} AS h FROM ({_CLEAN}) WHERE {_RANK} < 20000), r AS (SELECT event_id, row_number() OVER (ORDER BY h, event_id)::BIGINT AS rank FROM c)
+SELECT rank, CASE WHEN rank <= 20 THEN 'UPDATE' WHEN rank <= 40 THEN 'DELETE' ELSE 'INSERT' END AS op, CASE WHEN rank > 40 THEN event_id + 40000000 ELSE event_id END AS event_id,
+ sha256(concat_ws('|', 'INSERT', lpad(rank::VARCHAR, 8, '0'), event_id)) AS marker FROM r WHERE rank <= 60""")
+def ranked_merge_source(spark, d):
+    """The whole chain: clean, hash-sampled, ranked; rank slices become updates, deletes and inserts with markers of their own."""
+    sampled = clean_candidates(spark, d).join(hash_sample(spark, d), "event_id", "left_semi")
+    slices = F.when(F.col("rank") <= 20, "UPDATE").when(F.col("rank") <= 40, "DELETE").otherwise("INSERT")
+    new_id = F.when(F.col("rank") > 40, F.col("event_id") + 40_000_000).otherwise(F.col("event_id"))
+    marker = F.sha2(F.concat_ws("|", F.lit("INSERT"), F.lpad(F.col("rank").cast("string"), 8, "0"), F.col("event_id").cast("string")), 256)
+    return _ranked(sampled).where("rank <= 60").select("rank", slices.alias("op"), new_id.alias("event_id"), marker.alias("marker"))
+
+
+@query("weight_sanity", f"WITH {_WEIGHTS_SQL} SELECT profile_id, count(*)::BIGINT AS rules, abs(sum(nw) - 1) <= 1e-12 AND count(*) = 13 AS sane FROM w GROUP BY 1")
+def weight_sanity(spark, d):
+    weights = sel.profile_weights(spark).join(_states(spark, d).select(F.explode("rules").alias("rule_id")), "rule_id", "left_semi")
+    total = F.abs(F.sum("normalized_weight") - 1) <= 1e-12
+    return weights.groupBy("profile_id").agg(F.count(F.lit(1)).alias("rules"), (total & (F.count(F.lit(1)) == 13)).alias("sane"))
+
+
+@query("budget_labels", f"""WITH {_STATES_SQL}, {_BUDGETS_SQL} SELECT budget_bytes, CASE WHEN budget_bytes >= 1073741824 THEN printf('%.3f GiB', budget_bytes / 1073741824) WHEN budget_bytes >= 1048576 THEN printf('%.3f MiB', budget_bytes / 1048576)
+ WHEN budget_bytes >= 1024 THEN printf('%.3f KiB', budget_bytes / 1024) ELSE budget_bytes || ' B' END AS label, (SELECT count(*) FROM states WHERE size_bytes <= budget_bytes)::BIGINT AS fitting FROM b""")
+def budget_labels(spark, d):
+    """Budgets in binary units, with the number of states that fit alone."""
+    b = F.col("budget_bytes")
+    label = reduce(lambda c, u: c.when(b >= u[1], F.format_string(f"%.3f {u[0]}", b / u[1])), (("MiB", 1 << 20), ("KiB", 1 << 10)), F.when(b >= 1 << 30, F.format_string("%.3f GiB", b / (1 << 30))))
+    sizes = _states(spark, d).select("size_bytes")
+    fitting = _budgets(spark).join(F.broadcast(sizes), F.col("size_bytes") <= b, "left")  # twelve states
+    return fitting.groupBy("budget_bytes", label.otherwise(F.concat(b.cast("string"), F.lit(" B"))).alias("label")).agg(F.count("size_bytes").alias("fitting"))
+
+
+@query("matrix_manifest", f"""WITH s AS ({_SOURCE}), m AS (SELECT op || '_ONLY' AS family, count(*)::BIGINT AS available FROM s GROUP BY 1 UNION ALL SELECT 'MIXED_40I_30U_30D', count(*) FROM s), x AS ({ORACLES["workload_matrix"]})
+SELECT x.family, x.operations, m.available, m.available >= x.operations AS enough FROM x JOIN m ON m.family = x.family""")
+def matrix_manifest(spark, d):
+    """The workload matrix joined with the manifest of the rows there are for each family."""
+    source = _merge_source(spark, d)
+    single = source.groupBy(F.concat("op", F.lit("_ONLY")).alias("family")).agg(F.count(F.lit(1)).alias("available"))
+    manifest = single.unionByName(source.agg(F.count(F.lit(1)).alias("available")).select(F.lit("MIXED_40I_30U_30D").alias("family"), "available"))
+    return workload_matrix(spark, d).join(F.broadcast(manifest), "family").select("family", "operations", "available", (F.col("available") >= F.col("operations")).alias("enough"))  # four rows
+
+
+_SHOWN = "lower(concat_ws(' ', rule_id, metric_type, status, coalesce(long_value::VARCHAR, boolean_value::VARCHAR, '')))"
+
+
+@query("rule_display", f"WITH {_wide_sql('events', EVENTS)}, r AS ({_rows_sql()}) SELECT rule_id, {_SHOWN} AS metric_display FROM r WHERE metric_type <> 'DOUBLE' ORDER BY rule_id")
+def rule_display(spark, d):
+    """The whole and boolean results as text, in the order of the report."""
+    value = F.coalesce(F.col("long_value").cast("string"), F.col("boolean_value").cast("string"), F.lit(""))
+    return _rules_at(table(spark, d, "events")).where("metric_type <> 'DOUBLE'").select("rule_id", F.lower(F.concat_ws(" ", "rule_id", "metric_type", "status", value)).alias("metric_display")).orderBy("rule_id")
+
+
 QUERIES = dict(sorted(QUERIES.items()))

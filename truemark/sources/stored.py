@@ -1,8 +1,8 @@
 """Stored state of a versioned table: what an incremental run reads instead of the table.
 
-The end snapshot is written by logical partition and the key frequencies by key bucket, so that a
-recompute or a lookup reads the folders it needs alone; the feed by commit version; the partition
-state and the histogram of key frequencies are small tables.
+Unless they are small, the end snapshot is written by logical partition and the key frequencies by
+key bucket, so that a recompute or a lookup reads the folders it needs alone; the feed is written by
+commit version; the partition state and the histogram of key frequencies are small tables.
 """
 
 from __future__ import annotations
@@ -31,6 +31,16 @@ class Stored:
     histogram: DataFrame
 
 
+#: Rows that are read faster from a file or two than from a folder a bucket.
+SMALL = 1_000_000
+
+
+def by_size(df: DataFrame, name: str, column: str, small: int = SMALL) -> DataFrame:
+    """``df`` written: in few files if it is small, else in folders of ``column``."""
+    whole = written(df.hint("rebalance"), name)
+    return whole if whole.count() <= small else written(whole.hint("rebalance", column), name, column)
+
+
 _kept: dict[tuple[str, str, str], Stored] = {}
 
 
@@ -43,10 +53,10 @@ def stored(spark: SparkSession, name: str, make: Callable[[], Versions], rules:
     if place not in _kept:
         t = make()
         base = t.snapshot(0)
-        keys = written(key_frequency(base, rules).hint("rebalance", "b"), "key-frequencies", "b")
+        keys = by_size(key_frequency(base, rules), "key-frequencies", "b")
         _kept[place] = Stored(
             feed=written(t.changes(1, t.version), "feed", "_commit_version"),
-            end=written(t.snapshot().withColumn("p", partition_id()).hint("rebalance", "p"), "end", "p"),
+            end=by_size(t.snapshot().withColumn("p", partition_id()), "end", "p"),
             state=written(partition_state(base, rules).coalesce(1), "partition-state"),  # a row a logical partition
             keys=keys,
             histogram=written(frequency_histogram(keys).coalesce(1), "key-histogram"),  # a row a frequency

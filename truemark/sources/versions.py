@@ -93,6 +93,7 @@ class Versions:
         return reduce(DataFrame.unionByName, parts)
 
     def save(self, path: str) -> None:
+        """Write base and feed; a path that has a table already is refused."""
         self.snapshots[0].write.parquet(f"{path}/base")
         self.changes(1, self.version).write.partitionBy("_commit_version").parquet(f"{path}/changes")
 
