@@ -84,3 +84,25 @@ cuts AS (SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY stratum ORDE
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed, NOT j.base_failed AND NOT coalesce({_OVER}, false) AS kept
 FROM (SELECT *, {', '.join(f'{e} AS {r}' for r, e in _RATES.items())} FROM judged) j LEFT JOIN cuts USING (stratum)
 """
+
+
+def _lloyd(r: int) -> str:
+    """Codebooks after one more round: b{r} from b{r - 1}, each part with its nearest entry in a{r}."""
+    return f"""a{r} AS MATERIALIZED (SELECT vec_id, part, min(struct_pack(d := {_APART.format(a='p.v', b='b.v')}, e := b.e)) AS best FROM p JOIN b{r - 1} b USING (part) GROUP BY vec_id, part),
+s{r} AS (SELECT part, e, k, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT p.part, a.best.e AS e, unnest(range(1, len(p.v) + 1)) AS k, unnest(p.v) AS x FROM p JOIN a{r} a USING (vec_id, part)) GROUP BY 1, 2, 3),
+b{r} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.v, b.v) AS v FROM b{r - 1} b LEFT JOIN (SELECT part, e, list(x ORDER BY k) AS v FROM s{r} GROUP BY 1, 2) n ON n.part = b.part AND n.e = b.e)"""
+
+
+_APART = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+ORACLES["op11_vector_codes"] = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS v FROM k, range(16) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+{_lloyd(1)}, {_lloyd(2)},
+a3 AS (SELECT vec_id, part, min(struct_pack(d := {_APART.format(a='p.v', b='b.v')}, e := b.e)) AS best FROM p JOIN b2 b USING (part) GROUP BY vec_id, part),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a3 GROUP BY vec_id)
+SELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, i)) FROM (SELECT part, e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM b2)) AS codebooks_sha256
+FROM k JOIN coded ON coded.vec_id = k.vec_id
+"""

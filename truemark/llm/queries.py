@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truemark.llm import chat, language, line_dedup, media, mixing, near_dedup, packing, quality, quality_rules, toxicity
-from truemark.llm.common import id_bucket, table
+from truemark.llm import chat, language, line_dedup, media, mixing, near_dedup, packing, quality, quality_rules, token_files, toxicity, vector_codes, whitening
+from truemark.llm.common import id_bucket, table, written
 from truemark.llm.oracles import ORACLES
 
 
@@ -18,6 +18,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
@@ -66,8 +72,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    summed = vector_codes.label_errors(written(coded, "vector-codes"))
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store_tokens(table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mix_sources, op2_near_dedup, op3_toxicity, op4_media, op5_language, op6_line_dedup, op7_chat, op8_packing, op9_quality, op10_quality_rules)
+    ops = (op1_mix_sources, op2_near_dedup, op3_toxicity, op4_media, op5_language, op6_line_dedup, op7_chat, op8_packing, op9_quality, op10_quality_rules, op11_vector_codes, op12_token_files, op13_whitening)
     return {f.__name__: f for f in ops}
 
 
