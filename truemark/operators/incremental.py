@@ -192,21 +192,29 @@ def overlay_adjust(overlay: DataFrame) -> DataFrame:
     )
 
 
-def incremental_uniqueness(histogram: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Duplicate metrics at the end version from the base's frequency histogram and the overlay.
-
-    A changed key leaves its old frequency and joins its new one. The largest multiplicity is then
-    the largest frequency that still has keys, so that no unchanged key is ever read.
-    """
+def moved_histogram(histogram: DataFrame, overlay: DataFrame) -> DataFrame:
+    """The frequency histogram after an overlay: a changed key leaves its old frequency and joins its new one."""
     moves = F.array(F.struct(F.col("base_frequency").alias("frequency"), F.lit(-1).cast("long").alias("keys")), F.struct(F.col("final_frequency").alias("frequency"), F.lit(1).cast("long").alias("keys")))
     moved = overlay.select(F.explode(moves).alias("m")).select("m.*").where("frequency > 0")
+    return histogram.select("frequency", "keys").unionByName(moved).groupBy("frequency").agg(F.sum("keys").cast("long").alias("keys")).where("keys > 0")
+
+
+def histogram_metrics(histogram: DataFrame) -> DataFrame:
+    """R12, R13 and the other duplicate metrics of a frequency histogram.
+
+    The largest multiplicity is the largest frequency that still has keys, so that no key is read.
+    """
     f, n = F.col("frequency"), F.col("keys")
-    left = histogram.select("frequency", "keys").unionByName(moved).groupBy("frequency").agg(F.sum("keys").alias("keys")).where("keys > 0")
     total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
-    found = left.agg(total(n * (f - 1), "R12"), total(n, "distinct_keys"), total(F.when(f > 1, n), "duplicate_groups"), F.coalesce(F.max(f), F.lit(0)).cast("long").alias("max_multiplicity"))
+    found = histogram.agg(total(n * (f - 1), "R12"), total(n, "distinct_keys"), total(F.when(f > 1, n), "duplicate_groups"), F.coalesce(F.max(f), F.lit(0)).cast("long").alias("max_multiplicity"))
     return found.select("R12", (F.col("R12") == 0).alias("R13"), "distinct_keys", "duplicate_groups", "max_multiplicity")
 
 
+def incremental_uniqueness(histogram: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Duplicate metrics at the end version from the base's frequency histogram and the overlay."""
+    return histogram_metrics(moved_histogram(histogram, overlay))
+
+
 def compacted(frequencies: DataFrame, overlay: DataFrame, rules: RuleSet) -> DataFrame:
     """Base and overlay as one key state, to chain from."""
     rest = frequencies.alias("f").join(overlay.alias("d"), (F.col("d.b") == F.col("f.b")) & _same_key("d", "f", rules.key), "left_anti")

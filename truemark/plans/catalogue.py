@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from truemark.functions.keys import EVENT_KEY, bucket_id, partition_id, portable_hash
+from truemark.functions.keys import EVENT_KEY_SQL, bucket_id, partition_id, portable_hash
 from truemark.functions.rules import COUNTS, CUSTOMER, EVENTS, EXTREMA, LINEITEM, RULES, SCALARS, RuleSet, metric_type, rule_rows
 from truemark.operators import analyzers as an
 from truemark.operators import incremental as inc
@@ -41,8 +41,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- SQL shared by the oracles
 
 _H = "('0x' || substr(md5({k}), 1, 8))::UBIGINT % {n}"
-_P = f"({_H.format(k=EVENT_KEY, n=64)})::INTEGER"
-_B = f"({_H.format(k=EVENT_KEY, n=256)})::INTEGER"
+_P = f"({_H.format(k=EVENT_KEY_SQL, n=64)})::INTEGER"
+_B = f"({_H.format(k=EVENT_KEY_SQL, n=256)})::INTEGER"
 _COLS = "event_id, ts, user_id, event_type, value, props"
 
 M1 = f"""v0 AS (SELECT {_COLS} FROM events),
@@ -98,7 +98,7 @@ def _scenario(spark: SparkSession, d: str):
 
 
 def _stored(spark: SparkSession, d: str) -> Stored:
-    return stored(spark, f"{d}/events", lambda: _scenario(spark, d), EVENTS)
+    return stored(spark, f"{d}/events.parquet", lambda: _scenario(spark, d), EVENTS)
 
 
 def _images(spark: SparkSession, d: str) -> DataFrame:

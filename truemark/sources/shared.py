@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +36,25 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return found.select(*df.columns) if partition_by else found  # else the partition column would stand last
 
 
+def overwrite_folders(df: DataFrame, path: str, column: str) -> None:
+    """Replace the folders of ``column`` that ``df`` has rows for; all others keep their files.
+
+    Rows of a folder are dealt out together first, so that a small folder is one file and a large
+    one several. ``df`` must not read ``path``: write it elsewhere before.
+    """
+    df.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def found(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a finished job wrote at ``path``, or None if there is nothing."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Like ``written``, with the rows in buckets of ``column``: joins on it read them without a shuffle.
 
