@@ -207,18 +207,20 @@ class ByteTokens(dict):
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (the text's and ``end_id``, as unsigned 32-bit bytes) and n_ids of each row."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """doc_id, ids (the text's and ``end_id``, as unsigned little-endian bytes, two an id if the
+    vocabulary allows it, else four) and n_ids of each row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_cache(("byte tokens", tokenizer), lambda: ByteTokens(tokenizer))
+        kind = "<u2" if max(tokens.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+        end, width = np.asarray([end_id], kind).tobytes(), int(kind[-1])
         for batch in batches:
             start, held, size = 0, [], 0
             for i, text in enumerate(batch.column(1)):
-                held.append(tokens.text(text.as_py() or "") + end)
+                held.append(np.frombuffer(tokens.text(text.as_py() or ""), "<u4").astype(kind).tobytes() + end)
                 size += len(held[-1])
                 if size > 1 << 24 or i + 1 == batch.num_rows:  # rows of very long texts leave at once
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.array(held, pa.binary()), pa.array([len(x) // 4 for x in held], pa.int64())], names=["doc_id", "ids", "n_ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.array(held, pa.binary()), pa.array([len(x) // width for x in held], pa.int64())], names=["doc_id", "ids", "n_ids"])
                     start, held, size = i + 1, [], 0
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -241,21 +243,21 @@ def write_files(tokens: DataFrame, path: str, file_ids: int = FILE_IDS) -> None:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         part, first, size = 0, 0, 0
         made = lambda raw: pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["record"])
         for batch in batches:
-            for doc, raw, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for doc, raw, n, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 names.append(doc)
-                held.append(raw.as_py())
-                size, part = size + len(held[-1]) // 4, own
+                held.append(np.frombuffer(raw.as_py(), f"<u{len(raw.as_buffer()) // n}"))
+                size, part = size + n, own
                 if size >= RECORD_IDS:
-                    yield made(encode_record(part, first, names, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4")))
+                    yield made(encode_record(part, first, names, [len(x) for x in held], np.concatenate(held)))
                     names, held, first, size = [], [], first + size, 0
         if held:
-            yield made(encode_record(part, first, names, [len(x) // 4 for x in held], np.frombuffer(b"".join(held), "<u4")))
+            yield made(encode_record(part, first, names, [len(x) for x in held], np.concatenate(held)))
 
-    packed = ranged.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(pack, "record binary")
+    packed = ranged.select("doc_id", "ids", "n_ids", F.spark_partition_id().alias("part")).mapInArrow(pack, "record binary")
     packed.select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
