@@ -53,6 +53,18 @@ def status(rule: str, value: Column) -> Column:
     return F.when(value if rule == "R13" else value == 0, "PASS").otherwise("FAIL")
 
 
+def display_value() -> Column:
+    """A rule row's value as text: doubles with 12 significant digits, as %.12g prints them, NULL as nothing."""
+    d = F.col("double_value")
+    exact = F.format_string("%.11e", d).cast("decimal(38,16)").cast("string")
+    plain = F.regexp_replace(exact, r"\.?0+$", "")
+    # below 1e-4 and from 1e12 on the exponent stays
+    mantissa = F.regexp_replace(F.format_string("%.11e", d), r"\.?0+e", "e")
+    within = (d == 0) | ((F.abs(d) >= 1e-4) & (F.abs(d) < 1e12))
+    text = F.when(d.isNull(), None).when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").when(within, F.when(d == 0, "0").otherwise(plain)).otherwise(mantissa)
+    return F.coalesce(F.col("long_value").cast("string"), F.col("boolean_value").cast("string"), text, F.lit(""))
+
+
 def rule_rows(wide: DataFrame, *more: str) -> DataFrame:
     """One row per rule from one row with columns R01 to R13; the columns ``more`` stay."""
     rows = []

@@ -8,6 +8,7 @@ by the frequencies of the keys that changed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,9 +111,9 @@ def extrema_invalidation(images: DataFrame, state: DataFrame, rules: RuleSet) ->
     return removed.join(stored, "p").groupBy("p").agg(*hit)
 
 
-def _any(prefix: str = "") -> Column:
+def _any(prefix: str = "", extrema: Sequence[str] = tuple(EXTREMA)) -> Column:
     """Some extremum is flagged; as a comparison, which lets Spark prune the folders of a join's other side."""
-    return reduce(lambda a, b: a + b, (F.col(f"{prefix}{r}").cast("int") for r in EXTREMA)) > 0
+    return reduce(lambda a, b: a + b, (F.col(f"{prefix}{r}").cast("int") for r in extrema)) > 0
 
 
 def recompute(rows: DataFrame, invalid: DataFrame, rules: RuleSet) -> DataFrame:
@@ -124,7 +125,8 @@ def recompute(rows: DataFrame, invalid: DataFrame, rules: RuleSet) -> DataFrame:
 def in_partitions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` with p, of the logical partitions in ``wanted`` (_p). Rows stored by p are read from those folders alone."""
     own = rows if "p" in rows.columns else rows.withColumn("p", partition_id())
-    return own.join(F.broadcast(wanted), F.col("p") == F.col("_p"), "left_semi")  # at most one row a logical partition
+    # the comparison tells Spark that the list is a choice, which is when it prunes folders by a join
+    return own.join(F.broadcast(wanted.where("_p >= 0")), F.col("p") == F.col("_p"), "left_semi")  # at most one row a logical partition
 
 
 def state_changes(images: DataFrame, state: DataFrame, rules: RuleSet) -> DataFrame:
@@ -140,20 +142,23 @@ def state_changes(images: DataFrame, state: DataFrame, rules: RuleSet) -> DataFr
 
 def maintained_state(state: DataFrame, images: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
     """The partition state at the end version. Partitions may appear and empty (then their extrema are NULL)."""
-    return _maintained(state, state_changes(images, state, rules), end, rules).select("p", *SCALARS)
+    return maintained(state, state_changes(images, state, rules), end, rules).select("p", *SCALARS)
 
 
-def _maintained(state: DataFrame, changes: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
-    """The state at the end version, and i_ columns of what had to be computed again."""
-    flagged = changes.where(_any("i_")).select(F.col("p").alias("_p"))
-    fresh = in_partitions(end, flagged).groupBy(F.col("p").alias("n_p")).agg(*[c.alias(f"n_{r}") for r, c in zip(EXTREMA, rules.extrema())])
-    both = state.select("p", *[F.col(r).alias(f"s_{r}") for r in SCALARS]).join(changes, "p", "full").join(F.broadcast(fresh), F.col("p") == F.col("n_p"), "left")
+def maintained(state: DataFrame, changes: DataFrame, end: DataFrame | None, rules: RuleSet, extrema: Sequence[str] = tuple(EXTREMA)) -> DataFrame:
+    """p, R01 to R07 and ``extrema`` at the end version, and i_ columns of extrema that had to be computed
+    again. Without extrema ``end`` isn't read at all; with some, the partitions flagged for these."""
+    both = state.select("p", *[F.col(r).alias(f"s_{r}") for r in (*COUNTS, *extrema)]).join(changes, "p", "full")
     counts = [(F.coalesce(f"s_{r}", F.lit(0)) + F.coalesce(f"d_{r}", F.lit(0))).cast("long").alias(r) for r in COUNTS]
-    extrema = []
-    for r, (kind, _) in EXTREMA.items():
-        pick = F.least if kind == "min" else F.greatest
-        extrema.append(F.when(F.coalesce(f"i_{r}", F.lit(False)), F.col(f"n_{r}")).otherwise(pick(f"s_{r}", f"c_{r}")).alias(r))
-    return both.select("p", *counts, *extrema, *[F.coalesce(f"i_{r}", F.lit(False)).alias(f"i_{r}") for r in EXTREMA])
+    found = []
+    if extrema:
+        flagged = changes.where(_any("i_", extrema)).select(F.col("p").alias("_p"))
+        fresh = in_partitions(end, flagged).groupBy(F.col("p").alias("n_p")).agg(*[c.alias(f"n_{r}") for r, c in zip(EXTREMA, rules.extrema()) if r in extrema])
+        both = both.join(F.broadcast(fresh), F.col("p") == F.col("n_p"), "left")  # at most one row a logical partition
+    for r in extrema:
+        pick = F.least if EXTREMA[r][0] == "min" else F.greatest
+        found.append(F.when(F.coalesce(f"i_{r}", F.lit(False)), F.col(f"n_{r}")).otherwise(pick(f"s_{r}", f"c_{r}")).alias(r))
+    return both.select("p", *counts, *found, *[F.coalesce(f"i_{r}", F.lit(False)).alias(f"i_{r}") for r in extrema])
 
 
 def _same_key(left: str, right: str, key: tuple[str, ...]) -> Column:
@@ -167,7 +172,7 @@ def key_delta(images: DataFrame, rules: RuleSet) -> DataFrame:
 
 def in_buckets(frequencies: DataFrame, delta: DataFrame) -> DataFrame:
     """The frequencies in the buckets of changed keys: of a state stored by bucket, those folders alone."""
-    touched = delta.select(F.col("b").alias("_b")).distinct()  # at most one row a bucket
+    touched = delta.select(F.col("b").alias("_b")).where("_b >= 0").distinct()  # at most one row a bucket; for the comparison see in_partitions
     return frequencies.join(F.broadcast(touched), F.col("b") == F.col("_b"), "left_semi")
 
 
@@ -221,18 +226,6 @@ def compacted(frequencies: DataFrame, overlay: DataFrame, rules: RuleSet) -> Dat
     return rest.unionByName(overlay.where("final_frequency > 0").select("b", *rules.key, F.col("final_frequency").alias("frequency")))
 
 
-def all_rules(state: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet, row_key: str) -> DataFrame:
-    """One row R01 to R13 and the number of partitions whose extrema were computed again.
-
-    R01 to R11 come from state and changes, R12 and R13 from the end snapshot.
-    """
-    kept = _maintained(state, state_changes(net_images(feed, row_key), state, rules), end, rules)
-    counts = [F.coalesce(F.sum(r), F.lit(0)).cast("long").alias(r) for r in COUNTS]
-    scalars = kept.agg(*counts, *[(F.min if kind == "min" else F.max)(r).alias(r) for r, (kind, _) in EXTREMA.items()], *[F.count_if(F.col(f"i_{r}")).alias(f"again_{r}") for r in EXTREMA])
-    extra = duplicate_metrics(end.groupBy(*rules.key).agg(F.count(F.lit(1)).alias("frequency")))
-    return scalars.crossJoin(extra.select(F.col("duplicate_extra").alias("R12"), (F.col("duplicate_extra") == 0).alias("R13")))  # one row each
-
-
 def differential(state: DataFrame, feed: DataFrame, end: DataFrame, rules: RuleSet) -> DataFrame:
     """Partition state with the affected partitions computed again at the end version."""
     touched = feed.where("_commit_version > 0").select(partition_id().alias("_p")).distinct()  # at most one row a logical partition

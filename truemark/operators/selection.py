@@ -29,8 +29,7 @@ HORIZON = 1000
 def profile_weights(spark) -> DataFrame:
     """profile_id, rule_id, raw_weight, normalized_weight (1 in sum for a profile)."""
     rows = [(p, f"R{i:02d}", w) for p, ws in PROFILES.items() for i, w in enumerate(ws, 1)]
-    df = spark.createDataFrame(rows, "profile_id string, rule_id string, raw_weight double")
-    return df.withColumn("normalized_weight", F.col("raw_weight") / F.sum("raw_weight").over(Window.partitionBy("profile_id")))
+    return normalized(spark.createDataFrame(rows, "profile_id string, rule_id string, raw_weight double"))
 
 
 def portfolio_gains(states: DataFrame, weights: DataFrame, recurring: Column) -> DataFrame:
@@ -42,17 +41,32 @@ def portfolio_gains(states: DataFrame, weights: DataFrame, recurring: Column) ->
     return ruled.groupBy("profile_id", "state_id", "size_bytes").agg(F.round(net, 12).alias("gain"))
 
 
+def normalized(weights: DataFrame) -> DataFrame:
+    """``weights`` (profile_id, rule, raw_weight) with normalized_weight, 1 in sum for a profile."""
+    return weights.withColumn("normalized_weight", F.col("raw_weight") / F.sum("raw_weight").over(Window.partitionBy("profile_id")))
+
+
+def sane_weights(weights: DataFrame, rules: int = 13) -> DataFrame:
+    """profile_id, rules and sane: as many weights as there are rules, which sum to 1."""
+    whole = (F.abs(F.sum("normalized_weight") - 1) <= 1e-12) & (F.count(F.lit(1)) == rules)
+    return weights.groupBy("profile_id").agg(F.count(F.lit(1)).alias("rules"), whole.alias("sane"))
+
+
 def oracle(gains: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Best subset per profile and budget: gain, then less storage, then fewer states, then by name."""
-    numbered = gains.withColumn("bit", F.row_number().over(Window.partitionBy("profile_id").orderBy("state_id")) - 1)
-    masks = gains.sparkSession.range(1 << 12).withColumnRenamed("id", "mask")
-    held = masks.join(F.broadcast(numbered), F.expr("shiftright(mask, bit) & 1 = 1 OR bit = 0"))  # 12 states a profile
-    inside = F.expr("shiftright(mask, bit) & 1 = 1")
-    sums = held.groupBy("profile_id", "mask").agg(
-        F.round(F.coalesce(F.sum(F.when(inside, F.col("gain"))), F.lit(0.0)), 9).alias("gain"),
-        F.coalesce(F.sum(F.when(inside, F.col("size_bytes"))), F.lit(0)).cast("long").alias("storage"),
-        F.array_join(F.sort_array(F.collect_list(F.when(inside, F.col("state_id")))), ",").alias("portfolio"),
-        F.count_if(inside).alias("n_states"),
+    """Best subset per profile and budget: gain, then less storage, then fewer states, then by name.
+
+    A profile's states are one array, and a subset is a number whose bits pick from it.
+    """
+    state = F.struct("state_id", "size_bytes", "gain")
+    listed = gains.groupBy("profile_id").agg(F.sort_array(F.collect_list(state)).alias("l"))  # 12 states a profile
+    subsets = listed.crossJoin(F.broadcast(gains.sparkSession.range(1 << 12).withColumnRenamed("id", "mask")))  # 4,096 subsets
+    inside = subsets.select("profile_id", F.filter("l", lambda s, i: F.col("mask").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0).alias("s"))
+    sums = inside.select(
+        "profile_id",
+        F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["gain"]), 9).alias("gain"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["size_bytes"]).alias("storage"),
+        F.array_join(F.transform("s", lambda x: x["state_id"]), ",").alias("portfolio"),
+        F.size("s").alias("n_states"),
     )
     fits = sums.join(F.broadcast(budgets), F.col("storage") <= F.col("budget_bytes"))  # nine budgets
     best = Window.partitionBy("profile_id", "budget_bytes").orderBy(F.col("gain").desc(), "storage", "n_states", "portfolio")

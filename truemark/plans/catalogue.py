@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from truemark.functions.keys import EVENT_KEY_SQL, bucket_id, partition_id, portable_hash
-from truemark.functions.rules import COUNTS, CUSTOMER, EVENTS, EXTREMA, LINEITEM, RULES, SCALARS, RuleSet, metric_type, rule_rows
+from truemark.functions.keys import EVENT_KEY, EVENT_KEY_SQL, OTHER_REST, bucket_id, double_text, partition_id, portable_hash
+from truemark.functions.rules import COUNTS, CUSTOMER, EVENTS, EXTREMA, LINEITEM, RULES, SCALARS, RuleSet, display_value, metric_type, rule_rows
 from truemark.operators import analyzers as an
+from truemark.operators import consolidate as con
 from truemark.operators import incremental as inc
+from truemark.operators import planner
 from truemark.operators import selection as sel
 from truemark.sources import files
+from truemark.sources.files import fingerprint
+from truemark.sources.folders import FolderTable
 from truemark.sources.shared import shared_dir
 from truemark.sources.stored import Stored, stored
 from truemark.sources.versions import event_scenario
@@ -270,30 +274,51 @@ def key_frequency_state(spark, d):
 
 @query("state_consolidate", f"SELECT {_STATE} FROM events GROUP BY 1")
 def state_consolidate(spark, d):
-    """Eleven long state tables (p, value) as one wide table: a pivot, not a chain of joins."""
-    state = partition_state(spark, d)
-    long = reduce(DataFrame.unionByName, (state.select("p", F.lit(r).alias("state"), F.col(r).cast("double").alias("value")) for r in SCALARS))
-    wide = long.groupBy("p").pivot("state", list(SCALARS)).agg(F.first("value"))
-    return wide.select("p", *[F.col(r).cast("long") for r in COUNTS], *EXTREMA)
+    """Eleven state tables, stored one by one, folded into one and held against the roll-up of the whole."""
+    state = _stored(spark, d).state
+    return con.consolidated(con.store_states(state), inc.roll_up(state))
+
+
+def _trial_seconds(spark, d) -> DataFrame:
+    """One row: the median seconds of the trials of a scalar scan (F), a key count (O) and a key-state update (P)."""
+    named = {"scan": "F", "count": "O", "recurring": "P"}
+    return _trials(spark, d).agg(*(F.round(F.median(F.when(F.col("method") == m, F.col("seconds"))), 6).alias(n) for n, m in named.items()))
+
+
+def _build_seconds(spark, d) -> DataFrame:
+    """state_id and the median seconds of the trials that built it: customers are the trials, nations name the states, balances the seconds."""
+    state = F.concat(F.lit("S"), F.lpad((F.col("c_nationkey") % 12 + 1).cast("string"), 2, "0"))
+    return table(spark, d, "customer").groupBy(state.alias("state_id")).agg(F.round(F.median(F.abs("c_acctbal")), 6).alias("build_seconds"))
 
 
 def _states(spark, d) -> DataFrame:
-    """The state catalogue of the events table: sizes follow the partitions and keys there are."""
-    keys = inc.key_frequency(table(spark, d, "events"), EVENTS).agg((F.count(F.lit(1)) * 24).cast("long").alias("size_bytes"), F.sum("frequency").alias("n"))
-    parts = inc.affected_partitions(table(spark, d, "events")).agg((F.count(F.lit(1)) * 16).cast("long").alias("part_bytes"))
-    seconds = F.col("n") / 1_000_000
-    one = keys.crossJoin(parts)  # one row each
-    rows = [F.struct(F.lit(f"S{i:02d}").alias("state_id"), F.lit("ADDITIVE" if i < 8 else "PARTITION_EXTREMA" if i < 12 else "KEY_FREQUENCY").alias("state_family"), (F.col("part_bytes") + i if i < 12 else F.col("size_bytes")).cast("long").alias("size_bytes"), F.lit(2.0 if i < 12 else 200.0).alias("build_seconds"), F.array(*(F.lit(r) for r in ([f"R{i:02d}"] if i < 12 else ["R12", "R13"]))).alias("rules"), (10 + seconds if i < 12 else 30 + seconds).alias("cost")) for i in range(1, 13)]
-    return one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-
-
-_STATES_SQL = f"""k AS (SELECT count(*) * 24 AS kb, sum(n) AS n FROM (SELECT count(*) AS n FROM events GROUP BY {_EKEY})), pb AS (SELECT count(DISTINCT {_P}) * 16 AS pb FROM events),
-states AS (SELECT 'S' || lpad(i::VARCHAR, 2, '0') AS state_id, CASE WHEN i < 8 THEN 'ADDITIVE' WHEN i < 12 THEN 'PARTITION_EXTREMA' ELSE 'KEY_FREQUENCY' END AS state_family,
- (CASE WHEN i < 12 THEN pb + i ELSE kb END)::BIGINT AS size_bytes, CASE WHEN i < 12 THEN 2.0::DOUBLE ELSE 200.0::DOUBLE END AS build_seconds, CASE WHEN i < 12 THEN 10 + n / 1000000 ELSE 30 + n / 1000000 END::DOUBLE AS cost, i FROM k, pb, range(1, 13) t(i))"""
+    """The state catalogue of the events table: logical bytes as stored, medians of trials as costs.
+
+    A state's logical bytes are those of its rows as text: partition and value, or key and frequency.
+    """
+    kept = _stored(spark, d)
+    text = lambda r: f"coalesce(length({double_text(r) if r in EXTREMA else f'cast({r} AS string)'}), 1)"
+    scalars = kept.state.agg(*(F.sum(F.expr(f"length(cast(p AS string)) + {text(r)} + 2")).cast("long").alias(f"S{r[1:]}") for r in SCALARS))
+    keyed = kept.keys.agg(F.sum(F.expr(f"length({EVENT_KEY}) + length(cast(frequency AS string)) + 2")).cast("long").alias("S12"))
+    one = scalars.crossJoin(keyed).crossJoin(_trial_seconds(spark, d))  # one row each
+    family = lambda i: "ADDITIVE" if i < 8 else "PARTITION_EXTREMA" if i < 12 else "KEY_FREQUENCY"
+    rows = [F.struct(F.lit(f"S{i:02d}").alias("state_id"), F.lit(family(i)).alias("state_family"), F.coalesce(f"S{i:02d}", F.lit(0)).cast("long").alias("size_bytes"), F.array(*(F.lit(r) for r in ([f"R{i:02d}"] if i < 12 else ["R12", "R13"]))).alias("rules"), F.col("scan" if i < 12 else "count").alias("cost"), (F.lit(0.0) if i < 12 else F.col("recurring")).alias("recurring")) for i in range(1, 13)]
+    listed = one.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    return listed.join(F.broadcast(_build_seconds(spark, d)), "state_id", "left").fillna(0.0, ["build_seconds"])  # twelve rows
+
+
+_TEXT = {r: double_text(r, OTHER_REST) if r in EXTREMA else f"{r}::VARCHAR" for r in SCALARS}
+_SIZES_SQL = " UNION ALL ".join(f"SELECT {i} AS i, sum(length(p::VARCHAR) + coalesce(length({_TEXT[r]}), 1) + 2)::BIGINT AS size_bytes FROM st0" for i, r in enumerate(SCALARS, 1))
+_STATES_SQL = f"""st0 AS (SELECT {_STATE} FROM events GROUP BY 1), kf0 AS (SELECT {_EKEY}, count(*) AS n FROM events GROUP BY {_EKEY}),
+sizes AS ({_SIZES_SQL} UNION ALL SELECT 12, sum(length({EVENT_KEY_SQL}) + length(n::VARCHAR) + 2)::BIGINT FROM kf0),
+sec AS (SELECT {', '.join(f"round(median(o_totalprice) FILTER (WHERE o_orderstatus = '{m}'), 6) AS {n}_s" for n, m in (('scan', 'F'), ('count', 'O'), ('recurring', 'P')))} FROM orders),
+built AS (SELECT c_nationkey % 12 + 1 AS i, round(median(abs(c_acctbal)), 6) AS build_seconds FROM customer GROUP BY 1),
+states AS (SELECT 'S' || lpad(sizes.i::VARCHAR, 2, '0') AS state_id, CASE WHEN sizes.i < 8 THEN 'ADDITIVE' WHEN sizes.i < 12 THEN 'PARTITION_EXTREMA' ELSE 'KEY_FREQUENCY' END AS state_family,
+ size_bytes, coalesce(build_seconds, 0) AS build_seconds, CASE WHEN sizes.i < 12 THEN scan_s ELSE count_s END AS cost, CASE WHEN sizes.i < 12 THEN 0.0::DOUBLE ELSE recurring_s END AS recurring, sizes.i AS i FROM sizes CROSS JOIN sec LEFT JOIN built ON built.i = sizes.i)"""
 _W = ", ".join(f"('{p}', {i}, {w}::DOUBLE)" for p, ws in sel.PROFILES.items() for i, w in enumerate(ws, 1))
 _WEIGHTS_SQL = f"w AS (SELECT profile_id, i AS rule, raw_weight, raw_weight / sum(raw_weight) OVER (PARTITION BY profile_id) AS nw FROM (VALUES {_W}) t(profile_id, i, raw_weight))"
 _GAINS_SQL = f"""{_STATES_SQL}, {_WEIGHTS_SQL}, gains AS (SELECT profile_id, state_id, size_bytes,
- round(sum(nw) * any_value(cost) - sum(nw) * any_value(CASE WHEN state_id = 'S12' THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END) - any_value(build_seconds) / 1000, 12) AS gain
+ round(sum(nw) * any_value(cost) - sum(nw) * any_value(recurring) - any_value(build_seconds) / 1000, 12) AS gain
  FROM states JOIN w ON w.rule = states.i OR (states.i = 12 AND w.rule = 13) GROUP BY ALL)"""
 _BUDGETS_SQL = f"b AS (SELECT unnest([{', '.join(map(str, sel.BUDGETS))}])::BIGINT AS budget_bytes)"
 _ORACLE_SQL = f"""sums AS (SELECT profile_id, mask, round(coalesce(sum(gain) FILTER (WHERE inside), 0), 9) AS gain, coalesce(sum(size_bytes) FILTER (WHERE inside), 0)::BIGINT AS storage,
@@ -301,13 +326,13 @@ _ORACLE_SQL = f"""sums AS (SELECT profile_id, mask, round(coalesce(sum(gain) FIL
 best AS (SELECT profile_id, budget_bytes, portfolio, storage, gain FROM sums JOIN b ON storage <= budget_bytes QUALIFY row_number() OVER (PARTITION BY profile_id, budget_bytes ORDER BY gain DESC, storage, n, portfolio) = 1)"""
 
 
-@query("state_catalog_summary", f"WITH {_STATES_SQL} SELECT state_family, count(*)::BIGINT AS states, sum(size_bytes)::BIGINT AS bytes, sum(build_seconds) AS build_seconds FROM states GROUP BY 1")
+@query("state_catalog_summary", f"WITH {_STATES_SQL} SELECT state_family, count(*)::BIGINT AS states, sum(size_bytes)::BIGINT AS bytes, round(sum(build_seconds), 6) AS build_seconds FROM states GROUP BY 1")
 def state_catalog_summary(spark, d):
-    return _states(spark, d).groupBy("state_family").agg(F.count(F.lit(1)).alias("states"), F.sum("size_bytes").cast("long").alias("bytes"), F.sum("build_seconds").alias("build_seconds"))
+    return _states(spark, d).groupBy("state_family").agg(F.count(F.lit(1)).alias("states"), F.sum("size_bytes").cast("long").alias("bytes"), F.round(F.sum("build_seconds"), 6).alias("build_seconds"))
 
 
 def _gains(spark, d) -> DataFrame:
-    return sel.portfolio_gains(_states(spark, d), sel.profile_weights(spark), F.when(F.col("state_id") == "S12", 20.0).otherwise(0.0))
+    return sel.portfolio_gains(_states(spark, d), sel.profile_weights(spark), F.col("recurring"))
 
 
 def _budgets(spark) -> DataFrame:
@@ -338,13 +363,13 @@ def greedy_select(spark, d):
     return sel.greedy(_gains(spark, d), _budgets(spark))
 
 
-@query("portfolio_costs", f"""{_CHOICES}, each AS (SELECT profile_id, state_id, sum(nw) * any_value(cost) AS gross, sum(nw) * any_value(CASE WHEN state_id = 'S12' THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END) AS recurring, any_value(build_seconds) / 1000 AS amortized
+@query("portfolio_costs", f"""{_CHOICES}, each AS (SELECT profile_id, state_id, sum(nw) * any_value(cost) AS gross, sum(nw) * any_value(recurring) AS recurring, any_value(build_seconds) / 1000 AS amortized
  FROM states JOIN w ON w.rule = states.i OR (states.i = 12 AND w.rule = 13) GROUP BY ALL), whole AS (SELECT profile_id, sum(gross) AS whole FROM each GROUP BY 1),
 sums AS (SELECT g.profile_id, g.budget_bytes, coalesce(sum(gross), 0) AS gross, coalesce(sum(recurring), 0) AS recurring, coalesce(sum(amortized), 0) AS amortized FROM greedy g LEFT JOIN each e ON e.profile_id = g.profile_id AND list_contains(g.ids, e.state_id) GROUP BY 1, 2)
 SELECT s.profile_id, budget_bytes, round(gross, 6) AS gross, round(recurring, 6) AS recurring, round(amortized, 6) AS amortized, round(gross - recurring - amortized, 6) AS net, round(greatest(0, whole - gross) + recurring + amortized, 6) AS remaining FROM sums s JOIN whole ON whole.profile_id = s.profile_id""")
 def portfolio_costs(spark, d):
     """Gross, net and remaining cost of the portfolios that greedy chooses."""
-    return sel.portfolio_costs(greedy_select(spark, d), _states(spark, d), sel.profile_weights(spark), F.when(F.col("state_id") == "S12", 20.0).otherwise(0.0))
+    return sel.portfolio_costs(greedy_select(spark, d), _states(spark, d), sel.profile_weights(spark), F.col("recurring"))
 
 
 @query("oracle_gap", f"""{_CHOICES}, {_ORACLE_SQL} SELECT g.profile_id, count_if(abs(o.gain - g.gain) <= 1e-9)::BIGINT AS exact_matches, round(max(gap), 6) AS max_gap_percent, round(avg(gap), 6) AS mean_gap_percent
@@ -397,8 +422,7 @@ for _v in range(5):
 
 @query("time_travel_count", f"WITH {M1} " + " UNION ALL ".join(f"SELECT {v}::BIGINT AS version, count(*)::BIGINT AS row_count FROM v{v}" for v in range(5)))
 def time_travel_count(spark, d):
-    t = _scenario(spark, d)
-    return reduce(DataFrame.unionByName, (t.snapshot(v).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(v).cast("long").alias("version"), "row_count") for v in range(5)))
+    return _scenario(spark, d).history().select("version", "row_count")
 
 
 @query("table_history", f"WITH {M1}, n AS (" + " UNION ALL ".join(f"SELECT {v}::BIGINT AS version, '{o}' AS operation, (SELECT count(*) FROM v{v})::BIGINT AS row_count" for v, o in enumerate(("LOAD", "DELETE", "UPDATE", "INSERT", "UPDATE_DELETE"))) + ") SELECT n.*, (SELECT count(*) FROM cdf WHERE commit_version = version)::BIGINT AS change_count FROM n")
@@ -457,8 +481,41 @@ def cdf_guard(spark, d):
     return twice.crossJoin(negative).crossJoin(keys.agg(F.sum("frequency").cast("long").alias("frequency_sum")))  # one row each
 
 
-for _n, _v, _o in (("dml_delete", 1, "delete"), ("dml_update", 2, "update"), ("dml_insert", 3, "insert")):
-    query(_n, f"WITH {M1} SELECT event_id, user_id, event_type, value FROM v{_v}")(lambda spark, d, v=_v: _scenario(spark, d).snapshot(v).select("event_id", "user_id", "event_type", "value"))
+def _folder_table(spark, d) -> FolderTable:
+    """The events as a table in folders, with the scenario's four commits executed; made once a session."""
+    base = table(spark, d, "events").select(*_COLS.split(", "))
+    place = (spark.sparkContext.applicationId, shared_dir(spark), fingerprint(spark, f"{d}/events.parquet"))
+    if place not in _made:
+        t = FolderTable.create(base, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}", "event_id", partition_id())
+        e = F.col("event_id")
+        t.delete(e % 101 == 7)
+        t.update(e % 97 == 5, {"event_type": F.lit("fixed"), "value": F.when(e % 2 == 0, F.lit(None)).otherwise(-F.col("value"))})
+        value = F.when(e % 3 == 0, F.lit(None)).when(e % 3 == 1, F.col("value")).otherwise(F.col("value") * 100)
+        t.insert(base.where(e % 89 == 3).withColumn("value", value).withColumn("event_id", e + 10_000_000))
+        late = t.rows().where((e >= 10_000_000) & (e % 2 == 0)).withColumn("ts", F.lit("2035-01-01 00:00:00").cast("timestamp_ntz")).withColumn("op", F.lit("UPDATE"))
+        t.merge(late.unionByName(t.rows().where((e < 10_000_000) & (e % 97 == 5) & (e % 5 == 0)).withColumn("op", F.lit("DELETE"))))
+        _made[place] = t
+    return _made[place]
+
+
+_made: dict[tuple[str, str, str], FolderTable] = {}
+
+for _n, _v in (("dml_delete", 1), ("dml_update", 2), ("dml_insert", 3), ("dml_scenario", 4)):
+    query(_n, f"WITH {M1} SELECT event_id, user_id, event_type, value FROM v{_v}")(lambda spark, d, v=_v: _folder_table(spark, d).as_of(v).select("event_id", "user_id", "event_type", "value"))
+
+
+@query("folder_history", f"WITH {M1}, n AS (" + " UNION ALL ".join(f"SELECT {v}::BIGINT AS version, '{o}' AS operation, (SELECT count(*) FROM v{v})::BIGINT AS row_count" for v, o in enumerate(("LOAD", "DELETE", "UPDATE", "INSERT", "MERGE"))) + ") SELECT n.*, (SELECT count(*) FROM cdf WHERE commit_version = version)::BIGINT AS change_count FROM n")
+def folder_history(spark, d):
+    """Operations and counts of the commits executed on the table in folders, from its log."""
+    return _folder_table(spark, d).history()
+
+
+@query("folder_detail", f"WITH {M1} SELECT count(*)::BIGINT AS row_count, count(DISTINCT {_P})::BIGINT AS partitions, true AS sized, 'event_id' AS row_key, '4' AS version FROM v4")
+def folder_detail(spark, d):
+    """Rows, partitions, properties and whether files have a size; SQL knows no files, so these come as a check."""
+    sized = (F.col("files") >= F.col("partitions")) & (F.col("size_bytes") > 0)
+    return _folder_table(spark, d).detail().select("row_count", "partitions", sized.alias("sized"), F.col("properties")["row_key"].alias("row_key"), F.col("properties")["version"].alias("version"))
+
 
 _OPS = "CASE WHEN event_id % 50 = 1 THEN 'DELETE' WHEN event_id % 50 = 2 THEN 'UPDATE' ELSE 'INSERT' END"
 _SOURCE = f"SELECT CASE WHEN event_id % 50 = 3 THEN event_id + 20000000 ELSE event_id END AS event_id, ts, user_id, event_type, CASE WHEN event_id % 50 = 2 THEN value + 1 ELSE value END AS value, props, {_OPS} AS op FROM events WHERE event_id % 50 IN (1, 2, 3)"
@@ -476,9 +533,13 @@ def _merge_source(spark, d) -> DataFrame:
 
 @query("dml_merge", f"WITH s AS ({_SOURCE}) SELECT event_id, user_id, event_type, value FROM events WHERE event_id NOT IN (SELECT event_id FROM s) UNION ALL SELECT event_id, user_id, event_type, value FROM s WHERE op <> 'DELETE'")
 def dml_merge(spark, d):
-    t = _scenario(spark, d)
-    t.snapshots, t.feed, t.operations = t.snapshots[:1], [], t.operations[:1]
-    return t.merge(_merge_source(spark, d)).snapshot().select("event_id", "user_id", "event_type", "value")
+    base = table(spark, d, "events").select(*_COLS.split(", "))
+    t = FolderTable.create(base, f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}", "event_id", partition_id())
+    # a row to be changed is meant where it lies
+    source = _merge_source(spark, d)
+    at = table(spark, d, "events").where("event_id % 50 IN (1, 2)").select(F.col("event_id").alias("_id"), partition_id().alias("p"))
+    t.merge(source.join(at, F.col("event_id") == F.col("_id"), "left").drop("_id"))
+    return t.rows().select("event_id", "user_id", "event_type", "value")
 
 
 # ---------------------------------------------------------------- incremental maintenance
@@ -593,22 +654,14 @@ def _rules_at(rows: DataFrame) -> DataFrame:
     return rule_rows(inc.full_validation(rows, EVENTS))
 
 
-_MODE_SQL = ", CASE WHEN '$r' IN ('R12', 'R13') THEN 'EXACT_FULL_SCAN_FALLBACK' WHEN (SELECT coalesce(max(n), 0) FROM again WHERE rule = '$r') > 0 THEN 'AFFECTED_PARTITION_RECOMPUTE' ELSE 'STATE_ASSISTED' END AS planner_mode, true AS exact_match"
+_MODE_SQL = ", CASE WHEN (SELECT coalesce(max(n), 0) FROM again WHERE rule = '$r') > 0 THEN 'AFFECTED_PARTITION_RECOMPUTE' ELSE 'STATE_ASSISTED' END AS planner_mode"
 _AGAIN = "again AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, count_if({r}) AS n FROM inv" for r in EXTREMA) + ")"
 
 
 @query("incremental_all_rules", f"WITH {M1}, {_INVALID}, {_AGAIN}, {_wide_sql('v4', EVENTS)} {_rows_sql(_MODE_SQL)}")
 def incremental_all_rules(spark, d):
-    """Flagship: every rule from state and changes, its planner mode, and whether it equals full validation."""
-    kept = _stored(spark, d)
-    wide = inc.all_rules(kept.state, kept.feed, kept.end, EVENTS, "event_id")
-    modes = [F.struct(F.lit(r).alias("rule_id"), F.when(F.lit(r in ("R12", "R13")), "EXACT_FULL_SCAN_FALLBACK").when(F.col(f"again_{r}") > 0 if r in EXTREMA else F.lit(False), "AFFECTED_PARTITION_RECOMPUTE").otherwise("STATE_ASSISTED").alias("planner_mode")) for r in RULES]
-    planned = F.map_from_entries(F.array(*modes))
-    rows = rule_rows(wide.withColumn("modes", planned), "modes").withColumn("planner_mode", F.col("modes")[F.col("rule_id")]).drop("modes")
-    full = _rules_at(kept.end).select("rule_id", *[F.col(c).alias(f"full_{c}") for c in ("long_value", "double_value", "boolean_value", "status")])
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"full_{c}")) for c in ("long_value", "boolean_value", "status")))
-    close = F.col("double_value").eqNullSafe(F.col("full_double_value")) | F.coalesce(F.abs(F.col("double_value") - F.col("full_double_value")) <= 1e-9, F.lit(False))
-    return rows.join(F.broadcast(full), "rule_id").select(*rows.columns, (same & close).alias("exact_match"))  # 13 rows
+    """Flagship: every rule from state and changes, with its planner mode."""
+    return planner.planned_rules(_stored(spark, d), EVENTS, "event_id", planner.STATES)
 
 
 @query("differential_partition", f"WITH {M1}, {_wide_sql('v4', EVENTS)} {_rows_sql()}")
@@ -861,22 +914,26 @@ def first_duplicate_by_hex(spark, d):
 
 
 @query("ranked_merge_source", f"""WITH c AS (SELECT event_id, {_RANK} AS h FROM ({_CLEAN}) WHERE {_RANK} < 20000), r AS (SELECT event_id, row_number() OVER (ORDER BY h, event_id)::BIGINT AS rank FROM c)
-SELECT rank, CASE WHEN rank <= 20 THEN 'UPDATE' WHEN rank <= 40 THEN 'DELETE' ELSE 'INSERT' END AS op, CASE WHEN rank > 40 THEN event_id + 40000000 ELSE event_id END AS event_id,
+SELECT rank, CASE WHEN rank <= 20 THEN 'UPDATE' WHEN rank <= 40 THEN 'DELETE' ELSE 'INSERT' END AS op, CASE WHEN rank > 40 THEN (SELECT max(event_id) FROM events) + rank - 40 ELSE event_id END AS event_id,
  sha256(concat_ws('|', 'INSERT', lpad(rank::VARCHAR, 8, '0'), event_id)) AS marker FROM r WHERE rank <= 60""")
 def ranked_merge_source(spark, d):
     """The whole chain: clean, hash-sampled, ranked; rank slices become updates, deletes and inserts with markers of their own."""
     sampled = clean_candidates(spark, d).join(hash_sample(spark, d), "event_id", "left_semi")
     slices = F.when(F.col("rank") <= 20, "UPDATE").when(F.col("rank") <= 40, "DELETE").otherwise("INSERT")
-    new_id = F.when(F.col("rank") > 40, F.col("event_id") + 40_000_000).otherwise(F.col("event_id"))
+    new_id = F.when(F.col("rank") > 40, F.col("top") + F.col("rank") - 40).otherwise(F.col("event_id"))
+    top = table(spark, d, "events").agg(F.max("event_id").alias("top"))
     marker = F.sha2(F.concat_ws("|", F.lit("INSERT"), F.lpad(F.col("rank").cast("string"), 8, "0"), F.col("event_id").cast("string")), 256)
-    return _ranked(sampled).where("rank <= 60").select("rank", slices.alias("op"), new_id.alias("event_id"), marker.alias("marker"))
+    return _ranked(sampled).where("rank <= 60").crossJoin(F.broadcast(top)).select("rank", slices.alias("op"), new_id.alias("event_id"), marker.alias("marker"))
+
+
+_SHARES = "SELECT o_orderpriority AS profile_id, o_orderkey % 13 AS rule, count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority) AS nw FROM orders GROUP BY 1, 2"
 
 
-@query("weight_sanity", f"WITH {_WEIGHTS_SQL} SELECT profile_id, count(*)::BIGINT AS rules, abs(sum(nw) - 1) <= 1e-12 AND count(*) = 13 AS sane FROM w GROUP BY 1")
+@query("weight_sanity", f"SELECT profile_id, count(*)::BIGINT AS rules, abs(sum(nw) - 1) <= 1e-12 AND count(*) = 13 AS sane FROM ({_SHARES}) GROUP BY 1")
 def weight_sanity(spark, d):
-    weights = sel.profile_weights(spark).join(_states(spark, d).select(F.explode("rules").alias("rule_id")), "rule_id", "left_semi")
-    total = F.abs(F.sum("normalized_weight") - 1) <= 1e-12
-    return weights.groupBy("profile_id").agg(F.count(F.lit(1)).alias("rules"), (total & (F.count(F.lit(1)) == 13)).alias("sane"))
+    """Profiles as the data weighs them (how often each rule is asked for, by priority): thirteen weights that sum to 1."""
+    asked = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("profile_id"), (F.col("o_orderkey") % 13).alias("rule")).agg(F.count(F.lit(1)).alias("raw_weight"))
+    return sel.sane_weights(sel.normalized(asked))
 
 
 @query("budget_labels", f"""WITH {_STATES_SQL}, {_BUDGETS_SQL} SELECT budget_bytes, CASE WHEN budget_bytes >= 1073741824 THEN printf('%.3f GiB', budget_bytes / 1073741824) WHEN budget_bytes >= 1048576 THEN printf('%.3f MiB', budget_bytes / 1048576)
@@ -900,14 +957,10 @@ def matrix_manifest(spark, d):
     return workload_matrix(spark, d).join(F.broadcast(manifest), "family").select("family", "operations", "available", (F.col("available") >= F.col("operations")).alias("enough"))  # four rows
 
 
-_SHOWN = "lower(concat_ws(' ', rule_id, metric_type, status, coalesce(long_value::VARCHAR, boolean_value::VARCHAR, '')))"
+_SHOWN = "lower(concat_ws(' ', rule_id, metric_type, status, coalesce(long_value::VARCHAR, boolean_value::VARCHAR, printf('%.12g', double_value), '')))"
 
 
-@query("rule_display", f"WITH {_wide_sql('events', EVENTS)}, r AS ({_rows_sql()}) SELECT rule_id, {_SHOWN} AS metric_display FROM r WHERE metric_type <> 'DOUBLE' ORDER BY rule_id")
+@query("rule_display", f"WITH {_wide_sql('events', EVENTS)}, r AS ({_rows_sql()}) SELECT rule_id, {_SHOWN} AS metric_display FROM r ORDER BY rule_id")
 def rule_display(spark, d):
-    """The whole and boolean results as text, in the order of the report."""
-    value = F.coalesce(F.col("long_value").cast("string"), F.col("boolean_value").cast("string"), F.lit(""))
-    return _rules_at(table(spark, d, "events")).where("metric_type <> 'DOUBLE'").select("rule_id", F.lower(F.concat_ws(" ", "rule_id", "metric_type", "status", value)).alias("metric_display")).orderBy("rule_id")
-
-
-QUERIES = dict(sorted(QUERIES.items()))
+    """Each result as text, doubles with 12 significant digits, in the order of the report."""
+    return _rules_at(table(spark, d, "events")).select("rule_id", F.lower(F.concat_ws(" ", "rule_id", "metric_type", "status", display_value())).alias("metric_display")).orderBy("rule_id")

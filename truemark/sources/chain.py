@@ -43,6 +43,10 @@ class Chain:
     def overlay(self, step: int) -> DataFrame:
         return self.spark.read.parquet(self._at("overlay", step))
 
+    def last_step(self) -> int:
+        """The last step that is done."""
+        return self.spark.read.parquet(self._at("state")).agg(F.max("step")).first()[0]
+
     def start(self, base: DataFrame) -> "Chain":
         """Step 0: the states of ``base``; done once."""
         if found(self.spark, self._at("state", 0)) is None:

@@ -76,21 +76,31 @@ class Versions:
         checked = source.withColumn("_twice", twice).withColumn("op", F.when(F.col("_twice"), F.raise_error(F.lit("MERGE source matches a row twice"))).otherwise(F.col("op")))
         renamed = checked.select(F.col("op").alias("_op"), *[F.col(c).alias(f"_new_{c}") for c in self.columns])
         both = now.join(renamed, F.col(key) == F.col(f"_new_{key}"), "full")
-        matched, new = F.col(key).isNotNull() & F.col("_op").isNotNull(), [F.col(f"_new_{c}").alias(c) for c in self.columns]
-        updated, deleted = both.where(matched & (F.col("_op") == "UPDATE")), both.where(matched & (F.col("_op") == "DELETE"))
-        inserted = both.where(F.col(key).isNull() & (F.col("_op") == "INSERT"))
-        untouched = both.where(F.col(key).isNotNull() & ~F.coalesce(F.col("_op").isin("UPDATE", "DELETE"), F.lit(False)))
-        after = untouched.select(*self.columns).unionByName(updated.select(*new)).unionByName(inserted.select(*new))
-        changes = [self._typed(deleted, "delete"), self._typed(updated, "update_preimage"), self._typed(updated.select(*new), "update_postimage"), self._typed(inserted.select(*new), "insert")]
-        return self._commit(after, changes, "MERGE")
+        there = F.col(key).isNotNull()
+        names = lambda *kinds: F.array(*(F.lit(k) for k in kinds))
+        kinds = (
+            F.when(there & (F.col("_op") == "UPDATE"), names("update_preimage", "update_postimage"))
+            .when(there & (F.col("_op") == "DELETE"), names("delete"))
+            .when(there, names("keep"))
+            .when(F.col("_op") == "INSERT", names("insert"))
+            .otherwise(F.array().cast("array<string>"))
+        )
+        images = both.withColumn("_kind", F.explode(kinds))
+        fresh = F.col("_kind").isin("insert", "update_postimage")
+        images = images.select(*[F.when(fresh, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in self.columns], "_kind")
+        after = images.where(F.col("_kind").isin("keep", "insert", "update_postimage")).select(*self.columns)
+        changes = images.where("_kind <> 'keep'").select(*self.columns, F.col("_kind").alias("_change_type"), F.lit(len(self.snapshots)).cast("long").alias("_commit_version"))
+        return self._commit(after, [changes], "MERGE")
 
     def history(self) -> DataFrame:
-        """version, operation, row_count and change_count of each commit."""
-        parts = []
-        for v, (rows, operation) in enumerate(zip(self.snapshots, self.operations)):
-            feed = self.changes(v, v).agg(F.count(F.lit(1)).alias("change_count"))
-            parts.append(rows.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(feed).select(F.lit(v).cast("long").alias("version"), F.lit(operation).alias("operation"), "row_count", "change_count"))  # one row each
-        return reduce(DataFrame.unionByName, parts)
+        """version, operation, row_count and change_count of each commit: the base is counted once, the rest
+        are running sums of the change rows."""
+        spark, (n, grown) = self.snapshots[0].sparkSession, (F.count(F.lit(1)), F.col("_change_type"))
+        feed = self.changes(1, self.version).groupBy(F.col("_commit_version").alias("version")).agg(n.alias("change_count"), (F.count_if(grown == "insert") - F.count_if(grown == "delete")).alias("more"))
+        commits = spark.createDataFrame(list(enumerate(self.operations)), "version long, operation string")
+        upto = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, 0)  # a row a commit
+        filled = commits.join(feed, "version", "left").crossJoin(self.snapshots[0].agg(n.alias("base")))  # one row
+        return filled.select("version", "operation", (F.col("base") + F.sum(F.coalesce("more", F.lit(0))).over(upto)).alias("row_count"), F.coalesce("change_count", F.lit(0)).alias("change_count"))
 
     def save(self, path: str) -> None:
         """Write base and feed; a path that has a table already is refused."""
