@@ -178,7 +178,7 @@ def test_fast_tokens_equal_the_whole_tokenizer():
     signs = [" ", " ", "\n", "\t", "a", "B", "é", "1", ".", ",", "'", "s", "\xa0", "\x1c", " ", "日", "<|endoftext|>", "\x85", "*"]
     texts = ["", " ", "a  b", "a\n b", "a \nb", "don't  it's", "a.\nB, c\n\nd", "\n x"] + ["".join(draw.choice(signs, draw.integers(0, 16))) for _ in range(3000)]
     for text in texts:
-        assert np.frombuffer(tokens.text(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(tokens.text(text), tokens.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_token_files_hold_every_document(spark, tmp_path):
@@ -186,7 +186,7 @@ def test_token_files_hold_every_document(spark, tmp_path):
     rows = [(5, "b b"), (3, None), (3, ""), (3, "x"), (-2, long), (None, "last"), (None, "last"), (8, "퟿ é"), (5, "b b"), (4, "!!!")] + [(100 + i, f"text {i}") for i in range(40)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("part", F.lit("p")).withColumn("a.b", F.lit(1)).repartition(4)
     path = str(tmp_path / "tokens")
-    got = token_files.store_tokens(frame, queries.byte_tokenizer(), path=path, file_ids=200).orderBy("start").collect()
+    got = token_files.store_tokens(frame, queries.byte_tokenizer(), path=path, file_bytes=900).orderBy("start").collect()
     plain = Tokenizer.from_file(queries.byte_tokenizer())
     made = {}
     for d, t in rows:

@@ -1,7 +1,7 @@
 """Token ids in binary files: patched frame-of-reference blocks.
 
-Documents are tokenized, range-sorted by id and written by Spark's own committer, a file a range, on
-any file system that Spark reaches. A file is a run of records, each of whole documents and of about
+Documents are range-sorted by id, tokenized where they arrive and written by Spark's own committer, a
+file a range, on any file system that Spark reaches. So texts move once and ids never. A file is a run of records, each of whole documents and of about
 ``RECORD_IDS`` ids. A record's ids, in blocks of 128, are stored less the block's smallest id in as
 many bits as hold all but the largest tenth; of ids that don't fit, the low bits stay in the block
 and place and high bits go to an exception list. An index gives each block's base, width, first word
@@ -10,13 +10,14 @@ takes the files alone.
 
 A record is, in order, little-endian: ``HEADER``; for each block base (u4), width (u1); for each
 block and one more, first word (u4) and first exception (u4); words (u8); exceptions' places (u1) and
-high bits (u4); for each document its id (i8), whether the id is null (u1), and number of ids (i8).
+high bits (u2 or u4, by ``high``); for each document its id (i8), whether the id is null (u1), and number of ids (i8).
 Records end with a line feed, as Spark's writer of text files puts one behind each row.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from truemark.llm.common import shared_dir, worker_cache, written
 from truemark.llm.packing import _byte_letters as byte_letters
 
-BLOCK, RECORD_IDS, FILE_IDS = 128, 1 << 20, 1 << 22
-HEADER = np.dtype([("magic", "S4"), ("part", "<i4"), ("first", "<i8"), ("ids", "<i8"), ("documents", "<i8"), ("blocks", "<u4"), ("words", "<u4"), ("exceptions", "<u4")])
+BLOCK, RECORD_IDS, FILE_BYTES = 128, 1 << 20, 12 << 20
+HEADER = np.dtype([("magic", "S4"), ("part", "<i4"), ("first", "<i8"), ("ids", "<i8"), ("documents", "<i8"), ("blocks", "<u4"), ("words", "<u4"), ("exceptions", "<u4"), ("high", "u1")])
 _MAGIC = b"PFOR"
 
 # ------------------------------------------------------------------------------- blocks
@@ -84,7 +85,7 @@ def encode_blocks(ids: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, ...]
             own = np.flatnonzero(widths == width)
             low = values[own] & np.uint64((1 << int(width)) - 1)
             words[word_starts[own][:, None] + np.arange(2 * int(width))] = _pack(low.reshape(-1, 64), int(width)).reshape(len(own), -1)
-    return bases.astype("<u4"), widths, word_starts.astype("<u4"), exception_starts.astype("<u4"), words, places.astype(np.uint8), high[where, places].astype("<u4")
+    return bases.astype("<u4"), widths, word_starts.astype("<u4"), exception_starts.astype("<u4"), words, places.astype(np.uint8), high[where, places].astype("<u4" if high.max(initial=0) >> np.uint64(16) else "<u2")
 
 
 def decode_blocks(bases: np.ndarray, widths: np.ndarray, word_starts: np.ndarray, exception_starts: np.ndarray, words: np.ndarray, places: np.ndarray, high: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -108,8 +109,8 @@ def decode_blocks(bases: np.ndarray, widths: np.ndarray, word_starts: np.ndarray
 def encode_record(part: int, first: int, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One record; ``first`` is the number of ids before it in its file."""
     made = encode_blocks(ids)
-    bases, _, _, _, words, places, _ = made
-    head = np.array([(_MAGIC, part, first, len(ids), len(doc_ids), len(bases), len(words), len(places))], HEADER)
+    bases, _, _, _, words, places, high = made
+    head = np.array([(_MAGIC, part, first, len(ids), len(doc_ids), len(bases), len(words), len(places), high.itemsize)], HEADER)
     names, nulls = np.array([0 if d is None else d for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8)
     return b"".join(a.tobytes() for a in (head, *made, names, nulls, np.asarray(lengths, "<i8")))
 
@@ -129,7 +130,7 @@ class Record:
             self.end += found.nbytes
             return found
 
-        self.blocks = (take("<u4", blocks), take("u1", blocks), take("<u4", blocks + 1), take("<u4", blocks + 1), take("<u8", int(head["words"])), take("u1", int(head["exceptions"])), take("<u4", int(head["exceptions"])))
+        self.blocks = (take("<u4", blocks), take("u1", blocks), take("<u4", blocks + 1), take("<u4", blocks + 1), take("<u8", int(head["words"])), take("u1", int(head["exceptions"])), take(f"<u{head['high']}", int(head["exceptions"])))
         documents = int(head["documents"])
         self.doc_ids, self.null, self.lengths = take("<i8", documents), take("u1", documents), take("<i8", documents)
 
@@ -153,48 +154,67 @@ def records(raw: bytes) -> Iterator[Record]:
 
 # ------------------------------------------------------------------------------- tokens
 
-_CACHED = 600_000
+_CACHED = 800_000
 #: A space before a sign that is no white space begins a pre-token whatever stands before it.
 _CUT = re.compile(r" (?=\S)")
-#: A space and letters, and signs behind them, are pre-tokens of their own.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#()/+=@-]*)")
+#: Letters are a pre-token, with a space before them if there is one, and signs behind them another.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*&%$#()/+=@-]*)")
+
+
+class _Joined(Exception):
+    """A text has white space behind a space, where it must not be cut."""
 
 
 class ByteTokens(dict):
-    """Token ids (little-endian unsigned 32-bit bytes) of chunks of text.
+    """Token ids of texts, as little-endian unsigned bytes of the numpy ``kind``.
 
     The vocabulary's pre-tokens never run over a space that stands before a sign, so a text's ids
     are those of its chunks from one such space to the next, in order; chunks come again and again.
-    A single line feed between signs is a pre-token of its own, so such a chunk is that of its lines.
-    Letters and plain signs go to the merge model itself, all else through the whole tokenizer.
+    Keys are chunks without the space before them; ``bare`` holds pieces that have none. A single
+    line feed between signs is a pre-token of its own, so such a chunk is that of its lines. Letters
+    and plain signs go to the merge model itself, all else through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = 0):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
         self.model = self.tokenizer.model
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+        self.packed = {n: struct.Struct(f"<{n}{'H' if self.kind == '<u2' else 'I'}").pack for n in range(1, 9)}
+        self.bare: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        pack = self.packed.get(len(ids))
+        return pack(*ids) if pack else np.asarray(ids, self.kind).tobytes()
+
+    def _merged(self, pretoken: str) -> bytes:
+        mapped = pretoken.replace(" ", self.letters[32]) if pretoken.isascii() else "".join([self.letters[b] for b in pretoken.encode()])
+        return self._bytes([t.id for t in self.model.tokenize(mapped)])
 
     def _encoded(self, piece: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def _run(self, piece: str) -> bytes:
-        found = self.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """A piece that no space stands before."""
+        found = self.bare.get(piece)
         if found is None:
-            mapped = "".join([self.letters[b] for b in piece.encode()])
-            found = np.asarray([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self) < _CACHED:
-                self[piece] = found
+            plain = _PLAIN.fullmatch(piece)
+            found = (self._merged(plain[1]) + (self._piece(plain[2]) if plain[2] else b"")) if plain else self._encoded(piece)
+            if len(self.bare) < _CACHED and len(piece) < 64:
+                self.bare[piece] = found
         return found
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace():
+            raise _Joined
         if plain := _PLAIN.fullmatch(chunk):
-            return self._run(plain[1]) + self._run(plain[2]) if plain[2] else self._run(chunk)
-        lines = chunk.split("\n")
-        if len(lines) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in [lines[0].removeprefix(" "), *lines[1:]]):
-            return self._run("\n").join([self[x] for x in lines])
-        found = self._encoded(chunk)
+            found = self[plain[1]] + self._piece(plain[2]) if plain[2] else self._merged(" " + chunk)
+        elif len(lines := chunk.split("\n")) > 1 and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return self._piece("\n").join([self[lines[0]], *map(self._piece, lines[1:])])
+        else:
+            found = self._encoded(" " + chunk)
         if len(self) < _CACHED and len(chunk) < 64:
             self[chunk] = found
         return found
@@ -202,62 +222,51 @@ class ByteTokens(dict):
     def text(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *more = _CUT.split(text)
-        return self[first] + b"".join([self[" " + c] for c in more])
-
+        first, *more = text.split(" ")
+        try:
+            return (self._piece(first) if first else b"") + b"".join(map(self.__getitem__, more)) if first or more[0] else self._cut(text)
+        except _Joined:
+            return self._cut(text)
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (the text's and ``end_id``, as unsigned little-endian bytes, two an id if the
-    vocabulary allows it, else four) and n_ids of each row."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = worker_cache(("byte tokens", tokenizer), lambda: ByteTokens(tokenizer))
-        kind = "<u2" if max(tokens.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
-        end, width = np.asarray([end_id], kind).tobytes(), int(kind[-1])
-        for batch in batches:
-            start, held, size = 0, [], 0
-            for i, text in enumerate(batch.column(1)):
-                held.append(np.frombuffer(tokens.text(text.as_py() or ""), "<u4").astype(kind).tobytes() + end)
-                size += len(held[-1])
-                if size > 1 << 24 or i + 1 == batch.num_rows:  # rows of very long texts leave at once
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.array(held, pa.binary()), pa.array([len(x) // width for x in held], pa.int64())], names=["doc_id", "ids", "n_ids"])
-                    start, held, size = i + 1, [], 0
-
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(encode, "doc_id long, ids binary, n_ids long")
+    def _cut(self, text: str) -> bytes:
+        first, *more = _CUT.split(text)
+        return (self._piece(first) if first else b"") + b"".join(map(self.__getitem__, more))
 
 
 # ------------------------------------------------------------------------------- files
 
 
-def write_files(tokens: DataFrame, path: str, file_ids: int = FILE_IDS) -> None:
-    """Write ``tokens`` (doc_id, ids, n_ids; read more than once) under ``path``, ascending by id, nulls last.
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+    """Write ``docs`` under ``path``, ascending by id, nulls last; each document ends with ``end_id``.
 
-    Rows of one id stand by the hash of their ids. The ranges are cut over (id, hash, row), so rows
-    of one id, however many, are spread over files. A file holds about ``file_ids`` ids.
+    Rows of one id stand by a hash of their text. Ranges are cut over (id, hash, row), so rows of
+    one id, however many, are spread over files. A file holds about ``file_bytes`` of text.
     """
-    total = tokens.agg(F.sum("n_ids")).first()[0] or 0
-    row = tokens.withColumn("h", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    total = source.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    row = source.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("row")]
-    ranged = row.repartitionByRange(max(1, -(-total // file_ids)), *order).sortWithinPartitions(*order)
+    ranged = row.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = worker_cache(("byte tokens", tokenizer, end_id), lambda: ByteTokens(tokenizer, end_id))
+        end = np.asarray([end_id], tokens.kind).tobytes()
         names: list[int | None] = []
         held: list[np.ndarray] = []
         part, first, size = 0, 0, 0
-        made = lambda raw: pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["record"])
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([encode_record(part, first, names, [len(x) for x in held], np.concatenate(held))], pa.binary())], names=["record"])
         for batch in batches:
-            for doc, raw, n, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 names.append(doc)
-                held.append(np.frombuffer(raw.as_py(), f"<u{len(raw.as_buffer()) // n}"))
-                size, part = size + n, own
+                held.append(np.frombuffer(tokens.text(text.as_py() or "") + end, tokens.kind))
+                size, part = size + len(held[-1]), own
                 if size >= RECORD_IDS:
-                    yield made(encode_record(part, first, names, [len(x) for x in held], np.concatenate(held)))
+                    yield made()
                     names, held, first, size = [], [], first + size, 0
         if held:
-            yield made(encode_record(part, first, names, [len(x) for x in held], np.concatenate(held)))
+            yield made()
 
-    packed = ranged.select("doc_id", "ids", "n_ids", F.spark_partition_id().alias("part")).mapInArrow(pack, "record binary")
+    packed = ranged.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(pack, "record binary")
     packed.select(F.col("record").cast("string").alias("value")).write.text(path)
 
 
@@ -307,16 +316,16 @@ def document_index(found: DataFrame) -> DataFrame:
     return found.join(base, F.col("part") == F.col("_part")).select("doc_id", (F.col("base") + F.col("first")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
-def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def store_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs`` as token files under ``path`` (by default in the shared folder) and return what
     the files hold: doc_id, start, n_tokens and ids_crc32 of each document.
 
     A null or empty text has the end id alone. Ids are whole numbers; null ids stand last; rows that
-    repeat an id are documents of their own, by the hash of their ids. A document is never cut, so
+    repeat an id are documents of their own, by a hash of their text. A document is never cut, so
     a very long text makes a record as long. Other columns are ignored, whatever their names; an
     empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_files(written(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens"), path, file_ids)
+    write_files(docs, path, tokenizer, end_id, id_col, text_col, file_bytes)
     return document_index(read_files(spark, path))
