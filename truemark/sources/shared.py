@@ -55,16 +55,23 @@ def found(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Like ``written``, with the rows in buckets of ``column``: joins on it read them without a shuffle.
+def bucketed_at(df: DataFrame, name: str, *columns: str, sort: tuple[str, ...] = (), buckets: int = 0) -> tuple[DataFrame, str]:
+    """``df`` written in buckets of ``columns``, each sorted by ``sort``, and its folder. Joins by these
+    columns read the frame without a shuffle.
 
     Spark writes buckets only through its catalogue; the entry goes as soon as the frame knows the
     buckets, and the files, which are outside the warehouse, stay.
     """
     spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
+    path = f"{shared_dir(spark)}/{unique}"
+    writer = df.write.format("parquet").bucketBy(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), *columns)
+    (writer.sortBy(*sort) if sort else writer).option("path", path).saveAsTable(unique)
     found = spark.table(unique)
     found.schema  # noqa: B018  resolves the frame
     spark.sql(f"DROP TABLE {unique}")
-    return found
+    return found, path
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``written``, with the rows in buckets of ``column``: joins on it read them without a shuffle."""
+    return bucketed_at(df, name, column)[0]
