@@ -8,9 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truemark.sources.shared import bucketed, shared_dir, written
+from truemark.sources.shared import bucketed, bucketed_at, shared_dir, written
 
-__all__ = ["SPACE", "WORD", "bucketed", "columns", "fresh", "id_bucket", "room_for", "shared_dir", "spread", "table", "worker_cache", "written"]
+__all__ = ["SPACE", "WORD", "bucketed", "bucketed_at", "columns", "fresh", "id_bucket", "room_for", "shared_dir", "spread", "table", "worker_cache", "written"]
 
 #: ASCII white space, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"

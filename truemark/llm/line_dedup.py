@@ -1,17 +1,18 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table of (h1, h2, docs, first): the 128-bit hash of a line's key, the number of
-documents that hold it and the first of their ids (as text), dealt and sorted by hash. Runs live in levels. When a level holds
-``fanout`` runs they are merged into one run of the next level, so a key is rewritten once a
-level and a lookup reads few runs. A batch of documents merges with the runs by hash: an anti-join
-leaves out the keys that the runs already condemn, and what is left is added as the batch's own run.
+A run is a table of (h1, h2, docs, first): the 128-bit hash of a line's key, the number of documents
+that hold it and the first of their ids (as text), in as many buckets by hash as every other run, each
+sorted by hash. Runs live in levels. When a level holds ``fanout`` runs they are merged into one run
+of the next level, so a key is rewritten once a level and a lookup reads few runs. A batch is dealt
+out and sorted like a run and then merged with one run after the other, bucket by bucket, without
+moving the runs: keys that the runs together already condemn are left out, and the rest is added as
+the batch's own run.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from truemark.llm.common import columns, fresh, room_for, shared_dir, written
+from truemark.llm.common import bucketed_at, columns, fresh, room_for, written
 
 _HASHES = "h1 long, h2 long"
 _RUN = f"{_HASHES}, docs long, first string"
@@ -64,40 +65,55 @@ class LineRuns:
     """Levelled runs under one folder that all executors share."""
 
     spark: SparkSession
-    path: str
     fanout: int = 4
-    levels: dict[int, list[str]] = field(default_factory=dict)
-    made: int = 0
-
-    def _name(self, level: int) -> str:
-        self.made += 1
-        return f"{self.path}/level-{level}/run-{self.made:06d}"
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        frames = [self.spark.read.schema(_RUN).parquet(p) for p in paths]
-        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], _RUN)
-
-    def add(self, counts: DataFrame) -> None:
-        """Add one batch's (h1, h2, docs) as a run of level 0 and compact full levels."""
-        name = self._name(0)
-        counts.sortWithinPartitions("h1", "h2").write.parquet(name)
-        self.levels.setdefault(0, []).append(name)
-        self._compact()
-
-    def _compact(self) -> None:
+    levels: dict[int, list[tuple[DataFrame, str]]] = field(default_factory=dict)
+    buckets: int = 0
+
+    def __post_init__(self) -> None:
+        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _sorted(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """``rows``, which lie by hash in as many partitions as there are buckets, as a run and its folder."""
+        return bucketed_at(rows, "line_run", "h1", "h2", sort=("h1", "h2"), buckets=self.buckets)
+
+    def _over(self, runs: list[tuple[DataFrame, str]]) -> DataFrame:
+        """(h1, h2, docs, first) over ``runs``. They are read as plain files: a union of bucketed frames
+        counts as bucketed, but its buckets don't come together."""
+        if not runs:
+            return self.spark.createDataFrame([], _RUN)
+        plain = reduce(DataFrame.unionByName, (self.spark.read.schema(_RUN).parquet(path) for _, path in runs))
+        return plain if len(runs) == 1 else plain.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(*_summed())
+
+    def dealt(self, counts: DataFrame) -> tuple[DataFrame, str]:
+        """A batch's (h1, h2, docs, first), dealt out and sorted as runs are."""
+        return self._sorted(counts.repartition(self.buckets, "h1", "h2"))
+
+    def add(self, run: tuple[DataFrame, str]) -> None:
+        """Add what ``dealt`` or ``without`` gave as a run of level 0 and compact full levels."""
+        self.levels.setdefault(0, []).append(run)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            name, full = self._name(level + 1), self.levels.pop(level)
-            merged = self._read(full).groupBy("h1", "h2").agg(*_summed())
-            merged.sortWithinPartitions("h1", "h2").write.parquet(name)
-            self.levels.setdefault(level + 1, []).append(name)
+            self.levels.setdefault(level + 1, []).append(self._sorted(self._over(self.levels.pop(level))))
             level += 1
 
+    def runs(self) -> list[tuple[DataFrame, str]]:
+        return [run for level in sorted(self.levels) for run in self.levels[level]]
+
     def totals(self) -> DataFrame:
-        """(h1, h2, docs) over all runs."""
-        runs = [p for level in sorted(self.levels) for p in self.levels[level]]
-        found = self._read(runs)
-        return found if len(runs) <= 1 else found.groupBy("h1", "h2").agg(*_summed())
+        """(h1, h2, docs, first) over all runs."""
+        return self._over(self.runs())
+
+    def without(self, run: tuple[DataFrame, str], min_docs: int) -> tuple[DataFrame, str]:
+        """``run`` less the keys that ``min_docs`` documents of the runs hold, as a run. Sorted buckets merge
+        with sorted buckets, run after run; nothing is dealt out."""
+        if not self.levels:
+            return run
+        left, held = run[0], F.lit(0).cast("long")
+        for i, (other, _) in enumerate(self.runs()):
+            own = other.select(F.col("h1").alias(f"a{i}"), F.col("h2").alias(f"b{i}"), F.col("docs").alias(f"n{i}"))
+            left = left.join(own.hint("merge"), (F.col("h1") == F.col(f"a{i}")) & (F.col("h2") == F.col(f"b{i}")), "left")
+            held = held + F.coalesce(f"n{i}", F.lit(0))
+        return self._sorted(left.where(held < min_docs).select("h1", "h2", "docs", "first"))
 
 
 def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,8 +123,7 @@ def _thin(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def ingest_counts(runs: LineRuns, counts: DataFrame, min_docs: int) -> None:
     """One batch's (h1, h2, docs, first): those that ``min_docs`` documents of earlier batches hold
     already are known to go and need no more counting; the others are added as a run."""
-    known = runs.totals().where(F.col("docs") >= min_docs).select("h1", "h2")
-    runs.add(counts.join(known, ["h1", "h2"], "left_anti"))
+    runs.add(runs.without(runs.dealt(counts), min_docs))
 
 
 def count_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_chars: int = 1, min_docs: int = 10, batches: int = 4, fanout: int = 3) -> LineRuns:
@@ -117,8 +132,7 @@ def count_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     The documents are dealt to ``batches`` by a hash of their ids. All batches' keys are counted in
     one job; then batch after batch meets the runs, as new documents would.
     """
-    spark = docs.sparkSession
-    runs = LineRuns(spark, f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}", fanout)
+    runs = LineRuns(docs.sparkSession, fanout)
     tagged = _thin(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("_id", F.length("_body")), F.lit(batches)).cast("int"))
     keys = document_keys(tagged, "_body", min_chars, "batch", "_id")
     counts = written(keys.groupBy("batch", "h1", "h2").agg(*_counted("_id")), "line-counts", "batch")
@@ -132,17 +146,19 @@ def strip_lines(docs: DataFrame, dropped: DataFrame, text_col: str = "text", id_
 
     The merge join runs on hashes: each document's keys meet ``dropped`` (distinct h1, h2, first),
     and only the matches go back to the document, as a list no longer than its own lines. With
-    ``keep_first`` the document with a key's first id keeps its lines. Rows of one id and text are
-    alike; rows of one id and different texts share their matches, which other texts don't hold.
+    ``keep_first`` the document with a key's first id keeps its lines. A list belongs to an id and a
+    text, so that rows without an id, or with a repeated one, have lists of their own, and only rows
+    alike in both share one.
     """
     docs = room_for(docs, ["n_lines", "n_dropped"], text_col, id_col)
-    keys = document_keys(_thin(docs, id_col, text_col), "_body", min_chars, "_id")
+    digest = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
+    keys = document_keys(_thin(docs, id_col, text_col).withColumn("_text_hash", digest(F.col("_body"))), "_body", min_chars, "_id", "_text_hash")
     hits = keys.alias("k").join(dropped.select("h1", "h2", "first").alias("d"), (F.col("k.h1") == F.col("d.h1")) & (F.col("k.h2") == F.col("d.h2")))
     if keep_first:
         hits = hits.where(~F.col("_id").cast("string").eqNullSafe(F.col("first")))
-    hit_id, found = fresh(docs, "_hit_id"), fresh(docs, "_hits")
-    lists = hits.select("_id", "k.h1", "k.h2").groupBy(F.col("_id").alias(hit_id)).agg(F.collect_set(F.struct("h1", "h2")).alias(found))
-    joined = docs.join(lists.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(hit_id)), "left")
+    hit_id, hit_text, found = fresh(docs, "_hit_id"), fresh(docs, "_hit_text"), fresh(docs, "_hits")
+    lists = hits.select("_id", "_text_hash", "k.h1", "k.h2").groupBy(F.col("_id").alias(hit_id), F.col("_text_hash").alias(hit_text)).agg(F.collect_set(F.struct("h1", "h2")).alias(found))
+    joined = docs.join(lists.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(hit_id)) & (digest(docs[text_col]) == F.col(hit_text)), "left")
     source = joined.select(*columns(docs), found)
     names, at, n = docs.columns, docs.columns.index(text_col), len(docs.columns)
 
@@ -186,5 +202,5 @@ def ingest(runs: LineRuns, batch: DataFrame, text_col: str = "text", id_col: str
     The result is written before the runs change, so that it doesn't depend on later batches.
     """
     left = written(strip_lines(batch, runs.totals(), text_col, id_col, min_chars), "ingested")
-    runs.add(document_keys(_thin(batch, id_col, text_col), "_body", min_chars, "_id").groupBy("h1", "h2").agg(*_counted("_id")))
+    runs.add(runs.dealt(document_keys(_thin(batch, id_col, text_col), "_body", min_chars, "_id").groupBy("h1", "h2").agg(*_counted("_id"))))
     return left
