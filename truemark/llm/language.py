@@ -31,27 +31,29 @@ def letters_only(text: str) -> str:
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
-def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, bytes_per_document: int = 400, dictionary_bytes: int = 60_000) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, letters_per_document: int = 150) -> dict[str, bytes]:
     """Raw dictionary content per language from a bounded sample.
 
-    ``docs_per_language`` bounds the sample: rows are kept by a hash of their text at a rate that
-    gives about twice that many, and the smallest hashes are used. From each a slice of
-    ``bytes_per_document`` bytes is cut at a place that its hash names.
+    ``docs_per_language`` bounds the sample: distinct texts are kept by a hash at a rate that gives
+    about twice that many, and the smallest hashes are used; a text counts once however often it
+    is repeated. From each a slice of ``letters_per_document`` code points is cut at a place that
+    its hash names, and every slice enters its dictionary whole.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30)).alias("h")).where("t is not null and l is not null and length(t) > 0")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
     if not sizes:
         return {}
     keep = F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("l") == lang) & (F.col("h") < int(min(1.0, 2.0 * docs_per_language / n) * (1 << 30))))
+        keep = keep | ((F.col("l") == lang) & (F.col("h") < int(min(1.0, 2.0 * docs_per_language / max(1, n)) * (1 << 30))))
     # a slice long enough to cut from, not the whole text, goes to the driver
-    start = F.col("h") % F.greatest(F.lit(1), F.length("t") - bytes_per_document)
-    sample = rows.where(keep).select("l", "h", F.expr("t").substr((start + 1).cast("int"), F.lit(bytes_per_document)).alias("s"))
+    start = F.col("h") % F.greatest(F.lit(1), F.length("t") - letters_per_document)
+    sample = rows.where(keep).select("l", "h", F.expr("t").substr((start + 1).cast("int"), F.lit(letters_per_document)).alias("s"))
+    sample = sample.groupBy("l", "h").agg(F.min("s").alias("s"))  # a text, however many copies it has
     taken: dict[str, list[tuple[int, str]]] = {lang: [] for lang in sizes}
     for r in sample.collect():
         taken[r["l"]].append((r["h"], r["s"]))
-    return {lang: "".join(letters_only(s) for _, s in sorted(set(x))[:docs_per_language]).encode()[:dictionary_bytes] for lang, x in sorted(taken.items()) if x}
+    return {lang: "".join(letters_only(s) for _, s in sorted(x)[:docs_per_language]).encode() for lang, x in sorted(taken.items()) if x}
 
 
 def _compressors(dictionaries: dict[str, bytes], level: int) -> list[zstandard.ZstdCompressor]:
