@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,12 +109,13 @@ def part_counts(texts: list[str], toxic: list[int]) -> list[tuple[str, int, int]
     return [(p, y, n) for y in (0, 1) for p, n in seen[y].items()]
 
 
-def marked_parts(counts: list[tuple[str, int, int]], n_clean: int, n_toxic: int, least_docs: int = 3, odds: float = 8.0) -> set[str]:
+def is_marked(n_clean: int, n_toxic: int, least_docs: int = 3, odds: float = 8.0) -> Column:
     """Parts that are ``odds`` times as frequent in toxic texts as in clean ones, and in ``least_docs`` toxic ones.
 
-    ``counts``: (part, clean texts, toxic texts) that hold it.
+    Of rows part, clean and toxic: the texts of either class that hold it.
     """
-    return {p for p, c, t in counts if t >= least_docs and t / max(1, n_toxic) > odds * (c + 0.5) / max(1, n_clean) and len(p) > 3}
+    clean, toxic = F.col("clean"), F.col("toxic")
+    return (toxic >= least_docs) & (toxic / max(1, n_toxic) > odds * (clean + 0.5) / max(1, n_clean)) & (F.length("part") > 3)
 
 
 def windows(text: str, toxic: int, marked: set[str], per_toxic: int, per_clean: int) -> list[tuple[list[str], list[int]]]:
@@ -263,8 +264,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_toxic:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["part", "toxic", "n"])
 
     of = lambda q: F.sum(F.when(F.col("toxic") == q, F.col("n")).otherwise(0))
-    counts = sample.mapInArrow(count, "part string, toxic int, n long").groupBy("part").agg(of(0).alias("clean"), of(1).alias("toxic")).where("toxic > clean")
-    marked = marked_parts([tuple(r) for r in counts.collect()], taken.get(0, 0), taken.get(1, 0))  # a part of the sample's words
+    counts = sample.mapInArrow(count, "part string, toxic int, n long").groupBy("part").agg(of(0).alias("clean"), of(1).alias("toxic"))
+    marked = {r["part"] for r in counts.where(is_marked(taken.get(0, 0), taken.get(1, 0))).select("part").collect()}  # the few that mark toxic texts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
