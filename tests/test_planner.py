@@ -12,7 +12,7 @@ from truemark.operators import consolidate as con
 from truemark.operators import incremental as inc
 from truemark.operators import planner
 from truemark.operators import selection as sel
-from truemark.plans import catalogue
+from truemark.plans import catalogue, registered
 from truemark.sources import files
 from truemark.sources.shared import written
 from truemark.sources.stored import adaptive_write, by_folder, stored
@@ -159,7 +159,7 @@ def test_costs_are_medians_of_trials(spark):
 
 
 def test_ablation_takes_the_cheaper_path(spark, kept):
-    got = {r["version"]: r for r in catalogue.QUERIES["uniqueness_ablation"](spark, SF).collect()}
+    got = {r["version"]: r for r in registered.QUERIES["uniqueness_ablation"](spark, SF).collect()}
     assert all(r["agree"] for r in got.values()) and got[1]["bucket_share"] < got[4]["bucket_share"] <= 1
     for r in got.values():
         assert (r["path"] == "KEY_STATE") == (r["keys_read"] + r["changed_rows"] < r["rows"])
