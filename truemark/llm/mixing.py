@@ -29,10 +29,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _hash(doc_id: Column, text: Column) -> Column:
-    """60 bits of md5 of the id and the text, so that rows without an id are spread too: the same order in any engine."""
+def _hash(doc_id: Column, text: Column, half: int = 0) -> Column:
+    """60 bits (the first, or the next ones) of md5 of the id and the text, so that rows without an id are
+    spread too: the same order in any engine."""
     both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
-    return F.conv(F.substring(F.md5(both), 1, _HASH_BITS // 4), 16, 10).cast("long")
+    digits = _HASH_BITS // 4
+    return F.conv(F.substring(F.md5(both), 1 + half * digits, digits), 16, 10).cast("long")
 
 
 def cycle_schedules(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tilt: float = 0.5) -> DataFrame:
@@ -92,13 +94,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     Null texts have size 0 and are never taken; a null source is a source of its own; repeated
     rows are documents of their own; ids may be null. Columns of ``docs`` that have a name of the
     added ones, or one that begins with ``_mix``, are replaced. An empty table gives an empty result.
-    Documents of one hash stand by id and text, so only rows alike in both are interchangeable, and
-    reruns agree however the rows come in.
+    Documents stand by a hash of id and text, 120 bits of it, so only rows alike in both are
+    interchangeable, and reruns agree however the rows come in.
     """
     own = [c for c in docs.columns if c.lower().startswith("_mix")]
     docs = room_for(docs, ["size", "source_size", "target", "taken", "positions", *own], id_col, text_col, source_col)
     buckets = max(1, math.isqrt(docs.count()))
-    sized = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_mix_hash", _hash(F.col(id_col), F.col(text_col))).withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**_HASH_BITS) * buckets).cast("int"))
+    sized = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_mix_hash", _hash(F.col(id_col), F.col(text_col))).withColumn("_mix_next", _hash(F.col(id_col), F.col(text_col), 1)).withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**_HASH_BITS) * buckets).cast("int"))
     sums = written(sized.groupBy(F.col(source_col).alias("source"), F.col("_mix_bucket").alias("bucket")).agg(F.sum("size").alias("bucket_size")), "source-buckets")
     sources = fill_targets(cycle_schedules(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights), budget, max_repeat)
     sources = sources.select(F.col("source").alias("_mix_name"), "source_size", "target", F.col("knots").alias("_mix_knots"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     places = places.select(F.col("source").alias("_mix_source"), F.col("bucket").alias("_mix_place"), "_mix_before", "source_size", "target", "_mix_knots")
 
     placed = sized.join(places, (F.col("_mix_bucket") == F.col("_mix_place")) & F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    within = Window.partitionBy("_mix_bucket", source_col).orderBy("_mix_hash", id_col, text_col).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_mix_bucket", source_col).orderBy("_mix_hash", "_mix_next").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_mix_before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     stop = F.floor("target").cast("long")
     copies = F.transform(F.sequence(F.lit(0), F.lit(math.ceil(max_repeat) - 1)), lambda k: F.struct(k.alias("copy"), (F.col("_mix_start") + k * F.col("source_size")).alias("at")))

@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op1_mix_sources"] = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h, text FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 16, 15))::BIGINT AS h2 FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
 k AS (SELECT *, weight * (CASE WHEN row_number() OVER (ORDER BY source NULLS LAST) % 2 = 1 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END) AS k0 FROM s),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM k),
@@ -17,7 +17,7 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUND
 f AS (SELECT (SELECT level FROM l WHERE level * weight <= cap ORDER BY k LIMIT 1) AS level),
 t AS (SELECT source, source_size, weight, k0, least(cap, coalesce(f.level * weight, cap))::DOUBLE AS target FROM l, f),
 p AS (SELECT doc_id, size, source_size, target, weight, k0, 2 * weight - k0 AS k2,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, h2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (SELECT *, (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
              start / target * 2 * weight AS wanted, (k0 + weight) / 2 AS half FROM p),
