@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,7 +146,7 @@ def test_measured_sizes_are_the_file_systems(kept):
     tables = con.store_states(kept.state) | {"S12": kept.keys}
     for r in con.measured(tables).collect():
         paths = [f.removeprefix("file://") for f in tables[r["state_id"]].inputFiles()]
-        held = [p for p in paths if tables[r["state_id"]].sparkSession.read.parquet(p).count()]
+        held = [p for p in paths if pq.read_metadata(p).num_rows]
         assert (r["files"], r["size_bytes"], r["row_count"]) == (len(held), sum(map(os.path.getsize, held)), tables[r["state_id"]].count())
         assert r["state_id"] != "S12" or r["files"] > 200
 
@@ -165,6 +166,17 @@ def test_ablation_takes_the_cheaper_path(spark, kept):
         assert (r["path"] == "KEY_STATE") == (r["keys_read"] + r["changed_rows"] < r["rows"])
 
 
+def test_key_paths_open_these_bytes(spark, kept):
+    delta = inc.key_delta(inc.net_images(kept.feed.where("_commit_version = 1"), "event_id"), EVENTS)
+    overlay = written(inc.key_overlay(kept.keys, delta, EVENTS), "overlay")
+    got = con.key_path_bytes(kept.keys, overlay, kept.end).first()
+    sizes = {p: os.path.getsize(p) for p in (f.removeprefix("file://") for f in kept.keys.inputFiles())}
+    touched = {r["b"] for r in overlay.select("b").distinct().collect()}
+    assert got["all_state_bytes"] == sum(sizes.values())
+    assert got["state_bytes"] == sum(n for p, n in sizes.items() if int(p.split("/b=")[1].split("/")[0]) in touched) < got["all_state_bytes"]
+    assert got["scan_bytes"] == sum(os.path.getsize(f.removeprefix("file://")) for f in kept.end.inputFiles())
+
+
 # ------------------------------------------------------------------------------- reports and contracts
 
 

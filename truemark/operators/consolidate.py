@@ -73,3 +73,14 @@ def ablation(kept_keys: DataFrame, histogram: DataFrame, images: DataFrame, snap
     one = reads.crossJoin(changed).crossJoin(scanned).crossJoin(by_state.select(F.col("R12").alias("R12_state")))  # one row each
     cheaper = F.when(F.col("keys_read") + F.col("changed_rows") < F.col("rows"), "KEY_STATE").otherwise("FULL_SCAN")
     return one.select("*", (F.col("R12_state") == F.col("R12_scan")).alias("agree"), (F.col("R12_state") == 0).alias("R13"), F.round(F.col("buckets_touched") / F.col("buckets"), 6).alias("bucket_share"), F.round(F.col("keys_read") / F.col("keys"), 6).alias("key_share"), cheaper.alias("path"))
+
+
+def key_path_bytes(keys: DataFrame, overlay: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """One row: state_bytes (files of the touched buckets), all_state_bytes and scan_bytes (files of the
+    snapshot): what each way to uniqueness opens. ``keys`` and ``snapshot`` are fresh reads of folders."""
+    touched = overlay.select(F.col("b").alias("_b")).where("_b >= 0").distinct()
+    held = keys.select("b", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    near = held.join(F.broadcast(touched), F.col("b") == F.col("_b"), "left")  # at most one row a bucket
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    state = near.agg(total(F.when(F.col("_b").isNotNull(), F.col("size"))).alias("state_bytes"), total("size").alias("all_state_bytes"))
+    return state.crossJoin(file_sizes(snapshot).agg(total("size_bytes").alias("scan_bytes")))  # one row each

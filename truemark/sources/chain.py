@@ -60,12 +60,12 @@ class Chain:
         behind them, of which partitions that lost an extremum are read. False if it was done before."""
         if found(self.spark, self._at("state", step)) is not None:
             return False
-        images = written(inc.net_images(feed, self.row_key), "net-images")
+        images, keys = written(inc.net_images(feed, self.row_key), "net-images"), self.keys()
         if found(self.spark, self._at("overlay", step)) is None:
-            overlay = inc.key_overlay(self.keys(), inc.key_delta(images, self.rules), self.rules)
+            overlay = inc.key_overlay(keys, inc.key_delta(images, self.rules), self.rules)
             overlay.hint("rebalance").write.mode("overwrite").parquet(self._at("overlay", step))
         overlay = self.overlay(step)
-        near = inc.in_buckets(self.keys(), overlay)
+        near = inc.in_buckets(keys, overlay)
         markers = overlay.select("b").distinct().select("b", *(F.lit(None).cast(overlay.schema[k].dataType).alias(k) for k in self.rules.key), F.lit(0).cast("long").alias("frequency"))
         overwrite_folders(written(inc.compacted(near, overlay, self.rules).unionByName(markers), "buckets"), self._at("keys"), "b")
         inc.moved_histogram(self.histogram(step - 1), overlay).coalesce(1).write.mode("overwrite").parquet(self._at("histogram", step))

@@ -14,8 +14,11 @@ it is written last.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from truemark.operators.incremental import net_images
 from truemark.sources.files import file_sizes
@@ -41,11 +44,16 @@ class FolderTable:
 
     def stored(self) -> DataFrame:
         """The table's rows as they lie, markers included, with p."""
-        return self.spark.read.parquet(f"{self.path}/rows")
+        reader = self.spark.read
+        return (reader.schema(self.schema) if "schema" in self.__dict__ else reader).parquet(f"{self.path}/rows")
+
+    @cached_property
+    def schema(self) -> T.StructType:
+        return self.stored().schema
 
     @property
     def columns(self) -> list[str]:
-        return [c for c in self.stored().columns if c not in ("p", "_live")]
+        return [c for c in self.schema.names if c not in ("p", "_live")]
 
     def rows(self) -> DataFrame:
         """The present rows with p; a filter on p reads its folders alone."""
@@ -101,7 +109,7 @@ class FolderTable:
         version, columns = self.version + 1, self.columns
         images = written(images.select(*columns, "p", "_kind"), "row-images")
         after = images.where(F.col("_kind").isin(_KEEP, "insert", "update_postimage")).select(*columns, F.lit(True).alias("_live"), "p")
-        schema = self.stored().schema
+        schema = self.schema
         markers = self.spark.createDataFrame([(p,) for p in touched], "p int").select(*(F.lit(None).cast(schema[c].dataType).alias(c) for c in columns), F.lit(False).alias("_live"), "p")
         changed = images.where(F.col("_kind") != _KEEP).select(*columns, F.col("_kind").alias("_change_type"), F.lit(version).alias("_commit_version"))
         changed.hint("rebalance").write.mode("append").partitionBy("_commit_version").parquet(f"{self.path}/changes")
