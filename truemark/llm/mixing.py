@@ -89,7 +89,8 @@ def training_time(knots: Column, share: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, max_repeat: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target, taken and positions, one per copy that the mix takes.
+    """``docs`` with size, source_size, target, taken, hash_place (0 to 1, the order of documents) and
+    positions, one per copy that the mix takes.
 
     Null texts have size 0 and are never taken; a null source is a source of its own; repeated
     rows are documents of their own; ids may be null. Columns of ``docs`` that have a name of the
@@ -98,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     interchangeable, and reruns agree however the rows come in.
     """
     own = [c for c in docs.columns if c.lower().startswith("_mix")]
-    docs = room_for(docs, ["size", "source_size", "target", "taken", "positions", *own], id_col, text_col, source_col)
+    docs = room_for(docs, ["size", "source_size", "target", "taken", "hash_place", "positions", *own], id_col, text_col, source_col)
     buckets = max(1, math.isqrt(docs.count()))
     sized = docs.withColumn("size", word_count(F.col(text_col))).withColumn("_mix_hash", _hash(F.col(id_col), F.col(text_col))).withColumn("_mix_next", _hash(F.col(id_col), F.col(text_col), 1)).withColumn("_mix_bucket", F.floor(F.col("_mix_hash") / F.lit(2.0**_HASH_BITS) * buckets).cast("int"))
     sums = written(sized.groupBy(F.col(source_col).alias("source"), F.col("_mix_bucket").alias("bucket")).agg(F.sum("size").alias("bucket_size")), "source-buckets")
@@ -116,13 +117,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     taken = F.transform(copies, lambda c: F.struct(c["copy"].alias("copy"), c["at"].alias("at"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mix_stop") - c["at"])).cast("long").alias("words")))
     found = placed.withColumn("_mix_start", start).withColumn("_mix_stop", stop).withColumn("_mix_copies", F.filter(taken, lambda c: c["words"] > 0))
     positions = F.transform("_mix_copies", lambda c: training_time(F.col("_mix_knots"), c["at"] / F.col("target")))
-    return found.withColumn("taken", F.aggregate("_mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("positions", positions).select(*columns(docs), "size", "source_size", "target", "taken", "positions")
+    return found.withColumn("taken", F.aggregate("_mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])).withColumn("positions", positions).select(*columns(docs), "size", "source_size", "target", "taken", (F.col("_mix_hash") / F.lit(2.0**_HASH_BITS)).alias("hash_place"), "positions")
 
 
-def by_position(mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_position(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents range-sorted by first training position; those not taken follow in hash order."""
-    mixed = room_for(mixed, ["position"], id_col, text_col)
-    key = F.coalesce(F.get("positions", F.lit(0)), 1.0 + _hash(F.col(id_col), F.col(text_col)) / F.lit(2.0**_HASH_BITS))
+    mixed = room_for(mixed, ["position"], id_col, "hash_place")
+    key = F.coalesce(F.get("positions", F.lit(0)), 1.0 + F.col("hash_place"))
     return mixed.withColumn("position", F.get("positions", F.lit(0))).orderBy(key, id_col)
 
 
