@@ -45,8 +45,10 @@ _held: list = [None, None]
 
 
 def worker_cache(owner: object, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps between batches. Workers outlive a stage, so only the last owner's is held."""
+    """What a Python worker keeps between batches. Workers outlive a stage, so only the last owner's is held;
+    the owner None holds nothing of worth and lets the last one's go."""
     if _held[0] != owner:
+        _held[:] = [None, None]
         _held[:] = [owner, make()]
     return _held[1]
 

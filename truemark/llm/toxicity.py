@@ -259,6 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2500, per_toxic:
     weight = {q: sizes[q] / n for q, n in taken.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None, dict)  # what another operator left in this worker goes
         for b in batches:
             rows = part_counts(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["part", "toxic", "n"])
