@@ -58,7 +58,8 @@ def test_dml_rewrites_only_what_it_touches(spark, events, table):
     before = files_by_folder(table)
     more = events.where("event_id = 8").withColumn("event_id", F.lit(9_000_000).cast("long"))
     touched = table.insert(more)
-    assert len(touched) == 1
+    now = files_by_folder(table)
+    assert len(touched) == 1 and all(set(before[p]) <= set(now[p]) for p in before)  # files only join
     check(table, want.insert(more).snapshot(), before, touched)
 
     before = files_by_folder(table)
@@ -102,6 +103,13 @@ def test_emptied_partition_and_table(spark, table):
     assert detail["row_count"] == 0 and detail["files"] == 64 and detail["properties"]["row_key"] == "event_id"
 
 
+def test_overwrite_is_a_commit(spark, events, table):
+    table.delete(F.col("event_id") == 3)
+    table.overwrite(events.where("event_id < 300").withColumn("value", F.lit(0.5)))
+    assert table.rows().count() == 300 and table.version == 2
+    assert rows(table.as_of(1)) == rows(events.where("event_id <> 3").select(*table.columns)) and rows(table.as_of(0)) == rows(events.select(*table.columns))
+
+
 def test_merge_refuses_two_rows_for_a_key(spark, table):
     one = table.rows().where("event_id = 3").withColumn("op", F.lit("DELETE"))
     with pytest.raises(Exception, match="matches a row twice"):

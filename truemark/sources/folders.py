@@ -4,7 +4,7 @@ DELETE, UPDATE and MERGE rewrite the folders of the partitions they touch, those
 those that rows move to, and no others (dynamic partition overwrite). A commit finds its touched
 partitions first, at most one number a logical partition, so that Spark prunes the scan by them; it
 then reads those folders once and writes all row images once, and the new folders and the change rows
-both come from that. A rewritten folder holds one marker row, so that it is replaced even when its
+both come from that. INSERT only adds files. A rewritten folder holds one marker row, so that it is replaced even when its
 last row is gone.
 
 Change rows are kept by commit version. An earlier version is the present one with the changes since
@@ -111,12 +111,17 @@ class FolderTable:
         after = images.where(F.col("_kind").isin(_KEEP, "insert", "update_postimage")).select(*columns, F.lit(True).alias("_live"), "p")
         schema = self.schema
         markers = self.spark.createDataFrame([(p,) for p in touched], "p int").select(*(F.lit(None).cast(schema[c].dataType).alias(c) for c in columns), F.lit(False).alias("_live"), "p")
-        changed = images.where(F.col("_kind") != _KEEP).select(*columns, F.col("_kind").alias("_change_type"), F.lit(version).alias("_commit_version"))
-        changed.hint("rebalance").write.mode("append").partitionBy("_commit_version").parquet(f"{self.path}/changes")
+        changed = self._record(version, images.where(F.col("_kind") != _KEEP))
         overwrite_folders(after.unionByName(markers), f"{self.path}/rows", "p")
         self._log(version, operation, changed, len(touched))
         return touched
 
+    def _record(self, version: int, images: DataFrame) -> DataFrame:
+        """Write the change rows of a commit; ``images`` have _kind."""
+        changed = images.select(*self.columns, F.col("_kind").alias("_change_type"), F.lit(version).alias("_commit_version"))
+        changed.hint("rebalance").write.mode("append").partitionBy("_commit_version").parquet(f"{self.path}/changes")
+        return changed
+
     def _partitions(self, *frames: DataFrame) -> list[int]:
         """The distinct numbers in frames of one column: at most one a logical partition."""
         found: set[int] = set()
@@ -125,11 +130,21 @@ class FolderTable:
         return sorted(found)
 
     def insert(self, rows: DataFrame) -> list[int]:
-        """INSERT; gives the partitions that were rewritten, as the others do."""
-        rows = written(rows.select(*self.columns, self.partition.alias("p")), "inserted")
+        """INSERT: new files beside those that are there, which all stay. Gives the partitions that got
+        some, as the others give those that they rewrote."""
+        version, rows = self.version + 1, written(rows.select(*self.columns, self.partition.alias("p")), "inserted")
         touched = self._partitions(rows.select("p"))
-        held = self.rows().where(F.col("p").isin(touched)).withColumn("_kind", F.lit(_KEEP))
-        return self._commit("INSERT", held.unionByName(rows.withColumn("_kind", F.lit("insert"))), touched)
+        changed = self._record(version, rows.withColumn("_kind", F.lit("insert")))
+        rows.select(*self.columns, F.lit(True).alias("_live"), "p").hint("rebalance", "p").write.mode("append").partitionBy("p").parquet(f"{self.path}/rows")
+        self._log(version, "INSERT", changed, len(touched))
+        return touched
+
+    def overwrite(self, rows: DataFrame) -> list[int]:
+        """All rows replaced in one commit: the old ones are deleted, the new ones inserted."""
+        new = written(rows.select(*self.columns, self.partition.alias("p")), "overwriting")
+        touched = self._partitions(new.select("p"), self.rows().select("p"))
+        images = self.rows().withColumn("_kind", F.lit("delete")).unionByName(new.withColumn("_kind", F.lit("insert")))
+        return self._commit("OVERWRITE", images, touched)
 
     def delete(self, where: Column) -> list[int]:
         """DELETE WHERE. A condition on p, or on columns with statistics, prunes the search too."""
