@@ -1,4 +1,4 @@
-"""File lists, sizes, typed text, guards, and stored state of either size."""
+"""File lists, sizes, typed text, guards, and states in one file or in folders."""
 
 import os
 
@@ -10,7 +10,7 @@ from truemark.operators import incremental as inc
 from truemark.plans import catalogue
 from truemark.functions.rules import EVENTS
 from truemark.sources import files
-from truemark.sources.stored import by_size
+from truemark.sources.stored import adaptive_write
 from truemark.sources.versions import event_scenario
 
 SF = "/root/testdata/sf0.001"
@@ -59,7 +59,7 @@ def test_state_in_folders_or_in_one_file(spark):
     t = event_scenario(spark.read.parquet(f"{SF}/events.parquet"))
     keys = inc.key_frequency(t.snapshot(0), EVENTS)
     delta = inc.key_delta(inc.net_images(t.changes(1, 4), "event_id"), EVENTS)
-    few, many = by_size(keys, "keys", "b"), by_size(keys, "keys", "b", small=10)
+    few, many = adaptive_write(keys, "keys", "b"), adaptive_write(keys, "keys", "b", small=10)
     assert few.columns == many.columns and rows(few) == rows(many) == rows(keys)
     assert len(few.inputFiles()) < len(many.inputFiles())
     assert rows(inc.key_overlay(few, delta, EVENTS)) == rows(inc.key_overlay(many, delta, EVENTS))
