@@ -1,11 +1,13 @@
 """Rules at every version, canonical keys, sketches, workloads and streams."""
 
+import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from truemark.functions.keys import EVENT_KEY, row_key
+from truemark.functions.keys import EVENT_KEY, canonical, kinds, row_key
 from truemark.functions.rules import CUSTOMER, EVENTS
 from truemark.operators import incremental as inc
 from truemark.operators import selection as sel
@@ -89,6 +91,25 @@ def test_row_keys_are_injective(spark):
         row_key(spark.createDataFrame([([1],)], "a array<int>"))
 
 
+def test_row_keys_are_hashes_of_the_canonical_text(spark):
+    near = [m * 2.0**e + d for e in (-1074, -1022, -84, -83, -53, -32, -31, -30, -1, 0, 1, 30, 51, 52, 53, 62, 63, 64, 1022) for m in (1.0, 1.1, -1.7) for d in (0.0, 2.0**-83, 0.5)]
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 0.01, -0.04, 84197.04, 1.7976931348623157e308, 5e-324, 1.0 - 2.0**-53, 2.0**63 - 1024, *near]
+    made = [(v, i if i % 3 else None, "é;" if i % 2 else None, dt.datetime(2024, 1, 1, 0, 0, i % 60, i) if i % 5 else None) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(made, "`x` double, n int, `t.``u` string, at timestamp_ntz").withColumn("f", F.expr("cast(x as float)")).withColumn("ok", F.expr("n > 9"))
+    whole = F.unhex(F.sha2(F.expr(canonical(kinds(df))), 256))
+    assert df.where(row_key(df).isNull() | (row_key(df) != whole)).count() == 0
+    assert df.select(row_key(df, ["x"])).distinct().count() == len({repr(v + 0.0 if v is not None else v) for v in odd})
+
+
+def test_row_keys_of_many_columns_are_compiled(spark):
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
+    wide = lineitem.select("*", *(F.col("l_tax").alias(f"tax{i}") for i in range(12)))
+    for rows in (lineitem, wide):
+        plan = rows.select(row_key(rows))._jdf.queryExecution()
+        methods = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+        assert all(int(n) < 8000 for n in methods), methods  # the JVM interprets larger ones at every row
+
+
 def test_event_keys_take_any_double(spark):
     df = spark.createDataFrame([(1, "a", v) for v in (float("nan"), 1e20, 9e16, -1e300, None, 0.01)], "user_id long, event_type string, value double")
     assert df.select(F.expr(EVENT_KEY)).distinct().count() == 6

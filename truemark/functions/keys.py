@@ -54,10 +54,34 @@ def kinds(df: DataFrame) -> list[tuple[str, str]]:
     return found
 
 
+def _marked(c: str, kind: str) -> str:
+    """A column's part of ``canonical``, for rows of many columns.
+
+    The JVM never compiles a method of more than 8000 bytes, which the texts of four doubles come to when
+    Spark writes all of a stage into one. So a double has its conditions first, where Spark works out what they
+    and the text have in common once, and the rare ones are left to a lambda, which also makes Spark
+    write the projection apart from its stage and split it into short methods, however many columns there are.
+    """
+    if kind != "double":
+        text = f"cast({c} AS string)"
+        return f"coalesce({f"concat({text}, ';')" if kind == "number" else f"concat(length({text}), ':', {text})"}, '~')"
+    size, whole = f"abs({c})", f"floor(abs({c}))"
+    part = f"(({size} - {whole}) * 9007199254740992e0)"
+    left = f"(({part} - floor({part})) * 1073741824e0)"
+    digits = f"CASE WHEN {part} = 0 THEN ';' ELSE concat('.', cast(floor({part}) AS string), '.', cast(cast({left} AS bigint) AS string), ';') END"
+    return (
+        f"CASE WHEN {left} = floor({left}) AND {size} < 9223372036854775808e0 THEN concat(CASE WHEN {c} < 0 THEN '-' ELSE '' END, cast({whole} AS string), {digits})"
+        f" WHEN {c} IS NULL THEN '~' ELSE concat(transform(array({c}), x -> {double_text('x')})[0], ';') END"
+    )
+
+
 def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """32 bytes for a whole row, or for some columns: equal rows, NULL equal to NULL, have equal keys."""
+    """32 bytes for a whole row, or for some columns: equal rows, NULL equal to NULL, have equal keys.
+
+    They are the sha256 of the ``canonical`` text.
+    """
     chosen = df if columns is None else df.select(*("`" + c.replace("`", "``") + "`" for c in columns))
-    return F.unhex(F.sha2(F.expr(canonical(kinds(chosen))), 256))
+    return F.unhex(F.sha2(F.expr(f"concat({', '.join(_marked(*c) for c in kinds(chosen))})"), 256))
 
 
 #: Columns of the events key, and its text in Spark and in engines that say varchar.
